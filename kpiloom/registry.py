@@ -15,7 +15,6 @@ from kpiloom.config import ReportConfig
 from kpiloom.operators import ads, dims, organic, overview, present
 from kpiloom.period import Period
 from kpiloom.plans import segments
-from kpiloom.sources import bindings
 from kpiloom.sources.bindings import bind_tables
 
 # Test parameters (FIXTURES.md, "Fixed parameters for the oracle queries").
@@ -145,7 +144,7 @@ def q_organic_daily_compare_aligned(spark, sf_dir):
 
 
 def _long_report(spark, sf_dir):
-    return bindings.channel_event_report_long(bindings.raw(spark, sf_dir, "lineitem"))
+    return _t(spark, sf_dir).channel_event_report_long
 
 
 def q_organic_monthly(spark, sf_dir):

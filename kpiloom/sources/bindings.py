@@ -8,10 +8,12 @@ becomes a ``l_shipdate`` range in the Parquet reader.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.sources.tables import MONEY, Tables
+from kpiloom.sources.tables import MONEY
 
 # Channel group assigned by ``key % 4`` in the test bindings.
 CHANNEL_BY_REMAINDER = ("Organic Search", "Organic Shopping", "Direct", "Paid Search")
@@ -131,15 +133,61 @@ def channel_event_report_long(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def bind_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All five logical tables over the driver's parquet files at ``sf_dir`` (lazy)."""
-    lineitem = raw(spark, sf_dir, "lineitem")
-    orders = raw(spark, sf_dir, "orders")
-    events = raw(spark, sf_dir, "events")
-    return Tables(
-        campaign_stats=campaign_stats(lineitem, orders),
-        campaign_history=campaign_history(orders),
-        product_stats=product_stats(lineitem, raw(spark, sf_dir, "part")),
-        channel_session_report=channel_session_report(events),
-        channel_event_report=channel_event_report(events),
-    )
+class BoundTables:
+    """The logical tables over one directory of the driver's files.
+
+    Each table is defined on first use and then reused: a definition is only a
+    logical plan (no data is cached), so reports built later share the analysed
+    relations and the file listing instead of re-reading Parquet footers and
+    re-analysing the bindings for every report.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self._raw: dict[str, DataFrame] = {}
+
+    def raw(self, name: str) -> DataFrame:
+        if name not in self._raw:
+            self._raw[name] = raw(self.spark, self.sf_dir, name)
+        return self._raw[name]
+
+    @cached_property
+    def campaign_stats(self) -> DataFrame:
+        return campaign_stats(self.raw("lineitem"), self.raw("orders"))
+
+    @cached_property
+    def campaign_history(self) -> DataFrame:
+        return campaign_history(self.raw("orders"))
+
+    @cached_property
+    def product_stats(self) -> DataFrame:
+        return product_stats(self.raw("lineitem"), self.raw("part"))
+
+    @cached_property
+    def channel_session_report(self) -> DataFrame:
+        return channel_session_report(self.raw("events"))
+
+    @cached_property
+    def channel_event_report(self) -> DataFrame:
+        return channel_event_report(self.raw("events"))
+
+    @cached_property
+    def channel_event_report_long(self) -> DataFrame:
+        return channel_event_report_long(self.raw("lineitem"))
+
+
+_CATALOG: dict[tuple[str, str], BoundTables] = {}
+
+
+def bind_tables(spark: SparkSession, sf_dir: str) -> BoundTables:
+    """The logical tables over the parquet files at ``sf_dir``, one definition per
+    session and directory (see ``BoundTables``). ``refresh`` drops the definitions."""
+    key = (spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"))
+    if key not in _CATALOG:
+        _CATALOG[key] = BoundTables(spark, sf_dir.rstrip("/"))
+    return _CATALOG[key]
+
+
+def refresh() -> None:
+    _CATALOG.clear()
