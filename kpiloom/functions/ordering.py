@@ -1,11 +1,12 @@
 """Distributed 1-based positions for a sorted DataFrame.
 
 ``row_number()`` over a window without ``partitionBy`` moves every row into one
-task. Here the sort stays a range-partitioned distributed sort; each partition
-counts its rows, a table of one row per *partition* (bounded by the partition
-count, not by the data) turns the counts into offsets, and the offsets are
-broadcast back. Both uses of the sorted rows read the same exchange, and the
-order is total, so positions are stable across re-evaluation.
+task. Here the sort stays a range-partitioned distributed sort, and each row is
+tagged with its partition and its place inside the partition. The tagged rows are
+checkpointed once (reliable checkpoint in the session's checkpoint folder), so the
+upstream report is computed a single time and every later read sees the same
+tags. A table with one row per *partition* (bounded by the partition count, not by
+the data) turns per-partition counts into offsets, which are broadcast back.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiloom.session import checkpoint_dir
+
 _PID, _MID = "_pos_pid", "_pos_mid"
 
 
@@ -20,15 +23,22 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     """``df`` sorted by ``order`` plus a BIGINT 1-based ``name`` column.
 
     ``order`` should be a total order (append a unique key as tie-break); rows tied
-    on every sort key get consecutive positions in an unspecified order.
+    on every sort key get consecutive positions in an unspecified order. Runs one
+    job to materialise the sorted rows; the returned DataFrame is lazy otherwise.
+    Rows come back in position order.
     """
-    tagged = df.orderBy(*order).select(
-        "*",
-        F.spark_partition_id().alias(_PID),
-        F.monotonically_increasing_id().alias(_MID),
+    checkpoint_dir(df.sparkSession)
+    tagged = (
+        df.orderBy(*order)
+        .select(
+            "*",
+            F.spark_partition_id().alias(_PID),
+            F.monotonically_increasing_id().alias(_MID),
+        )
+        .checkpoint(eager=True)
     )
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: the single-partition window is bounded by the partition count.
+    # One row per partition: this single-partition window is bounded by the partition count.
     offsets = counts.select(
         _PID,
         (F.sum("_n").over(Window.orderBy(_PID)) - F.col("_n")).alias("_offset"),
@@ -40,5 +50,5 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
             *[F.col(c) for c in df.columns],
             (F.col("_offset") + row_in_part + 1).alias(name),
         )
-        .orderBy(F.col(name))
+        .sortWithinPartitions(name)
     )

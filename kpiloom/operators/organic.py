@@ -67,7 +67,8 @@ def organic_summary(
     events = _organic(event_report, EVENT_CHANNEL, channels, in_period(period)).agg(
         *_event_sums()[1:]
     )
-    return sessions.crossJoin(events).select(
+    # Both sides are global aggregates (exactly one row each).
+    return sessions.crossJoin(F.broadcast(events)).select(
         "ga4_sessions",
         F.coalesce("ga4_new_users", F.lit(0).cast("bigint")).alias("ga4_new_users"),
         F.coalesce("ga4_total_revenue", F.lit(0.0)).alias("ga4_total_revenue"),

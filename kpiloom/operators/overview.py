@@ -51,8 +51,8 @@ def marketing_overview(
     pur = purchase_totals(
         tables.channel_event_report, period, config.channels, config.purchase_event
     )
-    # Three single-row relations: the cross joins are of bounded (1 x 1) size.
-    row = ads.crossJoin(ses).crossJoin(pur)
+    # Global aggregates have exactly one row: broadcasting them is bounded by construction.
+    row = ads.crossJoin(F.broadcast(ses)).crossJoin(F.broadcast(pur))
 
     keep = null_policy == "keep"
 
