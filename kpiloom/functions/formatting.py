@@ -44,6 +44,30 @@ def display(value: Column, kind: str) -> Column:
     return F.coalesce(out, F.lit(""))
 
 
+def sql_str(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def display_sql(value: str, kind: str) -> str:
+    """SQL text of ``display`` (same functions, one parsed expression)."""
+    v = f"CAST({value} AS DOUBLE)"
+    forms = {
+        "currency": f"concat({sql_str(CURRENCY)}, format_number({v}, 2))",
+        "decimal": f"format_number({v}, 2)",
+        "count": f"format_number({v}, 0)",
+        "multiple": f"concat(regexp_replace(format_number({v}, 2), ',', ''), 'x')",
+        "percent": f"concat(regexp_replace(format_number({v} * 100.0D, 2), ',', ''), '%')",
+    }
+    if kind not in forms:
+        raise ValueError(f"unknown format kind {kind!r}")
+    return f"coalesce({forms[kind]}, '')"
+
+
+def title_label_sql(key: str) -> str:
+    return f"initcap(replace({sql_str(key)}, '_', ' '))"
+
+
 def title_label(key: str | Column, drop: str = "_", sep: str = " ") -> Column:
     """``replace(drop, sep) | title``: words capitalised, the rest lower-cased."""
     k = F.lit(key) if isinstance(key, str) else key
@@ -58,3 +82,11 @@ def day_label(d: Column) -> Column:
 def month_label(d: Column) -> Column:
     """Monthly axis label, e.g. ``Jan 24``."""
     return F.date_format(d, "MMM yy")
+
+
+def day_label_sql(col: str) -> str:
+    return f"date_format({col}, 'dd MMM')"
+
+
+def month_label_sql(col: str) -> str:
+    return f"date_format({col}, 'MMM yy')"

@@ -90,30 +90,45 @@ def ratio(numerator: Column, denominator: Column, guard: Column | None = None) -
     return F.when(g > 0, as_double(numerator) / as_double(denominator)).otherwise(F.lit(0.0))
 
 
+# SQL text forms of the same rules. A report projects ten to twenty such columns; one
+# parsed expression per column keeps plan construction cheap on the driver.
+
+def money_sql(micros_sum: str) -> str:
+    return f"(CAST({micros_sum} AS DOUBLE) / {MICROS_PER_UNIT!r}D)"
+
+
+def ratio_sql(numerator: str, denominator: str, guard: str | None = None) -> str:
+    g = denominator if guard is None else guard
+    return (
+        f"CASE WHEN {g} > 0 THEN CAST({numerator} AS DOUBLE) / CAST({denominator} AS DOUBLE) "
+        f"ELSE 0.0D END"
+    )
+
+
 def kpi_columns(coalesce_zero: bool) -> list[Column]:
     """The ten account KPIs from the sum columns (impressions ... conv_rate).
 
     ``coalesce_zero`` turns every NULL (sums over no rows, a ratio with a NULL
     numerator) into 0 like the reference's ``None -> 0`` pass over one-row results.
     """
-    imp, clk = F.col(SUM_IMPRESSIONS), F.col(SUM_CLICKS)
-    mic, conv, val = F.col(SUM_MICROS), F.col(SUM_CONVERSIONS), F.col(SUM_VALUE)
-    cost = money(mic)
+    imp, clk, mic = SUM_IMPRESSIONS, SUM_CLICKS, SUM_MICROS
+    conv, val = SUM_CONVERSIONS, SUM_VALUE
+    cost = money_sql(mic)
     cols = [
-        (imp.cast("bigint"), "impressions"),
-        (clk.cast("bigint"), "clicks"),
-        (ratio(cost, clk), "cpc"),
+        (f"CAST({imp} AS BIGINT)", "impressions"),
+        (f"CAST({clk} AS BIGINT)", "clicks"),
+        (ratio_sql(cost, clk), "cpc"),
         (cost, "cost"),
-        (ratio(cost, conv), "conversion_cost"),
-        (as_double(conv), "conversions"),
-        (as_double(val), "conversion_value"),
-        (ratio(val, cost, guard=mic), "roas"),
-        (ratio(clk, imp), "ctr"),
-        (ratio(conv, clk), "conv_rate"),
+        (ratio_sql(cost, conv), "conversion_cost"),
+        (f"CAST({conv} AS DOUBLE)", "conversions"),
+        (f"CAST({val} AS DOUBLE)", "conversion_value"),
+        (ratio_sql(val, cost, guard=mic), "roas"),
+        (ratio_sql(clk, imp), "ctr"),
+        (ratio_sql(conv, clk), "conv_rate"),
     ]
     if coalesce_zero:
-        return [F.coalesce(c, F.lit(0).cast(c_type(name))).alias(name) for c, name in cols]
-    return [c.alias(name) for c, name in cols]
+        return [F.expr(f"coalesce({e}, CAST(0 AS {c_type(n)})) AS {n}") for e, n in cols]
+    return [F.expr(f"{e} AS {n}") for e, n in cols]
 
 
 def c_type(kpi: str) -> str:
@@ -128,14 +143,14 @@ KPI_NAMES = (
 
 def performance_columns(value_name: str, value_cost_name: str) -> list[Column]:
     """Per-group performance measures (campaign or product tables)."""
-    clk, mic = F.col(SUM_CLICKS), F.col(SUM_MICROS)
-    conv, val = F.col(SUM_CONVERSIONS), F.col(SUM_VALUE)
-    cost = money(mic)
-    return [
-        cost.alias("cost"),
-        as_double(conv).alias("conversions"),
-        ratio(conv, clk).alias("conversion_rate"),
-        ratio(cost, conv).alias("cost_per_conversion"),
-        as_double(val).alias(value_name),
-        ratio(val, cost, guard=mic).alias(value_cost_name),
+    clk, mic, conv, val = SUM_CLICKS, SUM_MICROS, SUM_CONVERSIONS, SUM_VALUE
+    cost = money_sql(mic)
+    cols = [
+        (cost, "cost"),
+        (f"CAST({conv} AS DOUBLE)", "conversions"),
+        (ratio_sql(conv, clk), "conversion_rate"),
+        (ratio_sql(cost, conv), "cost_per_conversion"),
+        (f"CAST({val} AS DOUBLE)", value_name),
+        (ratio_sql(val, cost, guard=mic), value_cost_name),
     ]
+    return [F.expr(f"{e} AS {n}") for e, n in cols]

@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiloom.functions.formatting import day_label, display, month_label, title_label
+from kpiloom.functions.formatting import (
+    day_label_sql,
+    display_sql,
+    month_label_sql,
+    sql_str,
+    title_label_sql,
+)
 from kpiloom.functions.ordering import with_position
 
 # --- U1 metric cards ----------------------------------------------------------------
@@ -22,33 +28,29 @@ CARD_COLUMNS = ("page", "section", "position", "key", "label", "value", "display
 def metric_cards(
     df: DataFrame,
     page: str,
-    section: str | Column,
+    section: str,
     keys: list[str],
     formats: dict[str, str],
     labels: dict[str, str] | None = None,
+    section_sql: str | None = None,
 ) -> DataFrame:
     """Wide KPI rows -> one card row per (input row, key).
 
     ``value`` is the unscaled metric as DOUBLE; ``display`` applies the format kind
     (``percent`` shows value x 100). Labels default to ``replace('_',' ') | title``.
+    ``section_sql`` (an SQL expression over the input row) overrides ``section``.
     """
-    sec = F.lit(section) if isinstance(section, str) else section
+    sec = section_sql or sql_str(section)
     cards = []
     for i, key in enumerate(keys, start=1):
-        label = F.lit(labels[key]) if labels and key in labels else title_label(key)
-        value = F.col(key).cast("double")
+        label = sql_str(labels[key]) if labels and key in labels else title_label_sql(key)
+        col = f"`{key}`"
         cards.append(
-            F.struct(
-                F.lit(page).alias("page"),
-                sec.alias("section"),
-                F.lit(i).alias("position"),
-                F.lit(key).alias("key"),
-                label.alias("label"),
-                value.alias("value"),
-                display(value, formats[key]).alias("display"),
-            )
+            f"named_struct('page', {sql_str(page)}, 'section', {sec}, 'position', {i}, "
+            f"'key', {sql_str(key)}, 'label', {label}, 'value', CAST({col} AS DOUBLE), "
+            f"'display', {display_sql(col, formats[key])})"
         )
-    return df.select(F.inline(F.array(*cards)))
+    return df.selectExpr(f"inline(array({', '.join(cards)}))")
 
 
 # Card sections, keys, labels and formats of the three report pages.
@@ -130,11 +132,9 @@ SEO_FORMATS = {
 }
 
 
-def _segment_section(col: Column) -> Column:
-    expr = None
-    for seg, title in ADS_SECTIONS.items():
-        expr = F.when(col == seg, title) if expr is None else expr.when(col == seg, title)
-    return expr
+def _segment_section_sql(col: str) -> str:
+    whens = " ".join(f"WHEN {sql_str(s)} THEN {sql_str(t)}" for s, t in ADS_SECTIONS.items())
+    return f"CASE {col} {whens} END"
 
 
 def dashboard_cards(overview: DataFrame, segments: DataFrame, seo: DataFrame) -> DataFrame:
@@ -145,7 +145,8 @@ def dashboard_cards(overview: DataFrame, segments: DataFrame, seo: DataFrame) ->
         for title, keys in OVERVIEW_SECTIONS
     ]
     parts.append(
-        metric_cards(segments, "ads", _segment_section(F.col("segment")), ADS_CARD_KEYS, ADS_FORMATS)
+        metric_cards(segments, "ads", "", ADS_CARD_KEYS, ADS_FORMATS,
+                     section_sql=_segment_section_sql("segment"))
     )
     parts.append(metric_cards(seo, "seo", SEO_SECTION, SEO_CARD_KEYS, SEO_FORMATS, SEO_LABELS))
     out = parts[0]
@@ -163,27 +164,23 @@ def chart_series(
     df: DataFrame,
     page: str,
     x_order: list[Column],
-    x_label: Column,
+    x_label_sql: str,
     series: list[tuple[str, str, str]],
 ) -> DataFrame:
     """Report rows -> (page, chart, series, position, x_label, y) rows.
 
-    ``series`` lists ``(chart, series_label, measure_column)``. ``position`` is the
-    1-based place of the row in ``x_order`` (distributed, see ``with_position``).
+    ``series`` lists ``(chart, series_label, measure_column)``; ``x_label_sql`` is an
+    SQL expression over the report row. ``position`` is the 1-based place of the row
+    in ``x_order`` (distributed, see ``with_position``).
     """
     positioned = with_position(df, x_order, name="_x_pos")
     points = [
-        F.struct(
-            F.lit(page).alias("page"),
-            F.lit(chart).alias("chart"),
-            F.lit(label).alias("series"),
-            F.col("_x_pos").alias("position"),
-            x_label.alias("x_label"),
-            F.col(measure).cast("double").alias("y"),
-        )
+        f"named_struct('page', {sql_str(page)}, 'chart', {sql_str(chart)}, "
+        f"'series', {sql_str(label)}, 'position', _x_pos, 'x_label', {x_label_sql}, "
+        f"'y', CAST(`{measure}` AS DOUBLE))"
         for chart, label, measure in series
     ]
-    return positioned.select(F.inline(F.array(*points)))
+    return positioned.selectExpr(f"inline(array({', '.join(points)}))")
 
 
 # Chart titles and dataset labels of the report pages.
@@ -215,14 +212,14 @@ def dashboard_series(
 ) -> DataFrame:
     """All chart series of the ads page (R6, R7) and the SEO page."""
     parts = [
-        chart_series(daily, "ads", [F.col("day").asc_nulls_last()], day_label(F.col("day")),
+        chart_series(daily, "ads", [F.col("day").asc_nulls_last()], day_label_sql("day"),
                      ADS_DAILY_SERIES),
         chart_series(by_campaign, "ads", [F.col("campaign").asc_nulls_last()],
-                     F.col("campaign"), CAMPAIGN_SERIES),
+                     "campaign", CAMPAIGN_SERIES),
         chart_series(seo_daily, "seo", [F.col("date").asc_nulls_last()],
-                     day_label(F.col("date")), SEO_DAILY_SERIES),
+                     day_label_sql("date"), SEO_DAILY_SERIES),
         chart_series(monthly, "seo", [F.col("month").asc_nulls_last()],
-                     month_label(F.col("month")), SEO_MONTHLY_SERIES),
+                     month_label_sql("month"), SEO_MONTHLY_SERIES),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -31,7 +31,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     ``DataFrame.checkpoint()`` and written intermediate tables always land in the
     folder the cluster names.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no driver-side context (remote session): the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -180,10 +180,17 @@ class BoundTables:
 _CATALOG: dict[tuple[str, str], BoundTables] = {}
 
 
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return str(spark._jsparkSession.sessionUUID())
+    except Exception:  # sessions without a JVM handle
+        return f"py-{id(spark)}"
+
+
 def bind_tables(spark: SparkSession, sf_dir: str) -> BoundTables:
     """The logical tables over the parquet files at ``sf_dir``, one definition per
     session and directory (see ``BoundTables``). ``refresh`` drops the definitions."""
-    key = (spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"))
+    key = (_session_key(spark), sf_dir.rstrip("/"))
     if key not in _CATALOG:
         _CATALOG[key] = BoundTables(spark, sf_dir.rstrip("/"))
     return _CATALOG[key]

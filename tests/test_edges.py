@@ -249,7 +249,7 @@ def test_display_matches_python_format(spark):
 
     from pyspark.sql import functions as F
 
-    from kpiloom.functions.formatting import FORMATS, display
+    from kpiloom.functions.formatting import FORMATS, display, display_sql
 
     rnd = random.Random(7)
     values = [2.675, 0.125, 1234.565, -1234.5, 0.0, 1e9 + 0.005, 2.5, 3.5, 0.005]
@@ -260,6 +260,8 @@ def test_display_matches_python_format(spark):
         scale = 100.0 if kind == "percent" else 1.0
         want = [fmt.format(v * scale) for v in values]
         assert got == want, kind
+        got_sql = [r[0] for r in df.selectExpr(display_sql("v", kind)).collect()]
+        assert got_sql == want, kind
     (none,) = spark.createDataFrame([(None,)], "v double").select(display(F.col("v"), "currency")).first()
     assert none == ""
 
