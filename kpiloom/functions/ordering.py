@@ -19,17 +19,26 @@ from kpiloom.session import checkpoint_dir
 _PID, _MID = "_pos_pid", "_pos_mid"
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+def with_position(
+    df: DataFrame,
+    order: list[Column],
+    name: str = "position",
+    partition_by: list[str] | None = None,
+) -> DataFrame:
     """``df`` sorted by ``order`` plus a BIGINT 1-based ``name`` column.
 
     ``order`` should be a total order (append a unique key as tie-break); rows tied
-    on every sort key get consecutive positions in an unspecified order. Runs one
-    job to materialise the sorted rows; the returned DataFrame is lazy otherwise.
-    Rows come back in position order.
+    on every sort key get consecutive positions in an unspecified order. With
+    ``partition_by`` the numbering restarts in every group: one global sort by
+    (group, order), then each row's position minus its group's first position (the
+    group starts are an ordinary grouped aggregate and join, not a broadcast). Runs
+    one job to materialise the sorted rows; the returned DataFrame is lazy otherwise.
     """
     checkpoint_dir(df.sparkSession)
+    groups = list(partition_by or [])
+    full_order = [F.col(g).asc_nulls_last() for g in groups] + list(order)
     tagged = (
-        df.orderBy(*order)
+        df.orderBy(*full_order)
         .select(
             "*",
             F.spark_partition_id().alias(_PID),
@@ -44,11 +53,21 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
         (F.sum("_n").over(Window.orderBy(_PID)) - F.col("_n")).alias("_offset"),
     )
     row_in_part = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
-    return (
-        tagged.join(F.broadcast(offsets), _PID)
-        .select(
-            *[F.col(c) for c in df.columns],
-            (F.col("_offset") + row_in_part + 1).alias(name),
-        )
-        .sortWithinPartitions(name)
+    positioned = tagged.join(F.broadcast(offsets), _PID).select(
+        *[F.col(c) for c in df.columns],
+        (F.col("_offset") + row_in_part + 1).alias(name),
+    )
+    if not groups:
+        return positioned.sortWithinPartitions(name)
+    keys = [f"_grp{i}" for i in range(len(groups))]
+    starts = positioned.groupBy(*[F.col(g).alias(k) for g, k in zip(groups, keys)]).agg(
+        F.min(name).alias("_start")
+    )
+    cond = None
+    for g, k in zip(groups, keys):
+        c = F.col(g).eqNullSafe(F.col(k))
+        cond = c if cond is None else cond & c
+    return positioned.join(starts, cond).select(
+        *[F.col(c) for c in df.columns],
+        (F.col(name) - F.col("_start") + 1).alias(name),
     )

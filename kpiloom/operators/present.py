@@ -160,27 +160,36 @@ def dashboard_cards(overview: DataFrame, segments: DataFrame, seo: DataFrame) ->
 SERIES_COLUMNS = ("page", "chart", "series", "position", "x_label", "y")
 
 
-def chart_series(
+def chart_points(
     df: DataFrame,
     page: str,
-    x_order: list[Column],
+    x_key_sql: str,
     x_label_sql: str,
     series: list[tuple[str, str, str]],
 ) -> DataFrame:
-    """Report rows -> (page, chart, series, position, x_label, y) rows.
+    """Report rows -> (page, chart, series, x_key, x_label, y) points.
 
-    ``series`` lists ``(chart, series_label, measure_column)``; ``x_label_sql`` is an
-    SQL expression over the report row. ``position`` is the 1-based place of the row
-    in ``x_order`` (distributed, see ``with_position``).
+    ``series`` lists ``(chart, series_label, measure_column)``; ``x_key_sql`` is a
+    STRING expression whose byte order is the x order (ISO dates, names);
+    ``x_label_sql`` is the axis label.
     """
-    positioned = with_position(df, x_order, name="_x_pos")
     points = [
         f"named_struct('page', {sql_str(page)}, 'chart', {sql_str(chart)}, "
-        f"'series', {sql_str(label)}, 'position', _x_pos, 'x_label', {x_label_sql}, "
-        f"'y', CAST(`{measure}` AS DOUBLE))"
+        f"'series', {sql_str(label)}, 'x_key', CAST({x_key_sql} AS STRING), "
+        f"'x_label', {x_label_sql}, 'y', CAST(`{measure}` AS DOUBLE))"
         for chart, label, measure in series
     ]
-    return positioned.selectExpr(f"inline(array({', '.join(points)}))")
+    return df.selectExpr(f"inline(array({', '.join(points)}))")
+
+
+def chart_series(points: DataFrame) -> DataFrame:
+    """Points -> (page, chart, series, position, x_label, y): ``position`` is the 1-based
+    place of the point in its series by ``x_key`` (NULL last), numbered in one
+    distributed pass over all series (see ``with_position``)."""
+    positioned = with_position(
+        points, [F.col("x_key").asc_nulls_last()], partition_by=["page", "chart", "series"]
+    )
+    return positioned.select(*SERIES_COLUMNS)
 
 
 # Chart titles and dataset labels of the report pages.
@@ -212,19 +221,15 @@ def dashboard_series(
 ) -> DataFrame:
     """All chart series of the ads page (R6, R7) and the SEO page."""
     parts = [
-        chart_series(daily, "ads", [F.col("day").asc_nulls_last()], day_label_sql("day"),
-                     ADS_DAILY_SERIES),
-        chart_series(by_campaign, "ads", [F.col("campaign").asc_nulls_last()],
-                     "campaign", CAMPAIGN_SERIES),
-        chart_series(seo_daily, "seo", [F.col("date").asc_nulls_last()],
-                     day_label_sql("date"), SEO_DAILY_SERIES),
-        chart_series(monthly, "seo", [F.col("month").asc_nulls_last()],
-                     month_label_sql("month"), SEO_MONTHLY_SERIES),
+        chart_points(daily, "ads", "day", day_label_sql("day"), ADS_DAILY_SERIES),
+        chart_points(by_campaign, "ads", "campaign", "campaign", CAMPAIGN_SERIES),
+        chart_points(seo_daily, "seo", "date", day_label_sql("date"), SEO_DAILY_SERIES),
+        chart_points(monthly, "seo", "month", month_label_sql("month"), SEO_MONTHLY_SERIES),
     ]
-    out = parts[0]
+    points = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        points = points.unionByName(p)
+    return chart_series(points)
 
 
 # --- U3 product search --------------------------------------------------------------
