@@ -88,11 +88,17 @@ def account_totals(stats: DataFrame, period: Period, customer_id: str) -> DataFr
     )
 
 
+def _latest(history: DataFrame, latest: DataFrame | None) -> DataFrame:
+    """The latest-version dimension: precomputed by a page plan, or derived here."""
+    return latest if latest is not None else latest_campaign(history)
+
+
 def _named_totals(
-    stats: DataFrame, history: DataFrame, period: Period, customer_id: str, name_filter: Column
+    stats: DataFrame, history: DataFrame, period: Period, customer_id: str, name_filter: Column,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     per_id = stats_by_id(stats, period, customer_id)
-    named = latest_campaign(history).where(name_filter).select("id")
+    named = _latest(history, latest).where(name_filter).select("id")
     return (
         per_id.join(named, "id")
         .agg(*resum())
@@ -102,27 +108,27 @@ def _named_totals(
 
 def shopping_totals(
     stats: DataFrame, history: DataFrame, period: Period, customer_id: str,
-    pattern: str = "%Shopping%",
+    pattern: str = "%Shopping%", latest: DataFrame | None = None,
 ) -> DataFrame:
     """KPIs of campaigns whose latest name matches ``pattern`` (case-sensitive LIKE)."""
-    return _named_totals(stats, history, period, customer_id, name_like(pattern))
+    return _named_totals(stats, history, period, customer_id, name_like(pattern), latest)
 
 
 def search_totals(
     stats: DataFrame, history: DataFrame, period: Period, customer_id: str,
-    pattern: str = "%Shopping%",
+    pattern: str = "%Shopping%", latest: DataFrame | None = None,
 ) -> DataFrame:
     """KPIs of campaigns whose latest name does not match ``pattern`` (NULL names excluded)."""
-    return _named_totals(stats, history, period, customer_id, name_not_like(pattern))
+    return _named_totals(stats, history, period, customer_id, name_not_like(pattern), latest)
 
 
 def trailing_year_totals(
     stats: DataFrame, history: DataFrame, today: date, customer_id: str,
-    excluded: tuple[str, ...] = ("%Germany%", "%Netherlands%"),
+    excluded: tuple[str, ...] = ("%Germany%", "%Netherlands%"), latest: DataFrame | None = None,
 ) -> DataFrame:
     """KPIs over the 366 days ending yesterday, campaigns matching none of ``excluded``."""
     return _named_totals(
-        stats, history, trailing_year(today), customer_id, name_not_like(*excluded)
+        stats, history, trailing_year(today), customer_id, name_not_like(*excluded), latest
     )
 
 
@@ -150,7 +156,7 @@ def account_daily(stats: DataFrame, period: Period, customer_id: str) -> DataFra
 
 def conversions_by_campaign_version(
     stats: DataFrame, history: DataFrame, period: Period, customer_id: str,
-    dedup: bool = False,
+    dedup: bool = False, latest: DataFrame | None = None,
 ) -> DataFrame:
     """Conversions per campaign name.
 
@@ -166,7 +172,7 @@ def conversions_by_campaign_version(
         .agg(F.sum("conversions").alias(SUM_CONVERSIONS))
     )
     if dedup:
-        joined = per_id.join(latest_campaign(history), "id")
+        joined = per_id.join(_latest(history, latest), "id")
         conv = F.col(SUM_CONVERSIONS)
     else:
         joined = per_id.join(version_names(history), "id")
@@ -181,12 +187,13 @@ def conversions_by_campaign_version(
 # --- R8 ---------------------------------------------------------------------------
 
 def campaign_performance(
-    stats: DataFrame, history: DataFrame, period: Period, customer_id: str
+    stats: DataFrame, history: DataFrame, period: Period, customer_id: str,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """Per latest campaign name (ids sharing a name merge), by cost descending."""
     per_id = stats_by_id(stats, period, customer_id)
     by_name = (
-        per_id.join(latest_campaign(history), "id")
+        per_id.join(_latest(history, latest), "id")
         .groupBy(F.col("name").alias("campaign_name"))
         .agg(*resum())
     )

@@ -33,6 +33,7 @@ def segment_totals(
     period: Period,
     config: ReportConfig,
     today: date | None = None,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """``segment`` + the ten KPIs of ``account_totals``; one row per segment.
 
@@ -48,7 +49,8 @@ def segment_totals(
         *_suffixed(stat_sums(when=in_p), "_p"),
         *_suffixed(stat_sums(when=in_y), "_y"),
     )
-    named = per_id.join(latest_campaign(history), "id", "left")
+    dim = latest if latest is not None else latest_campaign(history)
+    named = per_id.join(dim, "id", "left")
 
     shopping = name_like(config.shopping_pattern)
     search = name_not_like(config.shopping_pattern)
