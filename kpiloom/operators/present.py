@@ -244,6 +244,13 @@ def product_search(df: DataFrame, query: str, column: str = "product_title") ->
 
 # --- U4 sort ------------------------------------------------------------------------
 
+def next_sort(prev_column: str | None, prev_ascending: bool | None, column: str) -> bool:
+    """Direction after a click on ``column``: ascending first, toggled on a repeat click."""
+    if prev_column == column and prev_ascending is not None:
+        return not prev_ascending
+    return True
+
+
 def sort_report(
     df: DataFrame, column: str, ascending: bool = True, key: str | None = None
 ) -> DataFrame:

@@ -266,6 +266,13 @@ def test_display_matches_python_format(spark):
     assert none == ""
 
 
+def test_next_sort_toggle():
+    assert present.next_sort(None, None, "cost") is True
+    assert present.next_sort("cost", True, "cost") is False
+    assert present.next_sort("cost", False, "cost") is True
+    assert present.next_sort("cost", False, "conversions") is True
+
+
 def test_resolve_period_defaults():
     today = date(2024, 3, 1)
     assert resolve_period(None, None, today) == Period(D("2024-02-01"), D("2024-02-29"))
