@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.sources.tables import CAMPAIGN_STATS, conform
+from kpiloom.sources.tables import conform
 
 GRAIN = ("customer_id", "id", "date")
 MEASURES = ("impressions", "clicks", "cost_micros", "conversions", "conversions_value")
@@ -28,7 +28,7 @@ def daily_rollup(stats: DataFrame) -> DataFrame:
     return conform(summed, "campaign_stats")
 
 
-def write_rollup(rollup: DataFrame, path: str, files_per_date: int | None = None) -> None:
+def write_rollup(rollup: DataFrame, path: str, max_records_per_file: int | None = None) -> None:
     """Write the rollup as Parquet partitioned by ``date``.
 
     Range-partitioning on (date, customer_id, id) spreads even a hot day over several
@@ -38,15 +38,11 @@ def write_rollup(rollup: DataFrame, path: str, files_per_date: int | None = None
     spark = rollup.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rollup.repartitionByRange(n, "date", "customer_id", "id").write.mode("overwrite")
-    if files_per_date:
-        writer = writer.option("maxRecordsPerFile", files_per_date)
+    if max_records_per_file:
+        writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.partitionBy("date").parquet(path)
 
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     """The written rollup as ``campaign_stats`` (date filters prune partitions)."""
-    return conform(spark.read.schema(_file_schema()).parquet(path), "campaign_stats")
-
-
-def _file_schema():
-    return CAMPAIGN_STATS
+    return conform(spark.read.parquet(path), "campaign_stats")

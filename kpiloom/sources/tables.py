@@ -77,15 +77,25 @@ class SchemaError(ValueError):
     pass
 
 
+def _keeps_source_type(contract: T.DataType, source: T.DataType) -> bool:
+    """Money measures keep a floating-point or decimal source type: fractional
+    conversions (attribution models) may carry more than two decimals, which a cast
+    to DECIMAL(18,2) would round away. Integers are cast to the contract decimal."""
+    return isinstance(contract, T.DecimalType) and isinstance(
+        source, (T.DoubleType, T.FloatType, T.DecimalType)
+    )
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project ``df`` onto the contract schema of ``table``.
 
-    Numeric columns are cast to the contract type (a DOUBLE measure becomes
-    DECIMAL(18,2) so sums do not depend on addition order); a missing required
-    column raises ``SchemaError``. The projection is lazy and prunable.
+    Columns are cast to the contract type, except money measures already stored as
+    DOUBLE or DECIMAL, which keep their type (see ``_keeps_source_type``). A missing
+    required column raises ``SchemaError``. The projection is lazy and prunable.
     """
     schema = SCHEMAS[table]
     present = {c.lower(): c for c in df.columns}
+    source_types = {f.name: f.dataType for f in df.schema.fields}
     cols: list[Column] = []
     missing = []
     for field in schema.fields:
@@ -96,7 +106,10 @@ def conform(df: DataFrame, table: str) -> DataFrame:
                 continue
             missing.append(field.name)
             continue
-        cols.append(F.col(src).cast(field.dataType).alias(field.name))
+        if _keeps_source_type(field.dataType, source_types[src]):
+            cols.append(F.col(src).alias(field.name))
+        else:
+            cols.append(F.col(src).cast(field.dataType).alias(field.name))
     if missing:
         raise SchemaError(f"{table}: missing columns {missing}")
     return df.select(*cols)

@@ -266,6 +266,23 @@ def test_display_matches_python_format(spark):
     assert none == ""
 
 
+def test_conform_keeps_fractional_double_measures(spark):
+    from kpiloom.sources.tables import SchemaError, conform
+
+    raw = spark.createDataFrame(
+        [("C", 1, D("2024-03-10"), 10, 3, 1_000_000, 1 / 3, 2.0)] * 3,
+        "customer_id string, id long, date date, impressions int, clicks int, "
+        "cost_micros long, conversions double, conversions_value double",
+    )
+    stats = conform(raw, "campaign_stats")
+    assert dict(stats.dtypes)["conversions"] == "double"
+    assert dict(stats.dtypes)["impressions"] == "bigint"
+    (r,) = ads.account_totals(stats, P, "C").collect()
+    assert abs(r.conversions - 1.0) < 1e-12 and abs(r.conv_rate - 1 / 9) < 1e-12
+    with pytest.raises(SchemaError):
+        conform(raw.drop("clicks"), "campaign_stats")
+
+
 def test_next_sort_toggle():
     assert present.next_sort(None, None, "cost") is True
     assert present.next_sort("cost", True, "cost") is False
