@@ -32,8 +32,8 @@ def write_rollup(rollup: DataFrame, path: str, max_records_per_file: int | None
     """Write the rollup as Parquet partitioned by ``date``.
 
     Range-partitioning on (date, customer_id, id) spreads even a hot day over several
-    writer tasks (no single task receives a whole date); ``files_per_date`` bounds
-    the number of output files through ``maxRecordsPerFile`` when given.
+    writer tasks (no single task receives a whole date); ``max_records_per_file``
+    caps the size of each output file.
     """
     spark = rollup.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,6 @@ from collections import defaultdict
 from datetime import date, timedelta
 from decimal import Decimal
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
