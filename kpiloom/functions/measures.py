@@ -11,7 +11,7 @@ Rules (SURVEY §1.4):
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_UNIT = 1_000_000.0
@@ -154,3 +154,27 @@ def performance_columns(value_name: str, value_cost_name: str) -> list[Column]:
         (ratio_sql(val, cost, guard=mic), value_cost_name),
     ]
     return [F.expr(f"{e} AS {n}") for e, n in cols]
+
+
+def combine_single_rows(*rows: DataFrame) -> DataFrame:
+    """One row holding the columns of several one-row aggregates, without a join.
+
+    Each input is padded with typed NULLs for the others' columns, the inputs are
+    unioned, and one global ``max`` per column picks the single non-NULL value (or
+    keeps NULL when that aggregate was NULL). Column names must be distinct.
+    """
+    fields = [f for df in rows for f in df.schema.fields]
+    names = [f.name for f in fields]
+    if len(set(names)) != len(names):
+        raise ValueError(f"duplicate columns: {names}")
+    padded = []
+    for df in rows:
+        own = set(df.columns)
+        padded.append(df.select(*[
+            F.col(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in fields
+        ]))
+    union = padded[0]
+    for df in padded[1:]:
+        union = union.unionByName(df)
+    return union.agg(*[F.max(n).alias(n) for n in names])

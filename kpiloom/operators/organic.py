@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.functions.measures import as_double
+from kpiloom.functions.measures import as_double, combine_single_rows
 from kpiloom.operators.ads import in_period
 from kpiloom.period import Period, last_12_months, previous_period
 
@@ -60,15 +60,15 @@ def organic_summary(
     session_report: DataFrame, event_report: DataFrame, period: Period, channels
 ) -> DataFrame:
     """Sessions from the session report (NULL when no rows), the rest from the
-    event report (all events, 0 when no rows). Two one-row aggregates, cross-joined."""
+    event report (all events, 0 when no rows)."""
     sessions = _organic(session_report, SESSION_CHANNEL, channels, in_period(period)).agg(
         F.sum("sessions").alias("ga4_sessions")
     )
     events = _organic(event_report, EVENT_CHANNEL, channels, in_period(period)).agg(
         *_event_sums()[1:]
     )
-    # Both sides are global aggregates (exactly one row each).
-    return sessions.crossJoin(F.broadcast(events)).select(
+    # Two one-row aggregates combined by a union and one global aggregate (no join).
+    return combine_single_rows(sessions, events).select(
         "ga4_sessions",
         F.coalesce("ga4_new_users", F.lit(0).cast("bigint")).alias("ga4_new_users"),
         F.coalesce("ga4_total_revenue", F.lit(0.0)).alias("ga4_total_revenue"),

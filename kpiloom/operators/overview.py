@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.config import ReportConfig
-from kpiloom.functions.measures import ratio
+from kpiloom.functions.measures import combine_single_rows, ratio
 from kpiloom.operators.ads import known_campaign_totals
 from kpiloom.operators.organic import purchase_totals, session_totals
 from kpiloom.period import Period
@@ -35,7 +35,7 @@ def _zero(c: str, typ: str = "double") -> Column:
 def marketing_overview(
     tables: Tables, period: Period, config: ReportConfig, null_policy: str = "zero"
 ) -> DataFrame:
-    """One row of twelve KPIs.
+    """One row of twelve KPIs (the reference cross-joins three one-row aggregates).
 
     ``null_policy='zero'`` (R1): every sum over no rows is 0. ``'keep'`` (V1, the
     un-imported variant): ads totals, sessions and users stay NULL, ROAS keeps the
@@ -51,8 +51,8 @@ def marketing_overview(
     pur = purchase_totals(
         tables.channel_event_report, period, config.channels, config.purchase_event
     )
-    # Global aggregates have exactly one row: broadcasting them is bounded by construction.
-    row = ads.crossJoin(F.broadcast(ses)).crossJoin(F.broadcast(pur))
+    # Three one-row aggregates combined by a union and one global aggregate (no join).
+    row = combine_single_rows(ads, ses, pur)
 
     keep = null_policy == "keep"
 
