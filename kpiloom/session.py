@@ -27,9 +27,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when none is configured (local tests) is a fresh local folder set, so
-    ``DataFrame.checkpoint()`` and written intermediate tables always land in the
-    folder the cluster names.
+    Only when none is configured and the master is local (tests) is a fresh local
+    folder set; on a cluster a missing setting is an error, so ``checkpoint()`` and
+    written intermediate tables always land in the folder the cluster names.
     """
     try:
         sc = spark.sparkContext
@@ -39,6 +39,11 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError(
+            "set spark.checkpoint.dir to a folder on shared storage; "
+            "a machine-local fallback is only used in local mode"
+        )
     target = configured or fallback or tempfile.mkdtemp(prefix="kpiloom-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
