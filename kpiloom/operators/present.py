@@ -236,7 +236,8 @@ def dashboard_series(
 
 def product_search(df: DataFrame, query: str, column: str = "product_title") -> DataFrame:
     """Rows whose ``column`` contains ``query`` ignoring case; literal text (``%`` and
-    ``_`` are not wildcards); an empty query keeps every row."""
+    ``_`` are not wildcards); an empty query keeps every row. A NULL title matches
+    only the empty query (it has no text to search)."""
     if not query:
         return df
     return df.where(F.upper(F.col(column)).contains(F.upper(F.lit(query))))

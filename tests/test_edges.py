@@ -215,6 +215,7 @@ def test_product_search_literal_text(spark, make):
     assert titles("%") == ["50% off"]
     assert titles("_") == ["a_b"]
     assert titles("bolt") == ["Red Bolt"]
+    assert titles("none") == []  # a NULL title has no text
     assert len(titles("")) == 5
 
 
