@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from kpiloom.config import ReportConfig
 from kpiloom.functions.measures import STAT_SUMS, kpi_columns, stat_sums
-from kpiloom.operators.ads import in_period, name_like, name_not_like
+from kpiloom.functions.formatting import sql_str
+from kpiloom.operators.ads import in_period
 from kpiloom.operators.dims import latest_campaign
 from kpiloom.period import Period, trailing_year
 
@@ -52,16 +53,18 @@ def segment_totals(
     dim = latest if latest is not None else latest_campaign(history)
     named = per_id.join(dim, "id", "left")
 
-    shopping = name_like(config.shopping_pattern)
-    search = name_not_like(config.shopping_pattern)
-    kept = name_not_like(*config.excluded_patterns)
-
-    def seg_sums(suffix: str, cond: Column | None, seg: str) -> list[Column]:
-        out = []
-        for n in STAT_SUMS:
-            c = F.col(n + suffix)
-            out.append(F.sum(c if cond is None else F.when(cond, c)).alias(f"{seg}__{n}"))
-        return out
+    shopping = f"name LIKE {sql_str(config.shopping_pattern)}"
+    search = f"NOT (name LIKE {sql_str(config.shopping_pattern)})"
+    kept = " AND ".join(f"NOT (name LIKE {sql_str(p)})" for p in config.excluded_patterns) or "true"
+
+    def seg_sums(suffix: str, cond: str | None, seg: str) -> list[Column]:
+        # Conditional sums as SQL text: one parsed expression per output column.
+        # A NULL name fails both LIKE and NOT LIKE, as in the separate reports.
+        return [
+            F.expr(f"sum({n}{suffix}) AS {seg}__{n}") if cond is None
+            else F.expr(f"sum(CASE WHEN {cond} THEN {n}{suffix} END) AS {seg}__{n}")
+            for n in STAT_SUMS
+        ]
 
     plan = [("account", "_p", None), ("shopping", "_p", shopping), ("search", "_p", search)]
     if year is not None:

@@ -298,3 +298,34 @@ def test_resolve_period_defaults():
     assert resolve_period("2024-03-01", None, today) == previous_month(today)
     assert resolve_period("2024-03-05", "2024-03-01", today) == Period(D("2024-03-05"), D("2024-03-01"))
     assert previous_month(date(2024, 1, 15)) == Period(D("2023-12-01"), D("2023-12-31"))
+
+
+def test_read_jdbc_partitions_by_date(spark, monkeypatch):
+    """Option wiring of the partitioned JDBC read (no database is contacted)."""
+    from kpiloom.sources import tables as tables_mod
+
+    seen = {}
+
+    class Reader:
+        def format(self, fmt):
+            seen["format"] = fmt
+            return self
+
+        def option(self, key, value):
+            seen[key] = value
+            return self
+
+        def load(self):
+            return spark.createDataFrame([], tables_mod.CHANNEL_SESSION_REPORT)
+
+    class FakeSpark:
+        read = Reader()
+
+    df = tables_mod.read_jdbc(FakeSpark(), "jdbc:postgresql://db/x", "ga4.sessions",
+                              "channel_session_report", {"user": "u"},
+                              lower_bound="2024-01-01", upper_bound="2024-12-31",
+                              num_partitions=24)
+    assert seen == {"format": "jdbc", "url": "jdbc:postgresql://db/x", "dbtable": "ga4.sessions",
+                    "user": "u", "partitionColumn": "date", "lowerBound": "2024-01-01",
+                    "upperBound": "2024-12-31", "numPartitions": "24"}
+    assert df.columns == [f.name for f in tables_mod.CHANNEL_SESSION_REPORT.fields]
