@@ -41,15 +41,28 @@ def metric_cards(
     ``section_sql`` (an SQL expression over the input row) overrides ``section``.
     """
     sec = section_sql or sql_str(section)
+    return section_cards(df, page, [(sec, keys)], formats, labels)
+
+
+def section_cards(
+    df: DataFrame,
+    page: str,
+    sections: list[tuple[str, list[str]]],
+    formats: dict[str, str],
+    labels: dict[str, str] | None = None,
+) -> DataFrame:
+    """Cards of several sections (``(section SQL, keys)``) from one pass over ``df``:
+    the input report is computed once however many sections show its columns."""
     cards = []
-    for i, key in enumerate(keys, start=1):
-        label = sql_str(labels[key]) if labels and key in labels else title_label_sql(key)
-        col = f"`{key}`"
-        cards.append(
-            f"named_struct('page', {sql_str(page)}, 'section', {sec}, 'position', {i}, "
-            f"'key', {sql_str(key)}, 'label', {label}, 'value', CAST({col} AS DOUBLE), "
-            f"'display', {display_sql(col, formats[key])})"
-        )
+    for sec, keys in sections:
+        for i, key in enumerate(keys, start=1):
+            label = sql_str(labels[key]) if labels and key in labels else title_label_sql(key)
+            col = f"`{key}`"
+            cards.append(
+                f"named_struct('page', {sql_str(page)}, 'section', {sec}, 'position', {i}, "
+                f"'key', {sql_str(key)}, 'label', {label}, 'value', CAST({col} AS DOUBLE), "
+                f"'display', {display_sql(col, formats[key])})"
+            )
     return df.selectExpr(f"inline(array({', '.join(cards)}))")
 
 
@@ -141,8 +154,8 @@ def dashboard_cards(overview: DataFrame, segments: DataFrame, seo: DataFrame) ->
     """All KPI cards: overview page (3 sections), ads page (one section per segment
     of ``segment_totals``), SEO page. Small inputs (one row per page or segment)."""
     parts = [
-        metric_cards(overview, "overview", title, keys, OVERVIEW_FORMATS, OVERVIEW_LABELS)
-        for title, keys in OVERVIEW_SECTIONS
+        section_cards(overview, "overview", [(sql_str(t), k) for t, k in OVERVIEW_SECTIONS],
+                      OVERVIEW_FORMATS, OVERVIEW_LABELS)
     ]
     parts.append(
         metric_cards(segments, "ads", "", ADS_CARD_KEYS, ADS_FORMATS,
