@@ -66,10 +66,13 @@ def known_campaign_totals(
     """Cost, conversions, revenue and ROAS of stats rows whose id has a history.
 
     The reference joins the ``rn = 1`` version, which matches at most one row per id:
-    an existence test, written as a semi join against the distinct ids.
+    an existence test. It is an inner join of the per-id sums with the *distinct* ids
+    (same result as a semi join). A ``left_semi`` join would be pushed below the per-id
+    aggregate by Catalyst, so every stats row would be shuffled before summing; the
+    inner join keeps the map-side partial sums in front of the shuffle.
     """
     per_id = stats_by_id(stats, period, customer_id)
-    known = per_id.join(campaign_ids(history), "id", "left_semi")
+    known = per_id.join(campaign_ids(history), "id")
     mic, conv, val = F.col(SUM_MICROS), F.col(SUM_CONVERSIONS), F.col(SUM_VALUE)
     return known.agg(*resum((SUM_MICROS, SUM_CONVERSIONS, SUM_VALUE))).select(
         money(mic).alias("total_cost"),

@@ -79,6 +79,15 @@ def test_stats_summed_per_id_before_dimension_join(spark, no_broadcast):
     assert "Exchange" not in left
 
 
+def test_existence_join_sits_above_the_per_id_aggregate(spark, no_broadcast):
+    p = plan(spark, "known_campaign_totals")
+    join = p.index("SortMergeJoin [id")
+    below = p[join:]
+    # Both join inputs are per-id aggregates: the stats are summed before the id shuffle.
+    assert below.count("HashAggregate(keys=[id") >= 2
+    assert "LeftSemi" not in p
+
+
 def test_no_cross_or_nested_loop_joins(spark, no_broadcast):
     from __spark_entry__ import queries
 
