@@ -1 +1 @@
-"""plans"""
+"""Plan-level compositions: shared-scan segments, page plans, the daily rollup table."""
