@@ -38,7 +38,8 @@ def _span(*periods: Period) -> Period:
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the cluster's checkpoint folder and read
     it back: lineage is cut like ``checkpoint()``, and later reads keep column pruning
-    and filter pushdown (a checkpointed RDD is an opaque row scan)."""
+    and filter pushdown (a checkpointed RDD is an opaque row scan). The folder
+    (``kpiloom-page-*``) can be removed once the page's reports are written."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/kpiloom-page-{uuid.uuid4().hex}"
     df.write.parquet(path)
