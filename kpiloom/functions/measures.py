@@ -170,11 +170,12 @@ def combine_single_rows(*rows: DataFrame) -> DataFrame:
     padded = []
     for df in rows:
         own = set(df.columns)
-        padded.append(df.select(*[
-            F.col(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name)
+        padded.append(df.selectExpr(*[
+            f"`{f.name}`" if f.name in own
+            else f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`"
             for f in fields
         ]))
     union = padded[0]
     for df in padded[1:]:
         union = union.unionByName(df)
-    return union.agg(*[F.max(n).alias(n) for n in names])
+    return union.agg(*[F.expr(f"max(`{n}`) AS `{n}`") for n in names])
