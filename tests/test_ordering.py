@@ -29,3 +29,9 @@ def test_positions_restart_per_group(spark):
         by_group.setdefault(r[1], []).append(r[0])
     want = {i: pos for ids in by_group.values() for pos, i in enumerate(ids, start=1)}
     assert {r.id: r.position for r in got} == want
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "id long, g string")
+    assert with_position(df, [F.col("id")]).count() == 0
+    assert with_position(df, [F.col("id")], partition_by=["g"]).count() == 0
