@@ -4,7 +4,7 @@ The reference's users open a page with ``start_date`` / ``end_date`` (both valid
 else the previous calendar month). Here the same two dates drive a Spark job that
 writes every report of the page under ``--out/<report>``:
 
-    spark-submit kpiloom/jobs.py ads --start 2024-03-01 --end 2024-03-31 \\
+    spark-submit --py-files kpiloom.zip kpiloom/jobs.py ads --start 2024-03-01 --end 2024-03-31 \\
         --campaign-stats s3://.../campaign_stats --campaign-history s3://.../history \\
         --product-stats s3://.../products --customer-id 123 --out s3://.../reports/2024-03
 """
