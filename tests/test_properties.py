@@ -137,3 +137,54 @@ def test_random_inputs_match_brute_force(spark, make, stats, history):
     want_search = sum(r[4] for r in in_p if _like(latest.get(r[1]), "%Shopping%") is False)
     assert segs["shopping"].clicks == want_shop
     assert segs["search"].clicks == want_search
+
+
+event_rows = st.lists(
+    st.tuples(
+        st.integers(-40, 40),                                    # day offset
+        st.sampled_from(["Organic Search", "Organic Shopping", "Direct"]),
+        st.integers(0, 5),                                       # sessions
+        st.integers(0, 2),                                       # new users
+        st.integers(0, 3),                                       # events
+        st.one_of(st.none(), st.integers(0, 10_000)),            # revenue (cents)
+    ),
+    min_size=0, max_size=40,
+)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(events=event_rows, start=st.integers(-10, 20), length=st.integers(-3, 20),
+       aligned=st.booleans())
+def test_daily_compare_matches_full_outer_join(spark, make, events, start, length, aligned):
+    from kpiloom.operators import organic
+    from kpiloom.period import previous_period
+
+    channels = ("Organic Search", "Organic Shopping")
+    rows = [(BASE + timedelta(days=d), ch, "e", s, n, c, None if r is None else Decimal(r) / 100)
+            for d, ch, s, n, c, r in events]
+    period = Period(BASE + timedelta(days=start), BASE + timedelta(days=start + length))
+    cmp = previous_period(period, aligned=aligned)
+
+    def per_day(p, shift):
+        out = {}
+        for d, ch, _, s, n, c, r in rows:
+            if ch in channels and p.start <= d <= p.end:
+                key = d + timedelta(days=shift)
+                acc = out.setdefault(key, [0, 0, None, 0])
+                acc[0] += s
+                acc[1] += n
+                acc[2] = acc[2] if r is None else (acc[2] or Decimal(0)) + r
+                acc[3] += c
+        return out
+
+    cur, prev = per_day(cmp.current, 0), per_day(cmp.previous, cmp.shift_days)
+    zero = [0, 0, None, 0]
+    want = {}
+    for d in set(cur) | set(prev):
+        c, p = cur.get(d, zero), prev.get(d, zero)
+        want[d] = (c[0], c[1], float(c[2] or 0), c[3], p[0], p[1], float(p[2] or 0), p[3])
+
+    df = organic.organic_daily_compare(make("channel_event_report", rows), period, channels,
+                                       aligned=aligned)
+    got = {r.date: tuple(r)[1:] for r in df.collect()}
+    assert got == want
