@@ -90,3 +90,12 @@ def day_label_sql(col: str) -> str:
 
 def month_label_sql(col: str) -> str:
     return f"date_format({col}, 'MMM yy')"
+
+
+def display_number(text: Column) -> Column:
+    """Numeric value of a display string, like the report table's sort key: whitespace
+    and every character except digits, ``.`` and ``-`` are dropped, the longest leading
+    number is read (as ``parseFloat`` does) and anything unreadable becomes 0."""
+    kept = F.regexp_replace(F.regexp_replace(text, r"\s+", ""), r"[^0-9.\-]", "")
+    lead = F.regexp_extract(kept, r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)", 0)
+    return F.coalesce(lead.try_cast("double"), F.lit(0.0))

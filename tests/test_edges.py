@@ -329,3 +329,15 @@ def test_read_jdbc_partitions_by_date(spark, monkeypatch):
                     "user": "u", "partitionColumn": "date", "lowerBound": "2024-01-01",
                     "upperBound": "2024-12-31", "numPartitions": "24"}
     assert df.columns == [f.name for f in tables_mod.CHANNEL_SESSION_REPORT.fields]
+
+
+def test_display_number_reads_like_the_table_sort(spark):
+    from pyspark.sql import functions as F
+
+    from kpiloom.functions.formatting import display_number
+
+    cases = {"£1,234.50": 1234.5, "12.34%": 12.34, "2.67x": 2.67, "-5": -5.0, "": 0.0,
+             "None": 0.0, "1.2.3": 1.2, "1-2": 1.0, "--1": 0.0, "-.5": -0.5, " 7 ": 7.0}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: r.v for r in df.select("t", display_number(F.col("t")).alias("v")).collect()}
+    assert got == cases
