@@ -188,3 +188,25 @@ def test_daily_compare_matches_full_outer_join(spark, make, events, start, lengt
                                        aligned=aligned)
     got = {r.date: tuple(r)[1:] for r in df.collect()}
     assert got == want
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(days=st.lists(st.integers(-420, 10), min_size=0, max_size=30),
+       today=st.integers(0, 800))
+def test_monthly_buckets_match_brute_force(spark, make, days, today):
+    from kpiloom.operators import organic
+    from kpiloom.period import last_12_months
+
+    start = date(2023, 1, 1)
+    t = start + timedelta(days=today)  # covers the 2024 leap day
+    rows = [(t + timedelta(days=d), "Organic Search", "e", 1, 0, 1, Decimal(1)) for d in days]
+    window = last_12_months(t)
+    want = {}
+    for d, *_ in rows:
+        if window.start <= d <= window.end:
+            m = d.replace(day=1)
+            want[m] = want.get(m, 0) + 1
+    df = organic.organic_monthly(make("channel_event_report", rows), t, ("Organic Search",))
+    got = {r.month: r.key_events for r in df.collect()}
+    assert got == want
+    assert len(got) <= 13
