@@ -210,3 +210,20 @@ def test_monthly_buckets_match_brute_force(spark, make, days, today):
     got = {r.month: r.key_events for r in df.collect()}
     assert got == want
     assert len(got) <= 13
+
+
+def test_fan_out_equals_known_totals_with_one_version_per_campaign(spark):
+    from pyspark.sql import functions as F
+
+    from kpiloom.operators.dims import latest_campaign
+    from kpiloom.registry import ADS_PERIOD
+    from kpiloom.sources.bindings import bind_tables
+
+    t = bind_tables(spark, SF01)
+    one_version = latest_campaign(t.campaign_history).select(
+        "id", "name", F.lit(None).cast("date").alias("start_date"),
+        F.lit(None).cast("long").alias("version_id"),
+    )
+    r7 = ads.conversions_by_campaign_version(t.campaign_stats, one_version, ADS_PERIOD, "O")
+    (known,) = ads.known_campaign_totals(t.campaign_stats, one_version, ADS_PERIOD, "O").collect()
+    assert round(sum(r.conversions for r in r7.collect()), 2) == round(known.total_conversions, 2)
