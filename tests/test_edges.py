@@ -341,3 +341,14 @@ def test_display_number_reads_like_the_table_sort(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: r.v for r in df.select("t", display_number(F.col("t")).alias("v")).collect()}
     assert got == cases
+
+
+def test_catalog_reuses_and_refreshes_definitions(spark):
+    from conftest import SF001
+    from kpiloom.sources import bindings
+
+    a = bindings.bind_tables(spark, SF001)
+    assert bindings.bind_tables(spark, SF001 + "/") is a
+    assert a.campaign_stats is a.campaign_stats  # one definition per session and folder
+    bindings.refresh()
+    assert bindings.bind_tables(spark, SF001) is not a
