@@ -101,3 +101,23 @@ def test_positions_use_no_global_window_over_rows(spark):
     p = plan(spark, "sort_report")
     windows = re.findall(r"Window \[[^\n]*", p)
     assert windows and all("_pos_pid" in w for w in windows), windows
+
+
+def test_fan_out_join_uses_version_counts(spark, no_broadcast):
+    p = plan(spark, "conversions_by_campaign_version")
+    # Versions are counted per (id, name) map-side before the shuffle, never joined row by row.
+    assert "HashAggregate(keys=[id#" in p and "partial_count(1)" in p
+    assert re.search(r"Exchange hashpartitioning\(id#\d+L, name#\d+", p)
+
+
+def test_page_reports_read_the_shared_input_not_the_facts(spark):
+    from kpiloom.plans import dashboards
+    from kpiloom.registry import ADS_PERIOD, ADS_TODAY, CONFIG
+    from kpiloom.sources.bindings import bind_tables
+
+    page = dashboards.ads_page(bind_tables(spark, SF01), ADS_PERIOD, CONFIG, ADS_TODAY)
+    for name, df in page.items():
+        p = df._jdf.queryExecution().executedPlan().toString()
+        if name == "product_performance":
+            continue  # its own fact table
+        assert scans(p, "lineitem") == 0, name  # the facts were read once, by the page
