@@ -137,31 +137,36 @@ def trailing_year_totals(
 
 # --- R6 ---------------------------------------------------------------------------
 
-def account_daily(stats: DataFrame, period: Period, customer_id: str) -> DataFrame:
-    """Per day of the period with data (no gap filling), ordered by day."""
+def account_daily(
+    stats: DataFrame, period: Period, customer_id: str, ordered: bool = True
+) -> DataFrame:
+    """Per day of the period with data (no gap filling), ordered by day.
+
+    ``ordered=False`` skips the final global sort for callers that re-sort anyway."""
     agg = (
         account_rows(stats, period, customer_id)
         .groupBy(F.col("date").alias("day"))
         .agg(*stat_sums())
     )
     mic, conv, val = F.col(SUM_MICROS), F.col(SUM_CONVERSIONS), F.col(SUM_VALUE)
-    return agg.select(
+    out = agg.select(
         "day",
         F.col("sum_impressions").alias("impressions"),
         F.col("sum_clicks").alias("clicks"),
         as_double(conv).alias("conversions"),
         ratio(money(mic), conv).alias("cost_per_conversion"),
         as_double(val).alias("conversion_value"),
-    ).orderBy(F.col("day").asc_nulls_last())
+    )
+    return out.orderBy(F.col("day").asc_nulls_last()) if ordered else out
 
 
 # --- R7 ---------------------------------------------------------------------------
 
 def conversions_by_campaign_version(
     stats: DataFrame, history: DataFrame, period: Period, customer_id: str,
-    dedup: bool = False, latest: DataFrame | None = None,
+    dedup: bool = False, latest: DataFrame | None = None, ordered: bool = True,
 ) -> DataFrame:
-    """Conversions per campaign name.
+    """Conversions per campaign name, ordered by name (``ordered=False``: unsorted).
 
     Faithful form (``dedup=False``): the reference joins every version, so a stats
     row counts once per version of its campaign, under every name it ever had. The
@@ -180,30 +185,33 @@ def conversions_by_campaign_version(
     else:
         joined = per_id.join(version_names(history), "id")
         conv = F.col(SUM_CONVERSIONS) * F.col("n_versions")
-    return (
-        joined.groupBy(F.col("name").alias("campaign"))
-        .agg(as_double(F.sum(conv)).alias("conversions"))
-        .orderBy(F.col("campaign").asc_nulls_last())
+    out = joined.groupBy(F.col("name").alias("campaign")).agg(
+        as_double(F.sum(conv)).alias("conversions")
     )
+    return out.orderBy(F.col("campaign").asc_nulls_last()) if ordered else out
 
 
 # --- R8 ---------------------------------------------------------------------------
 
 def campaign_performance(
     stats: DataFrame, history: DataFrame, period: Period, customer_id: str,
-    latest: DataFrame | None = None,
+    latest: DataFrame | None = None, ordered: bool = True,
 ) -> DataFrame:
-    """Per latest campaign name (ids sharing a name merge), by cost descending."""
+    """Per latest campaign name (ids sharing a name merge), by cost descending
+    (``ordered=False``: unsorted, for callers that sort differently)."""
     per_id = stats_by_id(stats, period, customer_id)
     by_name = (
         per_id.join(_latest(history, latest), "id")
         .groupBy(F.col("name").alias("campaign_name"))
         .agg(*resum())
     )
-    return by_name.select(
+    out = by_name.select(
         "campaign_name",
         *performance_columns("conversion_value", "conversion_value_cost_ratio"),
-    ).orderBy(F.col("cost").desc_nulls_first(), F.col("campaign_name").asc_nulls_last())
+    )
+    if not ordered:
+        return out
+    return out.orderBy(F.col("cost").desc_nulls_first(), F.col("campaign_name").asc_nulls_last())
 
 
 # --- R9 ---------------------------------------------------------------------------

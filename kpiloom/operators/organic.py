@@ -77,7 +77,8 @@ def organic_summary(
 
 
 def organic_daily_compare(
-    event_report: DataFrame, period: Period, channels, aligned: bool = False
+    event_report: DataFrame, period: Period, channels, aligned: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
     """Per-day measures of the period next to the previous period's, moved forward.
 
@@ -108,14 +109,14 @@ def organic_daily_compare(
         for m in EVENT_MEASURES:
             name = m + suffix
             out.append(F.coalesce(F.col(name), zero.get(m, F.lit(0).cast("bigint"))).alias(name))
-    return daily.select(*out).orderBy(F.col("date").asc_nulls_last())
+    result = daily.select(*out)
+    return result.orderBy(F.col("date").asc_nulls_last()) if ordered else result
 
 
-def organic_monthly(event_report: DataFrame, today: date, channels) -> DataFrame:
+def organic_monthly(
+    event_report: DataFrame, today: date, channels, ordered: bool = True
+) -> DataFrame:
     """The four sums per calendar month of ``[today - 365, today]`` (up to 13)."""
     months = _organic(event_report, EVENT_CHANNEL, channels, in_period(last_12_months(today)))
-    return (
-        months.groupBy(F.trunc("date", "month").alias("month"))
-        .agg(*_event_sums())
-        .orderBy(F.col("month").asc_nulls_last())
-    )
+    out = months.groupBy(F.trunc("date", "month").alias("month")).agg(*_event_sums())
+    return out.orderBy(F.col("month").asc_nulls_last()) if ordered else out

@@ -178,14 +178,17 @@ def q_metric_cards(spark, sf_dir):
 def q_chart_series(spark, sf_dir):
     """Every chart series of the ads and SEO pages, long form."""
     t = _t(spark, sf_dir)
-    daily = ads.account_daily(t.campaign_stats, ADS_PERIOD, CONFIG.customer_id)
+    # The series are positioned by their own sort: the reports' global sorts are skipped.
+    daily = ads.account_daily(t.campaign_stats, ADS_PERIOD, CONFIG.customer_id, ordered=False)
     by_campaign = ads.conversions_by_campaign_version(
-        t.campaign_stats, t.campaign_history, ADS_PERIOD, CONFIG.customer_id
+        t.campaign_stats, t.campaign_history, ADS_PERIOD, CONFIG.customer_id, ordered=False
     )
     seo_daily = organic.organic_daily_compare(
-        t.channel_event_report, ORGANIC_PERIOD, CONFIG.channels
+        t.channel_event_report, ORGANIC_PERIOD, CONFIG.channels, ordered=False
+    )
+    monthly = organic.organic_monthly(
+        _long_report(spark, sf_dir), MONTHLY_TODAY, CONFIG.channels, ordered=False
     )
-    monthly = organic.organic_monthly(_long_report(spark, sf_dir), MONTHLY_TODAY, CONFIG.channels)
     return present.dashboard_series(daily, by_campaign, seo_daily, monthly)
 
 
@@ -194,9 +197,11 @@ def q_product_search(spark, sf_dir):
 
 
 def q_sort_report(spark, sf_dir):
-    return present.sort_report(
-        q_campaign_performance(spark, sf_dir), SORT_COLUMN, ascending=SORT_ASCENDING
+    t = _t(spark, sf_dir)
+    perf = ads.campaign_performance(
+        t.campaign_stats, t.campaign_history, ADS_PERIOD, CONFIG.customer_id, ordered=False
     )
+    return present.sort_report(perf, SORT_COLUMN, ascending=SORT_ASCENDING)
 
 
 QUERIES: dict[str, Query] = {
