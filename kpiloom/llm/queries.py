@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import simhash
+from kpiloom.llm import quality_rules, simhash
 from kpiloom.llm.common import materialise
 
 
@@ -19,6 +19,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base verdict and weakly supervised verdict of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs.select("doc_id", F.col("text")))
+    return judged.select(
+        F.col("_row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"),
+    )
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, linked at 3 or fewer bits, one row per document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +39,9 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.oracle(),
+}
