@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import quality_rules, simhash
+from kpiloom.llm import decontaminate, quality_rules, simhash
 from kpiloom.llm.common import materialise
 
 
@@ -29,6 +29,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside 10-word windows of the benchmark, and the items found."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contamination(docs, _read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, linked at 3 or fewer bits, one row per document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,8 +50,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
+    "op4_benchmark_decontamination": decontaminate.oracle(),
 }
