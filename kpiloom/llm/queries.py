@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import decontaminate, quality_rules, simhash
+from kpiloom.llm import byte_bpe, decontaminate, quality_rules, simhash
 from kpiloom.llm.common import materialise
 
 
@@ -48,10 +48,29 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer() -> tuple[dict[bytes, int], str]:
+    """Ranks and split pattern of the public byte-level vocabulary of 50,256 tokens."""
+    import public_tokenizers
+
+    return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded to ids and decoded again."""
+    ranks, pattern = tokenizer()
+    encoded = byte_bpe.encode(_read(spark, sf_dir, "documents"), ranks, pattern)
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
