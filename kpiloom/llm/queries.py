@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import byte_bpe, decontaminate, quality_rules, simhash
+from kpiloom.llm import byte_bpe, decontaminate, quality_rules, secrets, simhash
 from kpiloom.llm.common import materialise
 
 
@@ -48,6 +48,30 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spans(kinds: tuple[str, ...] | None = None):
+    """findings as kind:start:end, comma-joined; of the given kinds only."""
+    from pyspark.sql import Column
+
+    chosen: Column = F.col("findings")
+    if kinds:
+        chosen = F.filter(chosen, lambda f: f["kind"].isin(*kinds))
+    return F.array_join(F.transform(chosen, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+
+def _count(kind: str):
+    return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once against a new ledger."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    base = tuple(r.name for r in secrets.BASE)
+    return secrets.findings(docs).select(
+        F.col("_row.doc_id").alias("doc_id"), *[_count(k).alias(f"n_{k}") for k in base],
+        F.sha2(_spans(base), 256).alias("base_sha256"), _spans().alias("spans"),
+    )
+
+
 def tokenizer() -> tuple[dict[bytes, int], str]:
     """Ranks and split pattern of the public byte-level vocabulary of 50,256 tokens."""
     import public_tokenizers
@@ -70,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_secret_scans": op7_secret_scans,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
