@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import byte_bpe, decontaminate, quality_rules, secrets, simhash
+from kpiloom.llm import byte_bpe, decontaminate, quality_classifier, quality_rules, secrets, simhash, toxicity
 from kpiloom.llm.common import materialise
 
 
@@ -39,6 +39,22 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def _scored(found: DataFrame) -> DataFrame:
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(quality_classifier.quality(docs, _read(spark, sf_dir, "labels")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(toxicity.toxicity(docs, _read(spark, sf_dir, "labels")))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, linked at 3 or fewer bits, one row per document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -93,8 +109,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scans": op7_secret_scans,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
