@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import byte_bpe, decontaminate, quality_classifier, quality_rules, secrets, simhash, toxicity
+from kpiloom.llm import byte_bpe, decontaminate, licenses, quality_classifier, quality_rules, secrets, simhash, toxicity
 from kpiloom.llm.common import materialise
 
 
@@ -19,6 +19,31 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document; the score is the share of its words
+    that lie in a match."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+    return (
+        licenses.scan(docs)
+        .withColumn("_base", F.filter("matches", lambda m: m["base"]))
+        .withColumn("_spans", F.sort_array(F.transform("matches", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))))
+        .withColumn(
+            "_covered",
+            F.expr(
+                "aggregate(_spans, struct(0 as n, 0 as upto), (a, s) -> struct(a.n + greatest(s.end - greatest(s.start, a.upto), 0) as n, "
+                "greatest(a.upto, s.end) as upto), a -> a.n)"
+            ),
+        )
+        .select(
+            F.col("_row.doc_id").alias("doc_id"), "n_words", F.size("_base").cast("long").alias("n_base"),
+            F.array_min("_base.start").cast("long").alias("first_word"), F.array_max("_base.start").cast("long").alias("last_word"),
+            joined(F.col("_base.label")).alias("base_labels"), joined(F.col("matches.label")).alias("labels"),
+            F.when(F.col("n_words") > 0, F.col("_covered") / F.col("n_words")).otherwise(0.0).alias("score"),
+        )
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base verdict and weakly supervised verdict of every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -107,6 +132,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scans": op2_license_scans,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
