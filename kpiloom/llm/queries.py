@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import byte_bpe, decontaminate, licenses, quality_classifier, quality_rules, secrets, simhash, toxicity
+from kpiloom.llm import byte_bpe, decontaminate, licenses, pii, quality_classifier, quality_rules, secrets, simhash, toxicity
 from kpiloom.llm.common import materialise
 
 
@@ -113,6 +113,15 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that give it away."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.findings(docs).select(
+        "doc_id", *[_count(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(_spans(pii.KINDS), 256).alias("base_sha256"), _spans().alias("spans"),
+    )
+
+
 def tokenizer() -> tuple[dict[bytes, int], str]:
     """Ranks and split pattern of the public byte-level vocabulary of 50,256 tokens."""
     import public_tokenizers
@@ -140,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scans": op7_secret_scans,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
