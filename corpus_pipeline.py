@@ -1,7 +1,68 @@
-"""Placeholder until the stages are written."""
-STAGES = []
+"""A training corpus from raw documents: five stages, each written as Parquet and reread.
+
+Each stage takes all rows that the one before kept. All but the last return the columns of
+``documents``; the last returns token ids. ``ORACLE_SQL`` is None because SQL can't express the
+SimHash classes and the byte-pair merges; tests hold the run against brute force.
+
+Odd input is treated as each operator's module says: rows with NULL or short texts fall to the
+quality rules, repeated rows to the near-duplicate stage; empty tables go through as empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kpiloom.llm import byte_bpe, decontaminate, quality_rules, secrets, simhash
+from kpiloom.llm.common import materialise
+from kpiloom.llm.queries import tokenizer
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised quality rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each SimHash class (3-word shingles, 3 bits)."""
+    return simhash.keep_first(docs, shingle=3, max_distance=3)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any 10-word window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced in the text and n_chars counted anew."""
+    return secrets.redact(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the ids, and the digest of what they
+    decode to."""
+    ranks, pattern = tokenizer()
+    encoded = byte_bpe.encode(docs, ranks, pattern)
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("secret_scans", redact_secrets),
+    ("byte_bpe", tokenize),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

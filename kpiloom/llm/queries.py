@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import byte_bpe, decontaminate, licenses, pii, quality_classifier, quality_rules, secrets, simhash, toxicity
+from kpiloom.llm import byte_bpe, decontaminate, licenses, pii, quality_classifier, quality_rules, secrets, simhash, substring_dedup, toxicity
 from kpiloom.llm.common import materialise
 
 
@@ -19,6 +19,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a 20-word paragraph that occurs in several documents, with its class."""
+    found = substring_dedup.duplicated(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("at").alias("first_word"), "n_words", "class_id", "n_docs", "removed")
+
+
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document; the score is the share of its words
     that lie in a match."""
@@ -141,6 +147,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scans": op2_license_scans,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
