@@ -20,4 +20,4 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held
         labels.where(y.isin(0, 1) & (remainder(modulus, id_col) != held_out)).groupBy(id_col).agg(F.max(y).alias("y"))
         .orderBy(F.xxhash64(id_col), id_col).limit(most)
     )
-    return docs.select(id_col, "text").join(F.broadcast(chosen) if most <= 1_000_000 else chosen, id_col)
+    return docs.select(id_col, "text").join(F.broadcast(chosen) if most <= 200_000 else chosen, id_col)

@@ -32,7 +32,7 @@ WIDTH = 0.35  #: inverse width of the kernel, in standard deviations
 RIDGE = 1e-2  #: ridge penalty per training row
 FOLDS = 3
 BINS = 1000
-MOST_LABELLED = 1_000_000
+MOST_LABELLED = 200_000  #: labelled rows that are learnt from
 SEED = 20240
 
 
@@ -98,10 +98,10 @@ def fit(rows: DataFrame) -> dict | None:
         rows.select(_stats_column("text").alias("x"), "y", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")),
         "quality-stats",
     )
-    vector = array_to_vector("x")
-    first = rows.agg(Summarizer.mean(vector).alias("m"), Summarizer.std(vector).alias("s"), F.count("*").alias("n"), F.avg("y").alias("p")).first()
-    if not first["n"]:
+    if rows.isEmpty():
         return None
+    vector = array_to_vector("x")
+    first = rows.agg(Summarizer.mean(vector).alias("m"), Summarizer.std(vector).alias("s")).first()
     std = first["s"].toArray()
     model = {"mean": first["m"].toArray(), "std": np.where(std > 1e-9, std, 1.0)}
 

@@ -158,7 +158,9 @@ def findings(versions: DataFrame, ledger: str | None = None, path: str = "doc_id
     )
 
 
-def _redacted(text: str, starts, ends) -> str:
+def _redacted(text: str | None, starts, ends) -> str | None:
+    if text is None:
+        return None
     parts, at = [], 0
     for s, e in zip(starts, ends, strict=True):
         if s >= at:
