@@ -42,16 +42,16 @@ def _channel(key: str) -> str:
 
 BINDINGS = {
     "campaign_stats": """campaign_stats AS (
-    SELECT l.l_linestatus AS customer_id, o.o_custkey AS id, CAST(l.l_shipdate AS DATE) AS date,
+    SELECT l.l_linestatus AS customer_id, l.l_partkey AS id, CAST(l.l_shipdate AS DATE) AS date,
            CAST(l.l_quantity AS BIGINT) * 100 AS impressions, CAST(l.l_quantity AS BIGINT) AS clicks,
            CAST(ROUND(l.l_extendedprice * 100) AS BIGINT) * 10000 AS cost_micros,
            CAST(l.l_discount AS DECIMAL(18,2)) AS conversions,
-           CAST(o.o_totalprice AS DECIMAL(18,2)) AS conversions_value
-    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)""",
+           CAST(CAST(l.l_extendedprice AS DECIMAL(16,2)) * l.l_linenumber AS DECIMAL(18,2)) AS conversions_value
+    FROM lineitem l)""",
     "campaign_history": """campaign_history AS (
     SELECT o_custkey AS id, o_orderpriority AS name, CAST(o_orderdate AS DATE) AS start_date,
            o_orderkey AS version_id
-    FROM orders WHERE o_custkey % 10 <> 0)""",
+    FROM orders)""",
     "latest": """latest AS (
     SELECT id, name FROM (
         SELECT id, name, ROW_NUMBER() OVER (PARTITION BY id

@@ -1,7 +1,7 @@
 """Bindings of the logical tables to the driver's synthetic tables (FIXTURES.md part B).
 
-Each binding is a lazy projection (plus one equi-join where the measures live in
-two tables), so filters on the logical columns are pushed back into the physical
+Each binding is a lazy projection (plus one equi-join where the product measures live
+in two tables), so filters on the logical columns are pushed back into the physical
 scans: ``customer_id = 'O'`` becomes ``l_linestatus = 'O'`` and a ``date`` range
 becomes a ``l_shipdate`` range in the Parquet reader.
 """
@@ -18,8 +18,6 @@ from kpiloom.sources.tables import MONEY
 # Channel group assigned by ``key % 4`` in the test bindings.
 CHANNEL_BY_REMAINDER = ("Organic Search", "Organic Shopping", "Direct", "Paid Search")
 
-RAW_TABLES = ("lineitem", "orders", "part", "events")
-
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -50,25 +48,26 @@ def _stats_columns() -> dict[str, Column]:
     }
 
 
-def campaign_stats(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    o = orders.select("o_orderkey", "o_custkey", "o_totalprice")
-    joined = lineitem.join(o, lineitem["l_orderkey"] == o["o_orderkey"])
+def campaign_stats(lineitem: DataFrame) -> DataFrame:
+    """One stats row per line; the campaign is the line's part, so no other table is read."""
     c = _stats_columns()
-    return joined.select(
+    value = F.col("l_extendedprice").cast("decimal(16,2)") * F.col("l_linenumber")
+    return lineitem.select(
         c["customer_id"],
-        F.col("o_custkey").alias("id"),
+        F.col("l_partkey").alias("id"),
         c["date"],
         (F.col("l_quantity").cast("bigint") * 100).alias("impressions"),
         c["clicks"],
         c["cost_micros"],
         c["conversions"],
-        F.col("o_totalprice").cast(MONEY).alias("conversions_value"),
+        value.cast(MONEY).alias("conversions_value"),
     )
 
 
 def campaign_history(orders: DataFrame) -> DataFrame:
-    """Every order is a campaign version; customers with ``o_custkey % 10 = 0`` have none."""
-    return orders.where(F.col("o_custkey") % 10 != 0).select(
+    """Every order is a version of the campaign numbered like its customer. Parts outnumber
+    customers, so some campaigns have no history."""
+    return orders.select(
         F.col("o_custkey").alias("id"),
         F.col("o_orderpriority").alias("name"),
         _as_date(F.col("o_orderdate")).alias("start_date"),
@@ -136,10 +135,8 @@ def channel_event_report_long(lineitem: DataFrame) -> DataFrame:
 class BoundTables:
     """The logical tables over one directory of the driver's files.
 
-    Each table is defined on first use and then reused: a definition is only a
-    logical plan (no data is cached), so reports built later share the analysed
-    relations and the file listing instead of re-reading Parquet footers and
-    re-analysing the bindings for every report.
+    Each table is defined on first use and reused within this object, so the reports of
+    one call share a file listing. The next call lists the files anew.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -154,7 +151,7 @@ class BoundTables:
 
     @cached_property
     def campaign_stats(self) -> DataFrame:
-        return campaign_stats(self.raw("lineitem"), self.raw("orders"))
+        return campaign_stats(self.raw("lineitem"))
 
     @cached_property
     def campaign_history(self) -> DataFrame:
@@ -177,24 +174,6 @@ class BoundTables:
         return channel_event_report_long(self.raw("lineitem"))
 
 
-_CATALOG: dict[tuple[str, str], BoundTables] = {}
-
-
-def _session_key(spark: SparkSession) -> str:
-    try:
-        return str(spark._jsparkSession.sessionUUID())
-    except Exception:  # sessions without a JVM handle
-        return f"py-{id(spark)}"
-
-
 def bind_tables(spark: SparkSession, sf_dir: str) -> BoundTables:
-    """The logical tables over the parquet files at ``sf_dir``, one definition per
-    session and directory (see ``BoundTables``). ``refresh`` drops the definitions."""
-    key = (_session_key(spark), sf_dir.rstrip("/"))
-    if key not in _CATALOG:
-        _CATALOG[key] = BoundTables(spark, sf_dir.rstrip("/"))
-    return _CATALOG[key]
-
-
-def refresh() -> None:
-    _CATALOG.clear()
+    """The logical tables over the Parquet files that are at ``sf_dir`` now."""
+    return BoundTables(spark, sf_dir.rstrip("/"))

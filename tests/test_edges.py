@@ -343,12 +343,16 @@ def test_display_number_reads_like_the_table_sort(spark):
     assert got == cases
 
 
-def test_catalog_reuses_and_refreshes_definitions(spark):
+def test_appended_files_are_seen_by_the_next_call(spark, tmp_path):
+    import shutil
+
     from conftest import SF001
-    from kpiloom.sources import bindings
 
-    a = bindings.bind_tables(spark, SF001)
-    assert bindings.bind_tables(spark, SF001 + "/") is a
-    assert a.campaign_stats is a.campaign_stats  # one definition per session and folder
-    bindings.refresh()
-    assert bindings.bind_tables(spark, SF001) is not a
+    from kpiloom.registry import QUERIES
+
+    (tmp_path / "events.parquet").mkdir()
+    shutil.copy(f"{SF001}/events.parquet", tmp_path / "events.parquet" / "a.parquet")
+    (before,) = QUERIES["purchase_totals"](spark, str(tmp_path)).collect()
+    shutil.copy(f"{SF001}/events.parquet", tmp_path / "events.parquet" / "b.parquet")
+    (after,) = QUERIES["purchase_totals"](spark, str(tmp_path)).collect()
+    assert after.total_seo_sales == 2 * before.total_seo_sales > 0
