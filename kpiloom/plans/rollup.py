@@ -29,7 +29,10 @@ def daily_rollup(stats: DataFrame) -> DataFrame:
 
 
 def write_rollup(rollup: DataFrame, path: str, max_records_per_file: int | None = None) -> None:
-    """Write the rollup as Parquet partitioned by ``date``.
+    """Write the rollup as Parquet partitioned by ``date``, replacing the dates it holds.
+
+    Dates that ``rollup`` has no row of stay as they are (dynamic partition overwrite), so
+    one restated day can be rebuilt alone.
 
     Range-partitioning on (date, customer_id, id) spreads even a hot day over several
     writer tasks (no single task receives a whole date); ``max_records_per_file``
@@ -38,6 +41,7 @@ def write_rollup(rollup: DataFrame, path: str, max_records_per_file: int | None
     spark = rollup.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rollup.repartitionByRange(n, "date", "customer_id", "id").write.mode("overwrite")
+    writer = writer.option("partitionOverwriteMode", "dynamic")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.partitionBy("date").parquet(path)

@@ -5,8 +5,9 @@ per micro-batch to the (customer_id, id, date) grain and written to
 ``<rollup>/batch_id=<epoch>``. Writing each epoch to its own folder in overwrite
 mode makes a replayed epoch (after a failure between write and commit) replace its
 own output instead of adding it twice, so the rollup is exactly-once without
-streaming state. Readers re-sum the per-batch partials; ``compact`` rewrites them
-as one date-partitioned rollup (``kpiloom.plans.rollup``).
+streaming state. Readers re-sum the per-batch partials. ``compact`` folds finished
+epochs into ``<rollup>/compacted_to=<epoch>``: the name records the last epoch inside, so
+readers take the newest compacted folder and the epochs after it, and nothing twice.
 
 Restated days (a source that replaces earlier rows) are not additive: rebuild the
 affected dates with the batch rollup instead.
@@ -14,12 +15,13 @@ affected dates with the batch rollup instead.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from kpiloom.plans.rollup import daily_rollup, write_rollup
-from kpiloom.sources.tables import CAMPAIGN_STATS
+from kpiloom.plans.rollup import daily_rollup
+from kpiloom.sources.tables import CAMPAIGN_STATS, conform
 
 
 def batch_writer(rollup_path: str):
@@ -27,7 +29,7 @@ def batch_writer(rollup_path: str):
     base = rollup_path.rstrip("/")
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        daily_rollup(batch).write.mode("overwrite").parquet(f"{base}/batch_id={epoch_id}")
+        daily_rollup(conform(batch, "campaign_stats")).write.mode("overwrite").parquet(f"{base}/batch_id={epoch_id}")
 
     return write
 
@@ -40,10 +42,12 @@ def start_rollup_stream(
     available_now: bool = True,
     processing_time: str = "5 minutes",
     max_files_per_trigger: int | None = None,
+    schema: StructType | None = None,
 ) -> StreamingQuery:
-    """Start the stream. ``available_now`` processes what is there and stops; otherwise
+    """Start the stream. ``schema`` is the source files' schema; by default it is read from
+    the files that are there (the contract's if there are none), so measures may be DOUBLE. ``available_now`` processes what is there and stops; otherwise
     it runs every ``processing_time``. ``checkpoint_location`` must be a shared folder."""
-    reader = spark.readStream.schema(CAMPAIGN_STATS)
+    reader = spark.readStream.schema(schema or _source_schema(spark, source_path))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     writer = (
@@ -58,12 +62,58 @@ def start_rollup_stream(
     return writer.start()
 
 
+def _source_schema(spark: SparkSession, source_path: str) -> StructType:
+    try:
+        return spark.read.parquet(source_path).schema
+    except AnalysisException:  # no file yet
+        return CAMPAIGN_STATS
+
+
+def _folders(spark: SparkSession, base: str) -> tuple[int, list[int]]:
+    """(last epoch inside the newest compacted folder or -1, epochs after it)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def done(name: str) -> bool:  # a folder without _SUCCESS is still being written, or was left by a failure
+        return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}/_SUCCESS"))
+
+    upto = max((int(n.split("=")[1]) for n in names if n.startswith("compacted_to=") and done(n)), default=-1)
+    epochs = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id=") and done(n))
+    return upto, [e for e in epochs if e > upto]
+
+
 def read_stream_rollup(spark: SparkSession, rollup_path: str) -> DataFrame:
-    """Current rollup: the per-batch partial sums summed again (additive)."""
-    partials = spark.read.parquet(rollup_path).drop("batch_id")
-    return daily_rollup(partials.select(*[F.col(f.name) for f in CAMPAIGN_STATS.fields]))
+    """Current rollup: the newest compacted partials and the later epochs, summed (additive)."""
+    base = rollup_path.rstrip("/")
+    upto, epochs = _folders(spark, base)
+    paths = [f"{base}/compacted_to={upto}"] * (upto >= 0) + [f"{base}/batch_id={e}" for e in epochs]
+    if not paths:
+        return spark.createDataFrame([], CAMPAIGN_STATS)
+    parts = [conform(spark.read.parquet(p), "campaign_stats") for p in paths[:1]]
+    if len(paths) > 1:
+        parts.append(conform(spark.read.parquet(*paths[1:]), "campaign_stats"))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return daily_rollup(both)
 
 
-def compact(spark: SparkSession, rollup_path: str, out_path: str) -> None:
-    """Rewrite the per-batch partials as one date-partitioned rollup table."""
-    write_rollup(read_stream_rollup(spark, rollup_path), out_path)
+def compact(spark: SparkSession, rollup_path: str, keep: int = 1) -> int:
+    """Fold all epochs but the newest ``keep`` (one may still be replayed) into a new compacted
+    folder and return its epoch; -1 if there was nothing to fold. Folders that it replaces are
+    removed only when the new one is complete."""
+    base = rollup_path.rstrip("/")
+    upto, epochs = _folders(spark, base)
+    fold = epochs[: len(epochs) - keep] if keep else epochs
+    if not fold:
+        return -1
+    old = [f"{base}/compacted_to={upto}"] * (upto >= 0)
+    paths = [f"{base}/batch_id={e}" for e in fold]
+    rows = conform(spark.read.parquet(*paths), "campaign_stats")
+    if old:
+        rows = rows.unionByName(conform(spark.read.parquet(old[0]), "campaign_stats"))
+    daily_rollup(rows).write.mode("overwrite").parquet(f"{base}/compacted_to={fold[-1]}")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for p in old + paths:
+        fs.delete(fs_path(p), True)
+    return fold[-1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from kpiloom.operators import ads
-from kpiloom.plans.rollup import daily_rollup, read_rollup
+from kpiloom.plans.rollup import daily_rollup, read_rollup, write_rollup
 from kpiloom.registry import ADS_PERIOD
 from kpiloom.sources.bindings import bind_tables
 from kpiloom.streaming.rollup_stream import (
@@ -43,8 +43,34 @@ def test_stream_rollup_matches_batch(spark):
     batch_writer(out)(stats.where(F.col("date") >= "1998-01-01"), last)
     assert rows(read_stream_rollup(spark, out)) == want
 
-    compacted = os.path.join(root, "compacted")
-    compact(spark, out, compacted)
-    rolled = read_rollup(spark, compacted)
+    assert compact(spark, out) == 0 and sorted(os.listdir(out)) == ["batch_id=1", "compacted_to=0"]
+    assert rows(read_stream_rollup(spark, out)) == want
+    # Newer epochs are added to what is compacted; replaying the kept one still replaces it.
+    batch_writer(out)(stats.where(F.col("date") >= "1998-01-01"), last)
+    assert rows(read_stream_rollup(spark, out)) == want
+    assert compact(spark, out, keep=0) == 1 and compact(spark, out, keep=0) == -1
+    rolled = read_stream_rollup(spark, out)
+    assert rows(rolled) == want
     assert rows(ads.account_totals(rolled, ADS_PERIOD, "O")) == rows(
         ads.account_totals(stats, ADS_PERIOD, "O"))
+
+
+def test_double_measures_stream_through(spark, tmp_path):
+    stats = bind_tables(spark, SF001).campaign_stats.withColumn("conversions", F.col("conversions").cast("double"))
+    stats.write.parquet(f"{tmp_path}/src/a")
+    q = start_rollup_stream(spark, f"{tmp_path}/src/*", f"{tmp_path}/out", f"{tmp_path}/ckpt")
+    q.awaitTermination(300)
+    got = read_stream_rollup(spark, f"{tmp_path}/out")
+    assert dict(got.dtypes)["conversions"] == "double"
+    want = daily_rollup(stats).agg(F.round(F.sum("conversions"), 6)).first()[0]
+    assert got.agg(F.round(F.sum("conversions"), 6)).first()[0] == want
+
+
+def test_rebuilding_a_day_keeps_the_others(spark, tmp_path):
+    stats = bind_tables(spark, SF001).campaign_stats
+    path = f"{tmp_path}/rollup"
+    write_rollup(daily_rollup(stats), path)
+    before = rows(read_rollup(spark, path))
+    day = daily_rollup(stats).agg(F.min("date")).first()[0]
+    write_rollup(daily_rollup(stats.where(F.col("date") == F.lit(day))), path)
+    assert rows(read_rollup(spark, path)) == before
