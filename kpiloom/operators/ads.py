@@ -13,6 +13,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from kpiloom.functions.measures import (
     PRODUCT_SUMS,
@@ -36,8 +37,20 @@ def in_period(period: Period, col: str = "date") -> Column:
     return F.col(col).between(F.lit(period.start), F.lit(period.end))
 
 
+def is_account(stats: DataFrame, customer_id: str) -> Column:
+    """The account filter in the column's own type, so that it reaches the scan. Text that
+    is no number equals no numeric id."""
+    kind = stats.schema["customer_id"].dataType
+    if not isinstance(kind, IntegralType):
+        return F.col("customer_id") == F.lit(customer_id)
+    try:
+        return F.col("customer_id") == F.lit(int(customer_id)).cast(kind if abs(int(customer_id)) < 2**31 else "bigint")
+    except ValueError:
+        return F.lit(False)
+
+
 def account_rows(stats: DataFrame, period: Period, customer_id: str) -> DataFrame:
-    return stats.where((F.col("customer_id") == F.lit(customer_id)) & in_period(period))
+    return stats.where(is_account(stats, customer_id) & in_period(period))
 
 
 def stats_by_id(stats: DataFrame, period: Period, customer_id: str) -> DataFrame:
@@ -165,8 +178,10 @@ def account_daily(
 def conversions_by_campaign_version(
     stats: DataFrame, history: DataFrame, period: Period, customer_id: str,
     dedup: bool = False, latest: DataFrame | None = None, ordered: bool = True,
+    versions: DataFrame | None = None,
 ) -> DataFrame:
     """Conversions per campaign name, ordered by name (``ordered=False``: unsorted).
+    ``versions``: a precomputed ``version_names`` (a page plan's).
 
     Faithful form (``dedup=False``): the reference joins every version, so a stats
     row counts once per version of its campaign, under every name it ever had. The
@@ -183,7 +198,7 @@ def conversions_by_campaign_version(
         joined = per_id.join(_latest(history, latest), "id")
         conv = F.col(SUM_CONVERSIONS)
     else:
-        joined = per_id.join(version_names(history), "id")
+        joined = per_id.join(versions if versions is not None else version_names(history), "id")
         conv = F.col(SUM_CONVERSIONS) * F.col("n_versions")
     out = joined.groupBy(F.col("name").alias("campaign")).agg(
         as_double(F.sum(conv)).alias("conversions")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kpiloom.config import ReportConfig
 from kpiloom.functions.measures import STAT_SUMS, kpi_columns, stat_sums
 from kpiloom.functions.formatting import sql_str
-from kpiloom.operators.ads import in_period
+from kpiloom.operators.ads import in_period, is_account
 from kpiloom.operators.dims import latest_campaign
 from kpiloom.period import Period, trailing_year
 
@@ -44,7 +44,7 @@ def segment_totals(
     year = trailing_year(today) if today is not None else None
     in_p = in_period(period)
     in_y = in_period(year) if year is not None else F.lit(False)
-    rows = stats.where((F.col("customer_id") == F.lit(config.customer_id)) & (in_p | in_y))
+    rows = stats.where(is_account(stats, config.customer_id) & (in_p | in_y))
 
     per_id = rows.groupBy("id").agg(
         *_suffixed(stat_sums(when=in_p), "_p"),

@@ -86,11 +86,17 @@ def _keeps_source_type(contract: T.DataType, source: T.DataType) -> bool:
     )
 
 
+def _keeps_integral_account(name: str, source: T.DataType) -> bool:
+    """A numeric account id keeps its type: a cast of the column would hide the account
+    filter from the scan. ``ads.account_rows`` casts the literal instead."""
+    return name == "customer_id" and isinstance(source, T.IntegralType)
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project ``df`` onto the contract schema of ``table``.
 
     Columns are cast to the contract type, except money measures already stored as
-    DOUBLE or DECIMAL, which keep their type (see ``_keeps_source_type``). A missing
+    DOUBLE or DECIMAL and integral account ids, which keep their type. A missing
     required column raises ``SchemaError``. The projection is lazy and prunable.
     """
     schema = SCHEMAS[table]
@@ -106,7 +112,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
                 continue
             missing.append(field.name)
             continue
-        if _keeps_source_type(field.dataType, source_types[src]):
+        if _keeps_source_type(field.dataType, source_types[src]) or _keeps_integral_account(field.name, source_types[src]):
             cols.append(F.col(src).alias(field.name))
         else:
             cols.append(F.col(src).cast(field.dataType).alias(field.name))

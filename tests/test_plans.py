@@ -51,6 +51,12 @@ def test_filters_pushed_and_columns_pruned(spark):
         assert unused not in read
 
 
+@pytest.mark.parametrize("name", ["account_totals", "account_daily"])
+def test_account_reports_read_one_table(spark, no_broadcast, name):
+    p = plan(spark, name)
+    assert len(re.findall("FileScan", p)) == 1 and "Join" not in p
+
+
 def test_segments_scan_the_facts_once(spark):
     p = plan(spark, "segment_totals")
     assert scans(p, "lineitem") == 1
@@ -89,9 +95,9 @@ def test_existence_join_sits_above_the_per_id_aggregate(spark, no_broadcast):
 
 
 def test_no_cross_or_nested_loop_joins(spark, no_broadcast):
-    from __spark_entry__ import queries
+    from kpiloom.registry import QUERIES
 
-    for name in queries():
+    for name in QUERIES:
         p = plan(spark, name)
         assert "CartesianProduct" not in p, name
         assert "BroadcastNestedLoopJoin" not in p, name
@@ -121,3 +127,20 @@ def test_page_reports_read_the_shared_input_not_the_facts(spark):
         if name == "product_performance":
             continue  # its own fact table
         assert scans(p, "lineitem") == 0, name  # the facts were read once, by the page
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "int"])
+def test_account_filter_is_pushed_for_every_id_type(spark, tmp_path, kind):
+    from kpiloom.operators import ads
+    from kpiloom.registry import ADS_PERIOD
+    from kpiloom.sources.bindings import bind_tables
+    from kpiloom.sources.tables import read_parquet
+
+    stats = bind_tables(spark, SF01).campaign_stats.selectExpr("if(customer_id = 'O', '7', '8') as customer_id", "* except (customer_id)")
+    stats.withColumn("customer_id", stats.customer_id.cast(kind)).write.parquet(f"{tmp_path}/s")
+    source = read_parquet(spark, f"{tmp_path}/s", "campaign_stats")
+    report = ads.account_totals(source, ADS_PERIOD, "7")
+    p = spark._jvm.PythonSQLUtils.explainString(report._jdf.queryExecution(), "formatted")
+    assert "EqualTo(customer_id,7)" in p
+    assert report.first().clicks == 9719
+    assert ads.account_totals(source, ADS_PERIOD, "text").first().clicks == 0
