@@ -14,7 +14,7 @@ from __future__ import annotations
 import argparse
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from kpiloom.config import ReportConfig
 from kpiloom.period import resolve_period
@@ -27,6 +27,11 @@ TABLE_ARGS = (
     "campaign_stats", "campaign_history", "product_stats",
     "channel_session_report", "channel_event_report",
 )
+PAGE_TABLES = {
+    "overview": ("campaign_stats", "campaign_history", "channel_session_report", "channel_event_report"),
+    "ads": ("campaign_stats", "campaign_history", "product_stats"),
+    "seo": ("channel_session_report", "channel_event_report"),
+}
 
 
 def page_reports(
@@ -37,9 +42,12 @@ def page_reports(
     start: str | None,
     end: str | None,
     today: date,
-) -> dict[str, DataFrame]:
+) -> dashboards.Page:
     """The reports of ``page`` for the resolved period (lazy, except the page's shared
-    materialisation)."""
+    tables, which ``close`` removes)."""
+    missing = [t for t in PAGE_TABLES.get(page, ()) if t not in paths]
+    if missing:
+        raise ValueError(f"page {page!r} needs the tables {', '.join(missing)}")
     tables = read_tables(spark, paths)
     period = resolve_period(start, end, today)
     if page == "overview":
@@ -77,7 +85,8 @@ def main(argv: list[str] | None = None) -> None:
     paths = {t: getattr(a, t) for t in TABLE_ARGS if getattr(a, t)}
     today = date.fromisoformat(a.today) if a.today else date.today()
     spark = SparkSession.builder.appName(f"kpiloom-{a.page}").getOrCreate()
-    write_reports(page_reports(spark, a.page, paths, config, a.start, a.end, today), a.out)
+    with page_reports(spark, a.page, paths, config, a.start, a.end, today) as reports:
+        write_reports(reports, a.out)
 
 
 if __name__ == "__main__":

@@ -40,3 +40,22 @@ def campaign_ids(history: DataFrame) -> DataFrame:
 def version_names(history: DataFrame) -> DataFrame:
     """``id, name, n_versions``: how many versions of each id carry each name."""
     return history.groupBy("id", "name").agg(F.count(F.lit(1)).alias("n_versions"))
+
+
+def name_versions(history: DataFrame) -> DataFrame:
+    """``id, name, n_versions, newest``: per id and name the number of versions and the order
+    key of the newest one. One aggregate of the history (combined before the shuffle) that
+    holds both what ``version_names`` and what ``latest_campaign`` need."""
+    version = F.col("version_id") if "version_id" in history.columns else F.lit(None).cast("bigint")
+    # max() puts NULLs first, so a flag ranks a NULL start_date above every date.
+    newest = F.struct(
+        F.col("start_date").isNull().alias("undated"), "start_date",
+        version.isNotNull().alias("numbered"), version.alias("version_id"),
+    )
+    return history.groupBy("id", "name").agg(F.count(F.lit(1)).alias("n_versions"), F.max(newest).alias("newest"))
+
+
+def latest_of(versions: DataFrame) -> DataFrame:
+    """``id, name`` of the newest version from ``name_versions``; equal to ``latest_campaign``."""
+    w = Window.partitionBy("id").orderBy(F.col("newest").desc(), F.col("name").asc_nulls_last())
+    return versions.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("id", "name")

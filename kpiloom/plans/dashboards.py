@@ -3,9 +3,9 @@
 The reference answers the ads page with eight sequential statements, seven of them
 scanning the campaign facts and four recomputing the latest-version dedup. Here the
 facts of the page's date span are summed once to the (customer_id, id, date) grain,
-that small relation is checkpointed (reliable checkpoint in the cluster's
-``spark.checkpoint.dir``), and every report of the page runs on it. The latest
-campaign versions (a shuffle of the whole history) are checkpointed once as well.
+that small relation is materialised in the cluster's ``spark.checkpoint.dir``, and every
+report of the page runs on it. The history is aggregated once to (id, name) with the
+number of versions and the newest one; R7's counts and the latest names both come from it.
 Reports are unchanged: they receive a smaller but equivalent ``campaign_stats``.
 
 On small inputs the two checkpoint writes cost more than re-reading the facts
@@ -18,12 +18,12 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.config import ReportConfig
 from kpiloom.operators import ads, organic, overview
-from kpiloom.operators.dims import latest_campaign
+from kpiloom.operators.dims import latest_of, name_versions
 from kpiloom.period import Period, last_12_months, previous_period, trailing_year
 from kpiloom.plans.rollup import daily_rollup
 from kpiloom.plans.segments import segment_totals
@@ -31,67 +31,92 @@ from kpiloom.session import checkpoint_dir
 from kpiloom.sources.tables import Tables
 
 
-def _span(*periods: Period) -> Period:
-    return Period(min(p.start for p in periods), max(p.end for p in periods))
+class Page(dict):
+    """Reports by name. ``close`` removes the tables that the page materialised; call it when
+    the reports have been written (or use the page in a ``with`` block)."""
 
+    def __init__(self, spark: SparkSession):
+        super().__init__()
+        self.spark = spark
+        self.scratch: list[str] = []
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a Parquet table in the cluster's checkpoint folder and read
-    it back: lineage is cut like ``checkpoint()``, and later reads keep column pruning
-    and filter pushdown (a checkpointed RDD is an opaque row scan). The folder
-    (``kpiloom-page-*``) can be removed once the page's reports are written."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/kpiloom-page-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    def materialise(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as a Parquet table in the cluster's checkpoint folder and read it back:
+        lineage is cut like ``checkpoint()``, and later reads keep column pruning and filter
+        pushdown (a checkpointed RDD is an opaque row scan)."""
+        path = f"{checkpoint_dir(self.spark).rstrip('/')}/kpiloom-page-{uuid.uuid4().hex}"
+        self.scratch.append(path)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
 
+    def close(self) -> None:
+        jvm = self.spark._jvm
+        for path in self.scratch:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.scratch = []
 
-def ads_page(tables: Tables, period: Period, config: ReportConfig, today: date) -> dict[str, DataFrame]:
-    """All ads-page reports (R2-R9 and U5) from one scan of the campaign facts."""
-    span = _span(period, trailing_year(today))
+    def __enter__(self) -> Page:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+
+def _in_any(*periods: Period):
+    """Rows of any of the periods: distant periods don't draw in what lies between."""
+    cond = ads.in_period(periods[0])
+    for p in periods[1:]:
+        cond = cond | ads.in_period(p)
+    return cond
+
+
+def ads_page(tables: Tables, period: Period, config: ReportConfig, today: date) -> Page:
+    """All ads-page reports (R2-R9 and U5) from one scan of the campaign facts and one
+    aggregate of the history."""
+    page = Page(tables.campaign_stats.sparkSession)
+    cid = config.customer_id
     stats = tables.campaign_stats.where(
-        (F.col("customer_id") == F.lit(config.customer_id)) & ads.in_period(span)
+        ads.is_account(tables.campaign_stats, cid) & _in_any(period, trailing_year(today))
     )
-    shared = _checkpoint(daily_rollup(stats))
+    shared = page.materialise(daily_rollup(stats))
     history = tables.campaign_history
-    # The latest-version dedup shuffles the whole history: once per page, not per report.
-    latest = _checkpoint(latest_campaign(history))
-    cid = config.customer_id
-    return {
-        "segment_totals": segment_totals(shared, history, period, config, today=today,
-                                         latest=latest),
-        "account_daily": ads.account_daily(shared, period, cid),
-        "conversions_by_campaign_version": ads.conversions_by_campaign_version(
-            shared, history, period, cid),
-        "campaign_performance": ads.campaign_performance(shared, history, period, cid,
-                                                         latest=latest),
-        "product_performance": ads.product_performance(tables.product_stats, period, cid),
-    }
-
-
-def seo_page(tables: Tables, period: Period, config: ReportConfig, today: date) -> dict[str, DataFrame]:
+    versions = page.materialise(name_versions(history))
+    latest = page.materialise(latest_of(versions))
+    page["segment_totals"] = segment_totals(shared, history, period, config, today=today, latest=latest)
+    page["account_daily"] = ads.account_daily(shared, period, cid)
+    page["conversions_by_campaign_version"] = ads.conversions_by_campaign_version(
+        shared, history, period, cid, versions=versions.select("id", "name", "n_versions")
+    )
+    page["campaign_performance"] = ads.campaign_performance(shared, history, period, cid, latest=latest)
+    page["product_performance"] = ads.product_performance(tables.product_stats, period, cid)
+    return page
+
+
+def seo_page(tables: Tables, period: Period, config: ReportConfig, today: date) -> Page:
     """All SEO-page reports (R10-R12) from one scan of the event report.
 
-    The event report is summed once to (date, channel, event) over the span of the
-    period, its previous period and the trailing twelve months, then checkpointed.
+    The event report is summed once to (date, channel) over the period, its previous period
+    and the trailing twelve months.
     """
-    cmp = previous_period(period)
-    span = _span(period, cmp.previous, last_12_months(today))
+    page = Page(tables.channel_event_report.sparkSession)
+    periods = _in_any(period, previous_period(period).previous, last_12_months(today))
     events = tables.channel_event_report.where(
-        ads.in_period(span) & F.col(organic.EVENT_CHANNEL).isin(list(config.channels))
+        periods & F.col(organic.EVENT_CHANNEL).isin(list(config.channels))
     )
-    keys = ("date", organic.EVENT_CHANNEL, "event_name")
-    shared = _checkpoint(
-        events.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in
-                                    ("sessions", "new_users", "event_count", "total_revenue")])
+    shared = page.materialise(
+        events.groupBy("date", organic.EVENT_CHANNEL).agg(*[
+            F.sum(m).alias(m) for m in ("sessions", "new_users", "event_count", "total_revenue")
+        ])
     )
-    return {
-        "organic_summary": organic.organic_summary(
-            tables.channel_session_report, shared, period, config.channels),
-        "organic_daily_compare": organic.organic_daily_compare(shared, period, config.channels),
-        "organic_monthly": organic.organic_monthly(shared, today, config.channels),
-    }
+    page["organic_summary"] = organic.organic_summary(
+        tables.channel_session_report, shared, period, config.channels)
+    page["organic_daily_compare"] = organic.organic_daily_compare(shared, period, config.channels)
+    page["organic_monthly"] = organic.organic_monthly(shared, today, config.channels)
+    return page
 
 
-def overview_page(tables: Tables, period: Period, config: ReportConfig) -> dict[str, DataFrame]:
-    return {"marketing_overview": overview.marketing_overview(tables, period, config)}
+def overview_page(tables: Tables, period: Period, config: ReportConfig) -> Page:
+    page = Page(tables.campaign_stats.sparkSession)
+    page["marketing_overview"] = overview.marketing_overview(tables, period, config)
+    return page

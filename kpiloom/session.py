@@ -34,7 +34,10 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # no driver-side context (remote session): the server's setting applies
-        return spark.conf.get("spark.checkpoint.dir", "")
+        target = spark.conf.get("spark.checkpoint.dir", None)
+        if not target:
+            raise RuntimeError("set spark.checkpoint.dir on the server to a folder on shared storage") from None
+        return target
     current = sc.getCheckpointDir()
     if current:
         return current

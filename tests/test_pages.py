@@ -60,3 +60,34 @@ def test_write_reports(spark):
     root = tempfile.mkdtemp(prefix="kpiloom-reports-")
     write_reports({"daily": ads.account_daily(t.campaign_stats, ADS_PERIOD, "O")}, root)
     assert spark.read.parquet(f"{root}/daily").count() == 31
+
+
+def test_page_tables_are_removed_and_hold_only_the_periods(spark, tmp_path):
+    import os
+
+    from kpiloom.period import Period
+
+    t = bind_tables(spark, SF01)
+    far = Period(date(1995, 2, 1), date(1995, 2, 28))
+    with dashboards.ads_page(t, far, CONFIG, date(2001, 6, 1)) as page:
+        folders = [p.replace("file:", "") for p in page.scratch]
+        assert len(folders) == 3 and all(os.path.isdir(f) for f in folders)
+        kept = spark.read.parquet(page.scratch[0]).agg({"date": "max"}).first()[0], spark.read.parquet(page.scratch[0]).where(
+            "date between '1995-03-01' and '2000-05-30'").count()
+        assert kept[1] == 0 and kept[0] > date(2000, 6, 1)
+        assert rows(page["account_daily"]) == rows(ads.account_daily(t.campaign_stats, far, "O"))
+    assert not any(os.path.exists(f) for f in folders)
+
+
+def test_names_from_one_history_aggregate(spark, make):
+    from conftest import hist_row
+    from kpiloom.operators import dims
+
+    history = make("campaign_history", [
+        hist_row(1, "a", "2024-01-01", 1), hist_row(1, "b", "2024-01-01", 2), hist_row(1, "a", "2023-01-01", 9),
+        hist_row(2, "x", None, 1), hist_row(2, "y", "2024-01-01", 5), hist_row(3, None, "2024-01-01", None), hist_row(3, "z", "2024-01-01", 0),
+        hist_row(4, "q", None, 3), hist_row(4, "p", None, 3),
+    ])
+    both = dims.name_versions(history)
+    assert rows(dims.latest_of(both)) == rows(dims.latest_campaign(history))
+    assert rows(both.select("id", "name", "n_versions")) == rows(dims.version_names(history))
