@@ -42,23 +42,17 @@ PRODUCT_SUMS = tuple(m for m in MEASURE_SUMS if m[0] != "impressions")
 
 
 def stat_sums(
-    weight: Column | None = None,
     when: Column | None = None,
     measures=MEASURE_SUMS,
 ) -> list[Column]:
     """Partial-aggregation friendly sums of the campaign measures.
 
     ``when`` restricts a sum to matching rows (conditional aggregation over a shared
-    scan); ``weight`` multiplies every measure (fan-out by version count).
+    scan).
     """
 
     def s(col: Column, out: str) -> Column:
-        c = col
-        if weight is not None:
-            c = c * weight
-        if when is not None:
-            c = F.when(when, c)
-        return F.sum(c).alias(out)
+        return F.sum(col if when is None else F.when(when, col)).alias(out)
 
     return [
         s(exact_micros(F.col(src)) if src == "cost_micros" else F.col(src), out)
@@ -135,12 +129,6 @@ def c_type(kpi: str) -> str:
     return "bigint" if kpi in ("impressions", "clicks") else "double"
 
 
-KPI_NAMES = (
-    "impressions", "clicks", "cpc", "cost", "conversion_cost",
-    "conversions", "conversion_value", "roas", "ctr", "conv_rate",
-)
-
-
 def performance_columns(value_name: str, value_cost_name: str) -> list[Column]:
     """Per-group performance measures (campaign or product tables)."""
     clk, mic, conv, val = SUM_CLICKS, SUM_MICROS, SUM_CONVERSIONS, SUM_VALUE

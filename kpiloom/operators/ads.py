@@ -231,14 +231,20 @@ def campaign_performance(
 
 # --- R9 ---------------------------------------------------------------------------
 
-def product_performance(products: DataFrame, period: Period, customer_id: str) -> DataFrame:
-    """Per product title (NULL titles form one group), by cost descending."""
+def product_performance(
+    products: DataFrame, period: Period, customer_id: str, ordered: bool = True
+) -> DataFrame:
+    """Per product title (NULL titles form one group), by cost descending
+    (``ordered=False``: unsorted)."""
     by_title = (
         account_rows(products, period, customer_id)
         .groupBy("product_title")
         .agg(*stat_sums(measures=PRODUCT_SUMS))
     )
-    return by_title.select(
+    out = by_title.select(
         "product_title",
         *performance_columns("conversions_value", "conversion_value_cost"),
-    ).orderBy(F.col("cost").desc_nulls_first(), F.col("product_title").asc_nulls_last())
+    )
+    if not ordered:
+        return out
+    return out.orderBy(F.col("cost").desc_nulls_first(), F.col("product_title").asc_nulls_last())

@@ -12,21 +12,6 @@ from kpiloom.operators.organic import purchase_totals, session_totals
 from kpiloom.period import Period
 from kpiloom.sources.tables import Tables
 
-OVERVIEW_COLUMNS = (
-    "google_ads_total_cost",
-    "google_ads_total_conversions",
-    "google_ads_total_revenue",
-    "google_ads_total_roas",
-    "cost_per_conversion",
-    "conv_rate",
-    "ga4_total_sessions",
-    "ga4_total_users",
-    "total_seo_sales",
-    "total_seo_revenue",
-    "seo_conversion_rate",
-    "seo_cost_per_sale",
-)
-
 
 def _zero(c: str, typ: str = "double") -> Column:
     return F.coalesce(F.col(c), F.lit(0).cast(typ))

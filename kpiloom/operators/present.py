@@ -22,8 +22,6 @@ from kpiloom.functions.ordering import with_position
 
 # --- U1 metric cards ----------------------------------------------------------------
 
-CARD_COLUMNS = ("page", "section", "position", "key", "label", "value", "display")
-
 
 def metric_cards(
     df: DataFrame,
@@ -245,6 +243,20 @@ def dashboard_series(
     return chart_series(points)
 
 
+# --- tables of the ads page ------------------------------------------------------------
+
+# Cell formats of the two tables of the ads page, by position.
+TABLE_FORMATS = ("currency", "decimal", "percent", "currency", "currency", "multiple")
+
+
+def report_table(df: DataFrame) -> DataFrame:
+    """A campaign or product report with the text of each cell beside its value: the first
+    column is text, ``<measure>_text`` shows the measures after it (NULL: empty)."""
+    measures = df.columns[1:]
+    texts = [f"{display_sql(f'`{c}`', kind)} AS `{c}_text`" for c, kind in zip(measures, TABLE_FORMATS, strict=True)]
+    return df.selectExpr("*", *texts)
+
+
 # --- U3 product search --------------------------------------------------------------
 
 def product_search(df: DataFrame, query: str, column: str = "product_title") -> DataFrame:

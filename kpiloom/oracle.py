@@ -433,6 +433,30 @@ def sort_report() -> Stmt:
     ))
 
 
+def _table(report: Stmt, measures: tuple[str, ...]) -> Stmt:
+    kinds = ("currency", "decimal", "percent", "currency", "currency", "multiple")
+    texts = ", ".join(
+        f"COALESCE({_DISPLAY[k].format(v=f'r.{m}')}, '') AS {m}_text" for m, k in zip(measures, kinds, strict=True)
+    )
+    return Stmt(report.as_cte("r"), f"SELECT r.*, {texts} FROM r")
+
+
+CAMPAIGN_MEASURES = ("cost", "conversions", "conversion_rate", "cost_per_conversion", "conversion_value", "conversion_value_cost_ratio")
+PRODUCT_MEASURES = ("cost", "conversions", "conversion_rate", "cost_per_conversion", "conversions_value", "conversion_value_cost")
+
+
+def sort_products() -> Stmt:
+    return Stmt(product_search().as_cte("f"), (
+        "SELECT f.*, ROW_NUMBER() OVER (ORDER BY f.conversions ASC NULLS LAST, f.product_title ASC NULLS LAST) AS position FROM f"
+    ))
+
+
+def sort_products_by_title() -> Stmt:
+    return Stmt(product_performance().as_cte("r"), (
+        "SELECT r.*, ROW_NUMBER() OVER (ORDER BY lower(r.product_title) ASC NULLS LAST, r.product_title ASC NULLS LAST) AS position FROM r"
+    ))
+
+
 def statements() -> dict[str, Stmt]:
     year = trailing_year(ADS_TODAY)
     return {
@@ -459,6 +483,10 @@ def statements() -> dict[str, Stmt]:
         "chart_series": chart_series(),
         "product_search": product_search(),
         "sort_report": sort_report(),
+        "campaign_table": _table(campaign_performance(), CAMPAIGN_MEASURES),
+        "product_table": _table(product_performance(), PRODUCT_MEASURES),
+        "sort_products": sort_products(),
+        "sort_products_by_title": sort_products_by_title(),
     }
 
 

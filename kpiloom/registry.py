@@ -204,6 +204,31 @@ def q_sort_report(spark, sf_dir):
     return present.sort_report(perf, SORT_COLUMN, ascending=SORT_ASCENDING)
 
 
+def q_campaign_table(spark, sf_dir):
+    """The campaign table of the ads page with its cell texts."""
+    return present.report_table(q_campaign_performance(spark, sf_dir))
+
+
+def q_product_table(spark, sf_dir):
+    """The product table of the ads page with its cell texts."""
+    return present.report_table(q_product_performance(spark, sf_dir))
+
+
+def q_sort_products(spark, sf_dir):
+    """The searched product table by conversions, as a click on the column sorts it."""
+    t = _t(spark, sf_dir)
+    perf = ads.product_performance(t.product_stats, ADS_PERIOD, CONFIG.customer_id, ordered=False)
+    found = present.product_search(perf, PRODUCT_QUERY)
+    return present.sort_report(found, "conversions", ascending=present.next_sort(None, None, "conversions"))
+
+
+def q_sort_products_by_title(spark, sf_dir):
+    """The product table by title, ascending, without regard to case."""
+    t = _t(spark, sf_dir)
+    perf = ads.product_performance(t.product_stats, ADS_PERIOD, CONFIG.customer_id, ordered=False)
+    return present.sort_report(perf, "product_title", ascending=True)
+
+
 QUERIES: dict[str, Query] = {
     "known_campaign_totals": q_known_campaign_totals,
     "session_totals": q_session_totals,
@@ -228,4 +253,8 @@ QUERIES: dict[str, Query] = {
     "chart_series": q_chart_series,
     "product_search": q_product_search,
     "sort_report": q_sort_report,
+    "campaign_table": q_campaign_table,
+    "product_table": q_product_table,
+    "sort_products": q_sort_products,
+    "sort_products_by_title": q_sort_products_by_title,
 }
