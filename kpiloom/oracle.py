@@ -1,28 +1,88 @@
 """DuckDB oracle SQL for every registered query.
 
-The SQL keeps the reference's statement shapes (row-level joins, ``ROW_NUMBER``
-dedup, full outer join of two per-day aggregates, one statement per segment) over
-the FIXTURES bindings of the raw tables, so agreement with the Spark plans (which
-pre-aggregate, semi-join and share scans) checks those rewrites. Outputs are cast
+Plain row-level statements (joins on rows, ``ROW_NUMBER`` dedup, one statement per
+segment) over the FIXTURES bindings of the raw tables, with their own dates and labels, so
+agreement with the Spark plans (which pre-aggregate and share scans) checks those. Outputs are cast
 like the Spark side: counts BIGINT, money and ratios DOUBLE computed with the same
 floating-point operations, dates DATE.
 """
 
 from __future__ import annotations
 
-from kpiloom.operators import present
-from kpiloom.registry import (
-    ADS_PERIOD,
-    ADS_TODAY,
-    CONFIG,
-    MONTHLY_TODAY,
-    ORGANIC_PERIOD,
-    OVERVIEW_PERIOD,
-    PRODUCT_QUERY,
-    SORT_ASCENDING,
-    SORT_COLUMN,
+from datetime import date
+from typing import NamedTuple
+
+from kpiloom.config import ReportConfig
+
+
+class Range(NamedTuple):
+    start: date
+    end: date
+
+
+# The FIXTURES parameters, dates and labels, stated here on their own so that a
+# wrong window or label in the library shows.
+CONFIG = ReportConfig(
+    customer_id="O", channels=("Organic Search", "Organic Shopping"), shopping_pattern="%URGENT%",
+    excluded_patterns=("%HIGH%", "%LOW%"), fixed_seo_cost=2050.0, purchase_event="purchase",
+)
+ADS_PERIOD = Range(date(1998, 1, 1), date(1998, 1, 31))
+TRAILING_YEAR = Range(date(1998, 1, 1), date(1999, 1, 1))
+ORGANIC_PERIOD = Range(date(2024, 1, 16), date(2024, 1, 30))
+PREVIOUS_PERIOD = Range(date(2024, 1, 1), date(2024, 1, 15))  # moved by 14 days, or by 15 when aligned
+TWELVE_MONTHS = Range(date(1998, 3, 10), date(1999, 3, 10))
+OVERVIEW_PERIOD = Range(date(1998, 1, 1), date(2024, 1, 30))
+PRODUCT_QUERY = "Bolt"
+# (section, ((column, label, format), ...)) of the overview page.
+_ADS_COST = ("google_ads_total_cost", "Google Ads Total Cost", "currency")
+_ADS_CONV = ("google_ads_total_conversions", "Google Ads Total Conversions", "decimal")
+_ADS_REV = ("google_ads_total_revenue", "Google Ads Total Revenue", "currency")
+_ADS_ROAS = ("google_ads_total_roas", "Google Ads Total ROAS", "multiple")
+OVERVIEW_CARDS = (
+    ("Total Monthly Performance Data (All Channels)", (_ADS_COST, _ADS_CONV, _ADS_REV, _ADS_ROAS)),
+    ("SEO Monthly Performance Data", (
+        ("ga4_total_sessions", "GA4 Total Sessions", "count"), ("ga4_total_users", "GA4 Total Users", "count"),
+        ("total_seo_sales", "Total SEO Sales", "count"),
+        ("seo_conversion_rate", "Overall GA4 SEO Conversion Rate", "percent"),
+        ("total_seo_revenue", "Total GA4 SEO Revenue", "currency"),
+        ("seo_cost_per_sale", "Overall SEO Cost Per Sale", "currency"),
+    )),
+    ("Monthly AdWords Performance Data", (
+        _ADS_COST, _ADS_CONV, ("cost_per_conversion", "Google Ads Cost / Conversion", "currency"),
+        ("conv_rate", "Conv. Rate", "percent"), _ADS_REV, _ADS_ROAS,
+    )),
+)
+ADS_CARDS = (
+    ("impressions", "Impressions", "count"), ("clicks", "Clicks", "count"), ("cpc", "Cpc", "currency"), ("cost", "Cost", "currency"),
+    ("conversion_cost", "Conversion Cost", "currency"), ("conversions", "Conversions", "count"),
+    ("conversion_value", "Conversion Value", "currency"), ("roas", "Roas", "multiple"),
+)
+ADS_SECTIONS = {
+    "account": "Monthly Performance Data - All Campaigns", "shopping": "Monthly Performance Data - Shopping Campaigns",
+    "search": "Monthly Performance Data - Search", "trailing_year": "Yearly Performance Data",
+}
+SEO_CARDS = (
+    ("ga4_sessions", "Sessions", "count"), ("ga4_new_users", "New Users", "count"),
+    ("ga4_total_revenue", "Total Revenue", "currency"), ("key_events", "Key Events", "count"),
+)
+# (chart, series, measure)
+ADS_DAILY_SERIES = (
+    ("Daily Impressions", "Daily Impressions", "impressions"), ("Daily Clicks", "Daily Clicks", "clicks"),
+    ("Daily Conversions", "Daily Conversions", "conversions"),
+    ("Daily Cost Per Conversion", "Daily Cost Per Conversion", "cost_per_conversion"),
+    ("Daily Conversion Value", "Daily Conversion Value", "conversion_value"),
+)
+CAMPAIGN_SERIES = (("Conversions By Campaign", "Conversions By Campaign", "conversions"),)
+SEO_DAILY_SERIES = (
+    ("Daily Key Events", "Daily Key Events", "key_events"),
+    ("Daily Key Events", "Daily Key Events (Previous Period)", "key_events_previous_period"),
+    ("Daily Total Revenue", "Daily Total Revenue", "ga4_total_revenue"),
+    ("Daily Total Revenue", "Daily Total Revenue (Previous Period)", "ga4_total_revenue_previous_period"),
+)
+SEO_MONTHLY_SERIES = (
+    ("Monthly Sessions", "Monthly Sessions", "ga4_sessions"), ("Monthly Key Events", "Monthly Key Events", "key_events"),
+    ("Monthly New Users", "Monthly New Users", "ga4_new_users"), ("Monthly Total Revenue", "Monthly Total Revenue", "ga4_total_revenue"),
 )
-from kpiloom.period import last_12_months, previous_period, trailing_year
 
 
 def _q(s: str) -> str:
@@ -254,83 +314,70 @@ def purchase_totals(period=ORGANIC_PERIOD) -> Stmt:
 
 
 def overview(null_policy: str = "zero") -> Stmt:
+    """Twelve KPIs: each total is a scalar query, the ratios are taken in a second step."""
     p = OVERVIEW_PERIOD
-    ctes = (
-        known_campaign_totals(p).as_cte("gst")
-        + needs("channel_session_report") + [f"gbm AS (\n{_sessions(p)})"]
-        + needs("channel_event_report") + [f"gpm AS (\n{_purchases(p)})"]
-    )
-    if null_policy == "zero":
-        cost, conv = "COALESCE(gst.total_cost, 0.0)", "COALESCE(gst.total_conversions, 0.0)"
-        rev, roas = "COALESCE(gst.total_revenue, 0.0)", "COALESCE(gst.total_roas, 0.0)"
-        ses = "COALESCE(gbm.total_ga4_sessions, 0)"
-        users = "COALESCE(gbm.total_ga4_total_users, 0)"
-    else:
-        cost, conv = "gst.total_cost", "gst.total_conversions"
-        rev, roas = "gst.total_revenue", "gst.total_roas"
-        ses, users = "gbm.total_ga4_sessions", "gbm.total_ga4_total_users"
-    sales = "COALESCE(gpm.total_seo_sales, 0)"
-    return Stmt(ctes, f"""SELECT {cost} AS google_ads_total_cost,
-       {conv} AS google_ads_total_conversions,
-       {rev} AS google_ads_total_revenue,
-       {roas} AS google_ads_total_roas,
-       {_guard(conv, f'{cost} / {conv}')} AS cost_per_conversion,
-       {_guard(cost, f'{conv} / {cost}')} AS conv_rate,
-       CAST({ses} AS BIGINT) AS ga4_total_sessions,
-       CAST({users} AS BIGINT) AS ga4_total_users,
-       CAST({sales} AS BIGINT) AS total_seo_sales,
-       COALESCE(gpm.total_ga4_seo_revenue, 0.0) AS total_seo_revenue,
-       {_guard(ses, f'CAST({sales} AS DOUBLE) / CAST({ses} AS DOUBLE)')} AS seo_conversion_rate,
-       {_guard(sales, f'{CONFIG.fixed_seo_cost!r} / CAST({sales} AS DOUBLE)')} AS seo_cost_per_sale
-FROM gst CROSS JOIN gbm CROSS JOIN gpm""")
+    zero = (lambda e, z: f"COALESCE({e}, {z})") if null_policy == "zero" else (lambda e, z: e)
+    ads, seen, bought = f"({known_campaign_totals(p).select})", f"({_sessions(p)})", f"({_purchases(p)})"
+    pick = lambda column, query: f"(SELECT {column} FROM {query})"
+    totals = {
+        "google_ads_total_cost": zero(pick("total_cost", ads), "0.0"),
+        "google_ads_total_conversions": zero(pick("total_conversions", ads), "0.0"),
+        "google_ads_total_revenue": zero(pick("total_revenue", ads), "0.0"),
+        "google_ads_total_roas": zero(pick("total_roas", ads), "0.0"),
+        "ga4_total_sessions": f"CAST({zero(pick('total_ga4_sessions', seen), '0')} AS BIGINT)",
+        "ga4_total_users": f"CAST({zero(pick('total_ga4_total_users', seen), '0')} AS BIGINT)",
+        "total_seo_sales": f"CAST(COALESCE({pick('total_seo_sales', bought)}, 0) AS BIGINT)",
+        "total_seo_revenue": f"COALESCE({pick('total_ga4_seo_revenue', bought)}, 0.0)",
+    }
+    cost, conv = "google_ads_total_cost", "google_ads_total_conversions"
+    real = lambda column: f"CAST({column} AS DOUBLE)"
+    ratios = {
+        "cost_per_conversion": _guard(conv, f"{cost} / {conv}"),
+        "conv_rate": _guard(cost, f"{conv} / {cost}"),
+        "seo_conversion_rate": _guard("ga4_total_sessions", f"{real('total_seo_sales')} / {real('ga4_total_sessions')}"),
+        "seo_cost_per_sale": _guard("total_seo_sales", f"{CONFIG.fixed_seo_cost!r} / {real('total_seo_sales')}"),
+    }
+    named = lambda columns: ",\n       ".join(f"{e} AS {n}" for n, e in columns.items())
+    needed = needs(*STATS_LATEST, "channel_session_report", "channel_event_report")
+    return Stmt([*needed, f"totals AS (SELECT {named(totals)})"], f"SELECT *,\n       {named(ratios)}\nFROM totals")
 
 
 def organic_summary() -> Stmt:
+    """The session and the event rows stacked, and one sum over both."""
     p = ORGANIC_PERIOD
-    ctes = needs("channel_session_report", "channel_event_report") + [
-        f"""gsm AS (SELECT CAST(SUM(sessions) AS BIGINT) AS ga4_sessions FROM channel_session_report
-    WHERE {_organic_where(p, 'session_default_channel_grouping')})""",
-        f"""gem AS (SELECT SUM(new_users) AS ga4_new_users, SUM(total_revenue) AS ga4_total_revenue,
-        SUM(event_count) AS key_events FROM channel_event_report
-    WHERE {_organic_where(p, 'session_default_channel_group')})""",
-    ]
-    return Stmt(ctes, """SELECT gsm.ga4_sessions,
-       CAST(COALESCE(gem.ga4_new_users, 0) AS BIGINT) AS ga4_new_users,
-       CAST(COALESCE(gem.ga4_total_revenue, 0) AS DOUBLE) AS ga4_total_revenue,
-       CAST(COALESCE(gem.key_events, 0) AS BIGINT) AS key_events
-FROM gsm CROSS JOIN gem""")
-
-
-def _event_sum_cols(suffix: str = "") -> str:
-    return (
-        f"SUM(sessions) AS ga4_sessions{suffix}, SUM(new_users) AS ga4_new_users{suffix}, "
-        f"SUM(total_revenue) AS ga4_total_revenue{suffix}, SUM(event_count) AS key_events{suffix}"
+    return Stmt(needs("channel_session_report", "channel_event_report"), f"""SELECT CAST(SUM(visits) AS BIGINT) AS ga4_sessions,
+       CAST(COALESCE(SUM(fresh), 0) AS BIGINT) AS ga4_new_users,
+       CAST(COALESCE(SUM(paid), 0) AS DOUBLE) AS ga4_total_revenue,
+       CAST(COALESCE(SUM(n), 0) AS BIGINT) AS key_events
+FROM (SELECT sessions AS visits, NULL::BIGINT AS fresh, NULL::DECIMAL(18,2) AS paid, NULL::BIGINT AS n FROM channel_session_report
+      WHERE {_organic_where(p, 'session_default_channel_grouping')}
+      UNION ALL
+      SELECT NULL, new_users, total_revenue, event_count FROM channel_event_report
+      WHERE {_organic_where(p, 'session_default_channel_group')})""")
+
+
+def organic_daily_compare(shift: int) -> Stmt:
+    """Both periods stacked on the reported day, then summed by side."""
+    rows = lambda period, day, side: (
+        f"SELECT CAST({day} AS DATE) AS day, {side} AS side, sessions, new_users, total_revenue, event_count "
+        f"FROM channel_event_report WHERE {_organic_where(period, 'session_default_channel_group')}"
     )
-
-
-def organic_daily_compare(aligned: bool = False) -> Stmt:
-    cmp = previous_period(ORGANIC_PERIOD, aligned=aligned)
-    ctes = needs("channel_event_report") + [
-        f"""cp AS (SELECT date, {_event_sum_cols()} FROM channel_event_report
-    WHERE {_organic_where(cmp.current, 'session_default_channel_group')} GROUP BY date)""",
-        f"""pp AS (SELECT CAST(date + INTERVAL {cmp.shift_days} DAY AS DATE) AS date,
-        {_event_sum_cols('_previous_period')} FROM channel_event_report
-    WHERE {_organic_where(cmp.previous, 'session_default_channel_group')} GROUP BY date)""",
-    ]
-    cols = ["COALESCE(cp.date, pp.date) AS date"]
-    for sfx, a in (("", "cp"), ("_previous_period", "pp")):
-        cols += [
-            f"CAST(COALESCE({a}.ga4_sessions{sfx}, 0) AS BIGINT) AS ga4_sessions{sfx}",
-            f"CAST(COALESCE({a}.ga4_new_users{sfx}, 0) AS BIGINT) AS ga4_new_users{sfx}",
-            f"CAST(COALESCE({a}.ga4_total_revenue{sfx}, 0) AS DOUBLE) AS ga4_total_revenue{sfx}",
-            f"CAST(COALESCE({a}.key_events{sfx}, 0) AS BIGINT) AS key_events{sfx}",
-        ]
-    return Stmt(ctes, "SELECT " + ",\n       ".join(cols)
-                + "\nFROM cp FULL OUTER JOIN pp ON cp.date = pp.date\nORDER BY date")
+    cols = ["day AS date"]
+    for side, suffix in ((0, ""), (1, "_previous_period")):
+        for source, name, kind in (
+            ("sessions", "ga4_sessions", "BIGINT"), ("new_users", "ga4_new_users", "BIGINT"),
+            ("total_revenue", "ga4_total_revenue", "DOUBLE"), ("event_count", "key_events", "BIGINT"),
+        ):
+            cols.append(f"CAST(COALESCE(SUM({source}) FILTER (WHERE side = {side}), 0) AS {kind}) AS {name}{suffix}")
+    return Stmt(needs("channel_event_report"), "SELECT " + ",\n       ".join(cols) + f"""
+FROM ({rows(ORGANIC_PERIOD, 'date', 0)}
+      UNION ALL
+      {rows(PREVIOUS_PERIOD, f'date + INTERVAL {shift} DAY', 1)})
+GROUP BY day ORDER BY day""")
 
 
 def organic_monthly() -> Stmt:
-    p = last_12_months(MONTHLY_TODAY)
+    p = TWELVE_MONTHS
     return Stmt(needs("channel_event_report_long"), f"""SELECT CAST(DATE_TRUNC('month', date) AS DATE) AS month,
        CAST(SUM(sessions) AS BIGINT) AS ga4_sessions, CAST(SUM(new_users) AS BIGINT) AS ga4_new_users,
        CAST(SUM(total_revenue) AS DOUBLE) AS ga4_total_revenue, CAST(SUM(event_count) AS BIGINT) AS key_events
@@ -346,7 +393,7 @@ def latest_campaign() -> Stmt:
 # --- U5, U1-U4 -----------------------------------------------------------------------
 
 def segment_totals() -> Stmt:
-    year = trailing_year(ADS_TODAY)
+    year = TRAILING_YEAR
     parts = [
         account_totals(ADS_PERIOD, "account"),
         named_totals(ADS_PERIOD, f"ch.name LIKE {_q(CONFIG.shopping_pattern)}", "shopping"),
@@ -378,19 +425,14 @@ def _card(src: str, page: str, section_sql: str, pos: int, key: str, label: str,
 def metric_cards() -> Stmt:
     ctes = overview().as_cte("ov") + segment_totals().as_cte("seg") + organic_summary().as_cte("seo")
     selects = []
-    for title, keys in present.OVERVIEW_SECTIONS:
-        for i, key in enumerate(keys, start=1):
-            selects.append(_card("ov", "overview", _q(title), i, key,
-                                 present.OVERVIEW_LABELS[key], present.OVERVIEW_FORMATS[key]))
-    section = "CASE segment " + " ".join(
-        f"WHEN {_q(s)} THEN {_q(t)}" for s, t in present.ADS_SECTIONS.items()
-    ) + " END"
-    for i, key in enumerate(present.ADS_CARD_KEYS, start=1):
-        label = " ".join(w.capitalize() for w in key.split("_"))
-        selects.append(_card("seg", "ads", section, i, key, label, present.ADS_FORMATS[key]))
-    for i, key in enumerate(present.SEO_CARD_KEYS, start=1):
-        selects.append(_card("seo", "seo", _q(present.SEO_SECTION), i, key,
-                             present.SEO_LABELS[key], present.SEO_FORMATS[key]))
+    for title, cards in OVERVIEW_CARDS:
+        for i, (key, label, kind) in enumerate(cards, start=1):
+            selects.append(_card("ov", "overview", _q(title), i, key, label, kind))
+    section = "CASE segment " + " ".join(f"WHEN {_q(s)} THEN {_q(t)}" for s, t in ADS_SECTIONS.items()) + " END"
+    for i, (key, label, kind) in enumerate(ADS_CARDS, start=1):
+        selects.append(_card("seg", "ads", section, i, key, label, kind))
+    for i, (key, label, kind) in enumerate(SEO_CARDS, start=1):
+        selects.append(_card("seo", "seo", _q("Monthly Website Traffic"), i, key, label, kind))
     return Stmt(ctes, "\nUNION ALL\n".join(selects))
 
 
@@ -398,7 +440,7 @@ def chart_series() -> Stmt:
     ctes = (
         account_daily().as_cte("daily")
         + conversions_by_campaign_version().as_cte("conv")
-        + organic_daily_compare().as_cte("seo_daily")
+        + organic_daily_compare(14).as_cte("seo_daily")
         + organic_monthly().as_cte("monthly")
     )
     parts = []
@@ -411,12 +453,12 @@ def chart_series() -> Stmt:
                 f"CAST({measure} AS DOUBLE) AS y FROM {src}"
             )
 
-    series("daily", "ads", "day ASC NULLS LAST", "strftime(day, '%d %b')", present.ADS_DAILY_SERIES)
-    series("conv", "ads", "campaign ASC NULLS LAST", "campaign", present.CAMPAIGN_SERIES)
+    series("daily", "ads", "day ASC NULLS LAST", "strftime(day, '%d %b')", ADS_DAILY_SERIES)
+    series("conv", "ads", "campaign ASC NULLS LAST", "campaign", CAMPAIGN_SERIES)
     series("seo_daily", "seo", "date ASC NULLS LAST", "strftime(date, '%d %b')",
-           present.SEO_DAILY_SERIES)
+           SEO_DAILY_SERIES)
     series("monthly", "seo", "month ASC NULLS LAST", "strftime(month, '%b %y')",
-           present.SEO_MONTHLY_SERIES)
+           SEO_MONTHLY_SERIES)
     return Stmt(ctes, "\nUNION ALL\n".join(parts))
 
 
@@ -426,10 +468,9 @@ def product_search() -> Stmt:
 
 
 def sort_report() -> Stmt:
-    direction = "ASC" if SORT_ASCENDING else "DESC"
     return Stmt(campaign_performance().as_cte("r"), (
-        f"SELECT r.*, ROW_NUMBER() OVER (ORDER BY r.{SORT_COLUMN} {direction} NULLS LAST, "
-        f"r.campaign_name ASC NULLS LAST) AS position FROM r"
+        "SELECT r.*, ROW_NUMBER() OVER (ORDER BY r.conversion_rate DESC NULLS LAST, "
+        "r.campaign_name ASC NULLS LAST) AS position FROM r"
     ))
 
 
@@ -458,7 +499,7 @@ def sort_products_by_title() -> Stmt:
 
 
 def statements() -> dict[str, Stmt]:
-    year = trailing_year(ADS_TODAY)
+    year = TRAILING_YEAR
     return {
         "known_campaign_totals": known_campaign_totals(),
         "session_totals": session_totals(),
@@ -474,8 +515,8 @@ def statements() -> dict[str, Stmt]:
         "campaign_performance": campaign_performance(),
         "product_performance": product_performance(),
         "organic_summary": organic_summary(),
-        "organic_daily_compare": organic_daily_compare(False),
-        "organic_daily_compare_aligned": organic_daily_compare(True),
+        "organic_daily_compare": organic_daily_compare(14),
+        "organic_daily_compare_aligned": organic_daily_compare(15),
         "organic_monthly": organic_monthly(),
         "latest_campaign": latest_campaign(),
         "segment_totals": segment_totals(),
