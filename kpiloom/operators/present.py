@@ -7,7 +7,7 @@ collected to be reshaped on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,19 +151,21 @@ def _segment_section_sql(col: str) -> str:
 def dashboard_cards(overview: DataFrame, segments: DataFrame, seo: DataFrame) -> DataFrame:
     """All KPI cards: overview page (3 sections), ads page (one section per segment
     of ``segment_totals``), SEO page. Small inputs (one row per page or segment)."""
-    parts = [
-        section_cards(overview, "overview", [(sql_str(t), k) for t, k in OVERVIEW_SECTIONS],
-                      OVERVIEW_FORMATS, OVERVIEW_LABELS)
-    ]
-    parts.append(
-        metric_cards(segments, "ads", "", ADS_CARD_KEYS, ADS_FORMATS,
-                     section_sql=_segment_section_sql("segment"))
-    )
-    parts.append(metric_cards(seo, "seo", SEO_SECTION, SEO_CARD_KEYS, SEO_FORMATS, SEO_LABELS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return overview_cards(overview).unionByName(ads_cards(segments)).unionByName(seo_cards(seo))
+
+
+def overview_cards(overview: DataFrame) -> DataFrame:
+    return section_cards(overview, "overview", [(sql_str(t), k) for t, k in OVERVIEW_SECTIONS],
+                         OVERVIEW_FORMATS, OVERVIEW_LABELS)
+
+
+def ads_cards(segments: DataFrame) -> DataFrame:
+    return metric_cards(segments, "ads", "", ADS_CARD_KEYS, ADS_FORMATS,
+                        section_sql=_segment_section_sql("segment"))
+
+
+def seo_cards(seo: DataFrame) -> DataFrame:
+    return metric_cards(seo, "seo", SEO_SECTION, SEO_CARD_KEYS, SEO_FORMATS, SEO_LABELS)
 
 
 # --- U2 chart series ----------------------------------------------------------------
@@ -171,36 +173,31 @@ def dashboard_cards(overview: DataFrame, segments: DataFrame, seo: DataFrame) ->
 SERIES_COLUMNS = ("page", "chart", "series", "position", "x_label", "y")
 
 
+def by_day(df: DataFrame, day: str) -> DataFrame:
+    """``df`` plus the 1-based ``position`` of its row by ``day`` (NULL last). For reports with
+    one row a day or month: their rows are bounded by the calendar, so one task numbers them."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(F.col(day).asc_nulls_last())).cast("bigint"))
+
+
 def chart_points(
     df: DataFrame,
     page: str,
-    x_key_sql: str,
     x_label_sql: str,
     series: list[tuple[str, str, str]],
 ) -> DataFrame:
-    """Report rows -> (page, chart, series, x_key, x_label, y) points.
+    """Numbered report rows -> (page, chart, series, position, x_label, y) points.
 
-    ``series`` lists ``(chart, series_label, measure_column)``; ``x_key_sql`` is a
-    STRING expression whose byte order is the x order (ISO dates, names);
+    All series of a report share its x order, so the rows are numbered once, before they are
+    spread over the series. ``series`` lists ``(chart, series_label, measure_column)``;
     ``x_label_sql`` is the axis label.
     """
     points = [
         f"named_struct('page', {sql_str(page)}, 'chart', {sql_str(chart)}, "
-        f"'series', {sql_str(label)}, 'x_key', CAST({x_key_sql} AS STRING), "
+        f"'series', {sql_str(label)}, 'position', position, "
         f"'x_label', {x_label_sql}, 'y', CAST(`{measure}` AS DOUBLE))"
         for chart, label, measure in series
     ]
-    return df.selectExpr(f"inline(array({', '.join(points)}))")
-
-
-def chart_series(points: DataFrame) -> DataFrame:
-    """Points -> (page, chart, series, position, x_label, y): ``position`` is the 1-based
-    place of the point in its series by ``x_key`` (NULL last), numbered in one
-    distributed pass over all series (see ``with_position``)."""
-    positioned = with_position(
-        points, [F.col("x_key").asc_nulls_last()], partition_by=["page", "chart", "series"]
-    )
-    return positioned.select(*SERIES_COLUMNS)
+    return df.selectExpr(f"inline(array({', '.join(points)}))").select(*SERIES_COLUMNS)
 
 
 # Chart titles and dataset labels of the report pages.
@@ -227,20 +224,27 @@ SEO_MONTHLY_SERIES = [
 ]
 
 
+def ads_series(daily: DataFrame, by_campaign: DataFrame) -> DataFrame:
+    """Chart series of the ads page (R6, R7). Campaign names are not bounded, so they are
+    numbered by a distributed sort (``with_position``, which runs a job)."""
+    campaigns = with_position(by_campaign, [F.col("campaign").asc_nulls_last()])
+    return chart_points(by_day(daily, "day"), "ads", day_label_sql("day"), ADS_DAILY_SERIES).unionByName(
+        chart_points(campaigns, "ads", "campaign", CAMPAIGN_SERIES)
+    )
+
+
+def seo_series(seo_daily: DataFrame, monthly: DataFrame) -> DataFrame:
+    """Chart series of the SEO page."""
+    return chart_points(by_day(seo_daily, "date"), "seo", day_label_sql("date"), SEO_DAILY_SERIES).unionByName(
+        chart_points(by_day(monthly, "month"), "seo", month_label_sql("month"), SEO_MONTHLY_SERIES)
+    )
+
+
 def dashboard_series(
     daily: DataFrame, by_campaign: DataFrame, seo_daily: DataFrame, monthly: DataFrame
 ) -> DataFrame:
-    """All chart series of the ads page (R6, R7) and the SEO page."""
-    parts = [
-        chart_points(daily, "ads", "day", day_label_sql("day"), ADS_DAILY_SERIES),
-        chart_points(by_campaign, "ads", "campaign", "campaign", CAMPAIGN_SERIES),
-        chart_points(seo_daily, "seo", "date", day_label_sql("date"), SEO_DAILY_SERIES),
-        chart_points(monthly, "seo", "month", month_label_sql("month"), SEO_MONTHLY_SERIES),
-    ]
-    points = parts[0]
-    for p in parts[1:]:
-        points = points.unionByName(p)
-    return chart_series(points)
+    """All chart series of both pages."""
+    return ads_series(daily, by_campaign).unionByName(seo_series(seo_daily, monthly))
 
 
 # --- tables of the ads page ------------------------------------------------------------

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.config import ReportConfig
-from kpiloom.operators import ads, organic, overview
+from kpiloom.operators import ads, organic, overview, present
 from kpiloom.operators.dims import latest_of, name_versions
 from kpiloom.period import Period, last_12_months, previous_period, trailing_year
 from kpiloom.plans.rollup import daily_rollup
@@ -90,6 +90,15 @@ def ads_page(tables: Tables, period: Period, config: ReportConfig, today: date)
     )
     page["campaign_performance"] = ads.campaign_performance(shared, history, period, cid, latest=latest)
     page["product_performance"] = ads.product_performance(tables.product_stats, period, cid)
+    page["cards"] = present.ads_cards(page["segment_totals"])
+    page["campaign_table"] = present.report_table(page["campaign_performance"])
+    page["product_table"] = present.report_table(page["product_performance"])
+    page["series"] = present.ads_series(
+        ads.account_daily(shared, period, cid, ordered=False),
+        ads.conversions_by_campaign_version(
+            shared, history, period, cid, versions=versions.select("id", "name", "n_versions"), ordered=False
+        ),
+    )
     return page
 
 
@@ -113,10 +122,16 @@ def seo_page(tables: Tables, period: Period, config: ReportConfig, today: date)
         tables.channel_session_report, shared, period, config.channels)
     page["organic_daily_compare"] = organic.organic_daily_compare(shared, period, config.channels)
     page["organic_monthly"] = organic.organic_monthly(shared, today, config.channels)
+    page["cards"] = present.seo_cards(page["organic_summary"])
+    page["series"] = present.seo_series(
+        organic.organic_daily_compare(shared, period, config.channels, ordered=False),
+        organic.organic_monthly(shared, today, config.channels, ordered=False),
+    )
     return page
 
 
 def overview_page(tables: Tables, period: Period, config: ReportConfig) -> Page:
     page = Page(tables.campaign_stats.sparkSession)
     page["marketing_overview"] = overview.marketing_overview(tables, period, config)
+    page["cards"] = present.overview_cards(page["marketing_overview"])
     return page

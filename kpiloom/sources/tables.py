@@ -143,26 +143,36 @@ def read_jdbc(
     dbtable: str,
     table: str,
     properties: dict[str, str] | None = None,
-    partition_column: str | None = "date",
+    partition_column: str = "date",
     lower_bound: str | None = None,
     upper_bound: str | None = None,
     num_partitions: int | None = None,
+    predicates: list[str] | None = None,
+    single_partition: bool = False,
 ) -> DataFrame:
     """Read a table over JDBC with caller-supplied connection options.
 
-    With ``partition_column`` and bounds, Spark issues ``num_partitions`` parallel
-    range queries instead of one single-connection scan. Filters on the returned
-    DataFrame are pushed into the generated SQL.
+    With bounds, Spark issues ``num_partitions`` parallel range queries over
+    ``partition_column``; with ``predicates``, one query for each. Reading a whole table
+    over one connection in one task must be asked for (``single_partition``). Filters on the
+    returned DataFrame are pushed into the generated SQL.
     """
+    ranged = lower_bound is not None and upper_bound is not None and num_partitions is not None
+    if not (ranged or predicates or single_partition):
+        raise ValueError(
+            f"{table}: give lower_bound, upper_bound and num_partitions, or predicates, or single_partition=True"
+        )
+    if predicates:
+        return conform(spark.read.jdbc(url, dbtable, predicates=predicates, properties=properties or {}), table)
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", dbtable)
     for key, value in (properties or {}).items():
         reader = reader.option(key, value)
-    if partition_column and lower_bound is not None and upper_bound is not None:
+    if ranged:
         reader = (
             reader.option("partitionColumn", partition_column)
             .option("lowerBound", lower_bound)
             .option("upperBound", upper_bound)
-            .option("numPartitions", str(num_partitions or 8))
+            .option("numPartitions", str(num_partitions))
         )
     return conform(reader.load(), table)
 

@@ -329,6 +329,11 @@ def test_read_jdbc_partitions_by_date(spark, monkeypatch):
                     "user": "u", "partitionColumn": "date", "lowerBound": "2024-01-01",
                     "upperBound": "2024-12-31", "numPartitions": "24"}
     assert df.columns == [f.name for f in tables_mod.CHANNEL_SESSION_REPORT.fields]
+    with pytest.raises(ValueError, match="single_partition"):
+        tables_mod.read_jdbc(FakeSpark(), "u", "t", "channel_session_report")
+    seen.clear()
+    tables_mod.read_jdbc(FakeSpark(), "u", "t", "channel_session_report", single_partition=True)
+    assert "partitionColumn" not in seen
 
 
 def test_display_number_reads_like_the_table_sort(spark):

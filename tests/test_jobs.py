@@ -42,7 +42,8 @@ def test_ads_page_job_writes_reports(spark, inputs):
     jobs.main(args)
     assert sorted(os.listdir(out)) == sorted([
         "segment_totals", "account_daily", "conversions_by_campaign_version",
-        "campaign_performance", "product_performance"])
+        "campaign_performance", "product_performance", "cards", "series", "campaign_table", "product_table"])
+    assert spark.read.parquet(os.path.join(out, "campaign_table")).where("cost_text like '£%'").count() == 5
     stats = bind_tables(spark, SF01).campaign_stats
     assert _daily_rows(spark.read.parquet(os.path.join(out, "account_daily"))) == _daily_rows(
         ads.account_daily(stats, ADS_PERIOD, "O"))
@@ -55,3 +56,10 @@ def test_bad_dates_fall_back_to_previous_month(spark, inputs):
     stats = bind_tables(spark, SF01).campaign_stats
     assert _daily_rows(reports["account_daily"]) == _daily_rows(
         ads.account_daily(stats, ADS_PERIOD, "O"))
+
+
+def test_missing_tables_are_named(spark, inputs):
+    _, paths = inputs
+    with pytest.raises(ValueError, match="product_stats"):
+        jobs.page_reports(spark, "ads", {k: v for k, v in paths.items() if k != "product_stats"},
+                          ReportConfig(customer_id="O"), None, None, date(1998, 2, 15))

@@ -23,7 +23,11 @@ def test_ads_page_equals_registered_queries(spark):
     page = dashboards.ads_page(t, ADS_PERIOD, CONFIG, ADS_TODAY)
     qs = queries()
     for name, df in page.items():
-        assert rows(df) == rows(qs[name](spark, SF01)), name
+        if name in ("cards", "series"):
+            both = qs["metric_cards" if name == "cards" else "chart_series"](spark, SF01)
+            assert rows(df) == rows(both.where("page = 'ads'")) != [], name
+        else:
+            assert rows(df) == rows(qs[name](spark, SF01)), name
 
 
 def test_seo_page_equals_separate_reports(spark):
@@ -36,6 +40,10 @@ def test_seo_page_equals_separate_reports(spark):
         t.channel_event_report, ORGANIC_PERIOD, CONFIG.channels))
     assert rows(page["organic_monthly"]) == rows(organic.organic_monthly(
         t.channel_event_report, today, CONFIG.channels))
+    assert [r.value for r in page["cards"].orderBy("position").collect()] == [float(v) for v in page["organic_summary"].first()]
+    series = page["series"].where("series = 'Daily Key Events'").orderBy("position").collect()
+    assert [r.y for r in series] == [float(r.key_events) for r in page["organic_daily_compare"].collect()]
+    assert [r.position for r in series] == list(range(1, len(series) + 1))
 
 
 def test_rollup_is_a_drop_in_campaign_stats(spark):

@@ -144,3 +144,8 @@ def test_account_filter_is_pushed_for_every_id_type(spark, tmp_path, kind):
     assert "EqualTo(customer_id,7)" in p
     assert report.first().clicks == 9719
     assert ads.account_totals(source, ADS_PERIOD, "text").first().clicks == 0
+
+
+def test_series_are_numbered_before_they_are_spread(spark, no_broadcast):
+    p = plan(spark, "chart_series")
+    assert "SortMergeJoin [page" not in p and "hashpartitioning(page" not in p
