@@ -99,14 +99,14 @@ def ratio_sql(numerator: str, denominator: str, guard: str | None = None) -> str
     )
 
 
-def kpi_columns(coalesce_zero: bool) -> list[Column]:
-    """The ten account KPIs from the sum columns (impressions ... conv_rate).
+def kpi_columns(coalesce_zero: bool, prefix: str = "") -> list[Column]:
+    """The ten account KPIs from the sum columns (impressions ... conv_rate); ``prefix`` is
+    that of the sum columns and of the KPIs.
 
     ``coalesce_zero`` turns every NULL (sums over no rows, a ratio with a NULL
     numerator) into 0 like the reference's ``None -> 0`` pass over one-row results.
     """
-    imp, clk, mic = SUM_IMPRESSIONS, SUM_CLICKS, SUM_MICROS
-    conv, val = SUM_CONVERSIONS, SUM_VALUE
+    imp, clk, mic, conv, val = (prefix + n for n in STAT_SUMS)
     cost = money_sql(mic)
     cols = [
         (f"CAST({imp} AS BIGINT)", "impressions"),
@@ -121,8 +121,8 @@ def kpi_columns(coalesce_zero: bool) -> list[Column]:
         (ratio_sql(conv, clk), "conv_rate"),
     ]
     if coalesce_zero:
-        return [F.expr(f"coalesce({e}, CAST(0 AS {c_type(n)})) AS {n}") for e, n in cols]
-    return [F.expr(f"{e} AS {n}") for e, n in cols]
+        return [F.expr(f"coalesce({e}, CAST(0 AS {c_type(n)})) AS {prefix}{n}") for e, n in cols]
+    return [F.expr(f"{e} AS {prefix}{n}") for e, n in cols]
 
 
 def c_type(kpi: str) -> str:

@@ -27,8 +27,6 @@ def marketing_overview(
     inner ``ELSE 0``, SEO sales and revenue are 0; ratios are 0 when undefined.
     "Conv. Rate" is conversions over *cost*, as in the reference.
     """
-    if null_policy not in ("zero", "keep"):
-        raise ValueError("null_policy must be 'zero' or 'keep'")
     ads = known_campaign_totals(
         tables.campaign_stats, tables.campaign_history, period, config.customer_id
     )
@@ -39,6 +37,13 @@ def marketing_overview(
     # Three one-row aggregates combined by a union and one global aggregate (no join).
     row = combine_single_rows(ads, ses, pur)
 
+    return row.select(*overview_columns(config, null_policy))
+
+
+def overview_columns(config: ReportConfig, null_policy: str = "zero") -> list[Column]:
+    """The twelve KPIs from one row with the columns of R1a, R1b and R1c."""
+    if null_policy not in ("zero", "keep"):
+        raise ValueError("null_policy must be 'zero' or 'keep'")
     keep = null_policy == "keep"
 
     def ads_col(c: str) -> Column:
@@ -49,7 +54,7 @@ def marketing_overview(
     users = F.col("total_ga4_total_users") if keep else _zero("total_ga4_total_users", "bigint")
     sales = _zero("total_seo_sales", "bigint")
     roas = F.col("total_roas") if keep else _zero("total_roas")
-    return row.select(
+    return [
         cost.alias("google_ads_total_cost"),
         conv.alias("google_ads_total_conversions"),
         ads_col("total_revenue").alias("google_ads_total_revenue"),
@@ -62,4 +67,4 @@ def marketing_overview(
         _zero("total_ga4_seo_revenue").alias("total_seo_revenue"),
         ratio(sales, sessions).alias("seo_conversion_rate"),
         ratio(F.lit(config.fixed_seo_cost), sales).alias("seo_cost_per_sale"),
-    )
+    ]

@@ -51,19 +51,27 @@ def section_cards(
 ) -> DataFrame:
     """Cards of several sections (``(section SQL, keys)``) from one pass over ``df``:
     the input report is computed once however many sections show its columns."""
-    cards = []
-    for sec, keys in sections:
-        for i, key in enumerate(keys, start=1):
-            label = sql_str(labels[key]) if labels and key in labels else title_label_sql(key)
-            col = f"`{key}`"
-            cards.append(
-                f"named_struct('page', {sql_str(page)}, 'section', {sec}, 'position', {i}, "
-                f"'key', {sql_str(key)}, 'label', {label}, 'value', CAST({col} AS DOUBLE), "
-                f"'display', {display_sql(col, formats[key])})"
-            )
+    cards = [c for sec, keys in sections for c in card_structs(page, sec, keys, formats, labels)]
     return df.selectExpr(f"inline(array({', '.join(cards)}))")
 
 
+def card_structs(
+    page: str, section_sql: str, keys: list[str], formats: dict[str, str],
+    labels: dict[str, str] | None = None, prefix: str = "",
+) -> list[str]:
+    """SQL of one card per key; the value of ``key`` is in the column ``<prefix><key>``."""
+    cards = []
+    for i, key in enumerate(keys, start=1):
+        label = sql_str(labels[key]) if labels and key in labels else title_label_sql(key)
+        col = f"`{prefix}{key}`"
+        cards.append(
+            f"named_struct('page', {sql_str(page)}, 'section', {section_sql}, 'position', {i}, "
+            f"'key', {sql_str(key)}, 'label', {label}, 'value', CAST({col} AS DOUBLE), "
+            f"'display', {display_sql(col, formats[key])})"
+        )
+    return cards
+
+
 # Card sections, keys, labels and formats of the three report pages.
 OVERVIEW_LABELS = {
     "google_ads_total_cost": "Google Ads Total Cost",
@@ -148,10 +156,14 @@ def _segment_section_sql(col: str) -> str:
     return f"CASE {col} {whens} END"
 
 
-def dashboard_cards(overview: DataFrame, segments: DataFrame, seo: DataFrame) -> DataFrame:
-    """All KPI cards: overview page (3 sections), ads page (one section per segment
-    of ``segment_totals``), SEO page. Small inputs (one row per page or segment)."""
-    return overview_cards(overview).unionByName(ads_cards(segments)).unionByName(seo_cards(seo))
+def dashboard_cards(row: DataFrame) -> DataFrame:
+    """All KPI cards from one row: the overview KPIs by name, the KPIs of each ads segment as
+    ``<segment>__<kpi>`` and the SEO summary as ``seo__<column>``."""
+    cards = [c for t, k in OVERVIEW_SECTIONS for c in card_structs("overview", sql_str(t), k, OVERVIEW_FORMATS, OVERVIEW_LABELS)]
+    for segment, title in ADS_SECTIONS.items():
+        cards += card_structs("ads", sql_str(title), ADS_CARD_KEYS, ADS_FORMATS, prefix=f"{segment}__")
+    cards += card_structs("seo", sql_str(SEO_SECTION), SEO_CARD_KEYS, SEO_FORMATS, SEO_LABELS, prefix="seo__")
+    return row.selectExpr(f"inline(array({', '.join(cards)}))")
 
 
 def overview_cards(overview: DataFrame) -> DataFrame:

@@ -28,34 +28,37 @@ def _suffixed(cols: list[Column], suffix: str) -> list[Column]:
     return [c.alias(n + suffix) for c, n in zip(cols, STAT_SUMS)]
 
 
-def segment_totals(
+def segment_sums(
     stats: DataFrame,
     history: DataFrame,
     period: Period,
     config: ReportConfig,
     today: date | None = None,
     latest: DataFrame | None = None,
-) -> DataFrame:
-    """``segment`` + the ten KPIs of ``account_totals``; one row per segment.
-
-    Segments: ``account`` (R2), ``shopping`` (R3), ``search`` (R4) over ``period``,
-    and ``trailing_year`` (R5) over ``trailing_year(today)`` when ``today`` is given.
-    """
-    year = trailing_year(today) if today is not None else None
-    in_p = in_period(period)
-    in_y = in_period(year) if year is not None else F.lit(False)
-    rows = stats.where(is_account(stats, config.customer_id) & (in_p | in_y))
+    known_period: Period | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """(one row of sums named ``<segment>__<sum>``, the segments), from one scan of the stats
+    and one pass over the history. With ``known_period`` the last segment is ``known``: ids
+    that have a history, over that period (R1a)."""
+    conds = {"_p": in_period(period)}
+    if today is not None:
+        conds["_y"] = in_period(trailing_year(today))
+    if known_period is not None:
+        conds["_k"] = in_period(known_period)
+    any_period = None
+    for c in conds.values():
+        any_period = c if any_period is None else any_period | c
+    rows = stats.where(is_account(stats, config.customer_id) & any_period)
 
     per_id = rows.groupBy("id").agg(
-        *_suffixed(stat_sums(when=in_p), "_p"),
-        *_suffixed(stat_sums(when=in_y), "_y"),
+        *[c for suffix, when in conds.items() for c in _suffixed(stat_sums(when=when), suffix)]
     )
     dim = latest if latest is not None else latest_campaign(history)
-    named = per_id.join(dim, "id", "left")
+    named = per_id.join(dim.withColumn("_known", F.lit(True)), "id", "left")
 
     shopping = f"name LIKE {sql_str(config.shopping_pattern)}"
     search = f"NOT (name LIKE {sql_str(config.shopping_pattern)})"
-    kept = " AND ".join(f"NOT (name LIKE {sql_str(p)})" for p in config.excluded_patterns) or "true"
+    kept = " AND ".join(f"NOT (name LIKE {sql_str(p)})" for p in config.excluded_patterns) or "_known"
 
     def seg_sums(suffix: str, cond: str | None, seg: str) -> list[Column]:
         # Conditional sums as SQL text: one parsed expression per output column.
@@ -67,13 +70,30 @@ def segment_totals(
         ]
 
     plan = [("account", "_p", None), ("shopping", "_p", shopping), ("search", "_p", search)]
-    if year is not None:
+    if today is not None:
         plan.append(("trailing_year", "_y", kept))
-    wide = named.agg(*[c for seg, sfx, cond in plan for c in seg_sums(sfx, cond, seg)])
+    if known_period is not None:
+        plan.append(("known", "_k", "_known"))
+    return named.agg(*[c for seg, sfx, cond in plan for c in seg_sums(sfx, cond, seg)]), [p[0] for p in plan]
+
 
+def segment_totals(
+    stats: DataFrame,
+    history: DataFrame,
+    period: Period,
+    config: ReportConfig,
+    today: date | None = None,
+    latest: DataFrame | None = None,
+) -> DataFrame:
+    """``segment`` + the ten KPIs of ``account_totals``; one row per segment.
+
+    Segments: ``account`` (R2), ``shopping`` (R3), ``search`` (R4) over ``period``,
+    and ``trailing_year`` (R5) over ``trailing_year(today)`` when ``today`` is given.
+    """
+    wide, segments = segment_sums(stats, history, period, config, today, latest)
     rows_of_segments = F.array(*[
         F.struct(F.lit(seg).alias("segment"), *[F.col(f"{seg}__{n}").alias(n) for n in STAT_SUMS])
-        for seg, _, _ in plan
+        for seg in segments
     ])
     return wide.select(F.inline(rows_of_segments)).select(
         "segment", *kpi_columns(coalesce_zero=True)

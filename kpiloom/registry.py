@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kpiloom.config import ReportConfig
 from kpiloom.operators import ads, dims, organic, overview, present
 from kpiloom.period import Period
-from kpiloom.plans import segments
+from kpiloom.plans import cards, segments
 from kpiloom.sources.bindings import bind_tables
 
 # Test parameters (FIXTURES.md, "Fixed parameters for the oracle queries").
@@ -165,14 +165,7 @@ def q_segment_totals(spark, sf_dir):
 def q_metric_cards(spark, sf_dir):
     """Every KPI card of the three pages, long form."""
     t = _t(spark, sf_dir)
-    over = overview.marketing_overview(t, OVERVIEW_PERIOD, CONFIG)
-    segs = segments.segment_totals(
-        t.campaign_stats, t.campaign_history, ADS_PERIOD, CONFIG, today=ADS_TODAY
-    )
-    seo = organic.organic_summary(
-        t.channel_session_report, t.channel_event_report, ORGANIC_PERIOD, CONFIG.channels
-    )
-    return present.dashboard_cards(over, segs, seo)
+    return cards.page_cards(t, OVERVIEW_PERIOD, ADS_PERIOD, ORGANIC_PERIOD, CONFIG, ADS_TODAY)
 
 
 def q_chart_series(spark, sf_dir):

@@ -149,3 +149,9 @@ def test_account_filter_is_pushed_for_every_id_type(spark, tmp_path, kind):
 def test_series_are_numbered_before_they_are_spread(spark, no_broadcast):
     p = plan(spark, "chart_series")
     assert "SortMergeJoin [page" not in p and "hashpartitioning(page" not in p
+
+
+def test_cards_scan_each_table_once(spark, no_broadcast):
+    p = plan(spark, "metric_cards")
+    assert scans(p, "lineitem") == 1 and scans(p, "orders") == 1
+    assert scans(p, "events") == 2  # the session report and the event report
