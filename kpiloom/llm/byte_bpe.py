@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,7 +38,31 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 
 from kpiloom.llm.common import scratch_path
 
-BLOCK = 2_000_000  #: pre-tokens after which a block is closed (always after a whole text)
+BLOCK = 2_000_000  #: white-space pieces after which a block is closed (always after a whole text)
+#: White space as the pattern means it (Unicode's property), for cutting texts into pieces: an
+#: optional space and what follows it, or white space. No pre-token spans two pieces, so the
+#: full pattern runs once for each distinct piece of a block.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+class _Index(dict):
+    """Numbers keys in the order of their first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = at = len(self)
+        return at
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Compressed non-negative integers below 2**31, bytes of equal weight together."""
+    planes = np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,14 +78,18 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     if len(word) <= 100:
+        none = 1 << 60
         parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = min(
-                (r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1], 1 << 60)) is not None
-            )
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [ranks.get(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
+            merged = parts[at] + parts[at + 1]
+            parts[at : at + 2] = [merged]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = ranks.get(merged + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = ranks.get(parts[at - 1] + merged, none)
         return [ranks[p] for p in parts]
     n = len(word)
     end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -87,12 +117,6 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _arrays(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes of all elements of the spans, one after the other."""
     ends = np.cumsum(lengths)
@@ -100,17 +124,16 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, pattern: str, parts: int, id_col: str, text: str, size: int = BLOCK) -> DataFrame:
-    """One row per block: its ids, pre-tokens a text, word indexes, and the words by part."""
+    """One row per block: its ids, pre-tokens a text, word numbers in order, and the words by
+    part with their (ascending) numbers. Frequent words have small numbers."""
     id_type = docs.schema[id_col].dataType
     schema = StructType([
         StructField("block", StringType()),
         StructField("ids", ArrayType(id_type)),
-        StructField("lens", ArrayType(IntegerType())),
-        StructField("flat", ArrayType(IntegerType())),
+        StructField("lens", BinaryType()),
+        StructField("flat", BinaryType()),
         StructField("parts", ArrayType(StructType([
-            StructField("part", IntegerType()),
-            StructField("at", ArrayType(IntegerType())),
-            StructField("words", ArrayType(StringType())),
+            StructField("part", IntegerType()), StructField("at", BinaryType()), StructField("words", BinaryType()),
         ]))),
     ])
 
@@ -118,39 +141,53 @@ def blocks(docs: DataFrame, pattern: str, parts: int, id_col: str, text: str, si
         import regex
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        find = regex.compile(pattern).findall
-        arrow = to_arrow_schema(schema)
+        find, cut_pieces, arrow = regex.compile(pattern).findall, _PIECE.findall, to_arrow_schema(schema)
         ids: list = []
-        flats: list[np.ndarray] = []
-        seen: dict[str, int] = {}
-        total = 0
+        texts: list[np.ndarray] = []
+        pieces, total = _Index(), 0
 
         def close() -> pa.RecordBatch:
-            by_part: dict[int, tuple[list, list]] = {}
-            for word, at in seen.items():
-                own = by_part.setdefault(zlib.crc32(word.encode()) % parts, ([], []))
-                own[0].append(at)
-                own[1].append(word)
+            words = _Index()
+            number = words.__getitem__
+            own = [[number(w) for w in find(piece)] for piece in pieces]
+            many = np.fromiter(map(len, own), np.int64, len(own))
+            inner = np.fromiter((n for ws in own for n in ws), np.int64, int(many.sum()))
+            flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+            counts = many[flat]
+            flat = inner[_spans((np.cumsum(many) - many)[flat], counts)]
+            upto = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum([len(x) for x in texts])].astype(np.int64)]
+            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[order] = np.arange(len(words))
+            spelled = list(words)
+            by_part: dict[int, list[int]] = {}
+            for new, old in enumerate(order.tolist()):
+                by_part.setdefault(zlib.crc32(spelled[old].encode()) % parts, []).append(new)
             row = {
-                "block": [uuid.uuid4().hex],
-                "ids": [ids],
-                "lens": [[len(x) for x in flats]],
-                "flat": _arrays(np.concatenate(flats), np.array([total])),
-                "parts": [[{"part": p, "at": a, "words": w} for p, (a, w) in by_part.items()]],
+                "block": uuid.uuid4().hex,
+                "ids": ids,
+                "lens": pack(np.diff(upto)),
+                "flat": pack(rank[flat]),
+                "parts": [
+                    {
+                        "part": p,
+                        "at": pack(np.diff(ats, prepend=0)),
+                        "words": zlib.compress(json.dumps([spelled[order[n]] for n in ats], ensure_ascii=False).encode(), 1),
+                    }
+                    for p, ats in by_part.items()
+                ],
             }
-            return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) if f.name != "flat" else row["flat"] for f in arrow], names=arrow.names)
+            return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in arrow], names=arrow.names)
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key, value in zip(keys, batch.column(1), strict=True):
-                words = find(value.as_py() or "")
-                flat = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = cut_pieces(value.as_py() or "")
                 ids.append(key)
-                flats.append(flat)
-                total += len(flat)
+                texts.append(np.fromiter(map(pieces.__getitem__, found), np.int32, len(found)))
+                total += len(found)
                 if total >= size:
                     yield close()
-                    ids, flats, seen, total = [], [], {}, 0
+                    ids, texts, pieces, total = [], [], _Index(), 0
         if ids:
             yield close()
 
@@ -171,41 +208,40 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for batch in batches:
-            for block, at, words in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for block, at, packed in zip(*(batch.column(i) for i in range(3)), strict=True):
                 lengths, flat = [], []
-                for w in words.as_py():
+                for w in json.loads(zlib.decompress(packed.as_py())):
                     own = known.get(w)
                     if own is None:
                         own = known[w] = encode_word(w.encode(), ranks)
                     lengths.append(len(own))
                     flat += own
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block.as_py()]),
-                        pa.array([at.as_py()], pa.list_(pa.int32())),
-                        pa.array([lengths], pa.list_(pa.int32())),
-                        pa.array([flat], pa.list_(pa.int32())),
-                    ],
-                    names=["block", "at", "lens", "ids"],
-                )
+                yield pa.RecordBatch.from_pydict({
+                    "block": [block.as_py()], "at": [at.as_py()], "lens": [pack(np.array(lengths))], "ids": [pack(np.array(flat))],
+                })
 
     words = cut.select("block", F.explode("parts").alias("p")).select("block", "p.at", "p.words", "p.part")
     known = (
         words.repartition(parts, "part").select("block", "at", "words")
-        .mapInArrow(encode_parts, "block string, at array<int>, lens array<int>, ids array<int>")
+        .mapInArrow(encode_parts, "block string, at binary, lens binary, ids binary")
     )
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType()))])
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat_of = lambda column: column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        keys, lens, flat = (flat_of(left.column(c)) if c != "ids" else left.column(c).combine_chunks().flatten() for c in ("ids", "lens", "flat"))
-        at, count, ids = (flat_of(right.column(c)) for c in ("at", "lens", "ids"))
+        one = lambda name: unpack(left.column(name)[0].as_py())
+        every = lambda name, f: np.concatenate([f(unpack(x.as_py())) for x in right.column(name)] or [np.zeros(0, np.int64)])
+        same = lambda x: x
+        keys, lens, flat = left.column("ids").combine_chunks().flatten(), one("lens"), one("flat")
+        at, count, ids = every("at", np.cumsum), every("lens", same), every("ids", same).astype(np.int32)
         starts, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         starts[at], counts[at] = np.cumsum(count) - count, count
-        many = counts[flat]
-        out = ids[_spans(starts[flat], many)].astype(np.int32)
-        upto = np.r_[0, np.cumsum(many)][np.r_[0, np.cumsum(lens)].astype(np.int64)]
-        return pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(out))})
+        upto = np.r_[0, np.cumsum(counts[flat])][np.r_[0, np.cumsum(lens)]]
+        out, chunk = [], 1 << 20  # in pieces, so that index arrays stay small
+        for lo in range(0, len(flat), chunk):
+            own = flat[lo : lo + chunk]
+            out.append(ids[_spans(starts[own], counts[own])])
+        values = np.concatenate(out) if out else ids[:0]
+        return pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values))})
 
     return (
         cut.select("block", "ids", "lens", "flat").groupBy("block")
