@@ -12,7 +12,7 @@ findings, joined by Spark's skew-aware sort-merge join.
 Rules for odd input: NULL texts are the empty blob, which has no findings; repeated rows are
 one path with one blob and keep their rows; a NULL path is a path; matches that fail their
 rule's test are dropped without a second try; spans of different kinds may overlap; an empty
-table gives no rows and writes no ledger rows; other columns pass through (as ``_row``).
+table gives no rows and writes no ledger rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -97,10 +97,11 @@ def _finder(rules: tuple[Rule, ...]) -> Callable[..., Column]:
     return of
 
 
-def address(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_row, blob, _path): ``_path`` is a hash of the path."""
+def address(versions: DataFrame, path: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(_row, blob, _path): ``_path`` is a hash of the path, ``_row`` the columns to carry, by
+    default all."""
     content = F.coalesce(F.col(text), F.lit(""))
-    return versions.select(F.struct("*").alias("_row"), F.sha2(content, 256).alias("blob"), F.xxhash64(path).alias("_path"))
+    return versions.select(F.struct(*(carry or ["*"])).alias("_row"), F.sha2(content, 256).alias("blob"), F.xxhash64(path).alias("_path"))
 
 
 def update_ledger(versions: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> int:
@@ -132,32 +133,37 @@ def _read(spark, ledger: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(ledger)
 
 
-def findings(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(_row, blob, findings) for every row of ``versions``, after bringing the ledger (a new
-    one if not given) up to date. Findings of rules that are not asked for, or of other
-    versions of a rule, are left out."""
+def _known(versions: DataFrame, ledger: str | None, path: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, _f) of the blobs with findings of ``rules``, after bringing the ledger up to date."""
     ledger = ledger or scratch_path(versions.sparkSession, "secrets-ledger")
     update_ledger(versions, ledger, path, text, rules)
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     asked = F.array(*[F.lit(r.key) for r in rules])
     names = F.array(*[F.lit(r.name) for r in rules])
-    known = (
+    return (
         _read(versions.sparkSession, ledger).where(F.size("findings") > 0)
-        .select(
-            "blob",
-            F.explode(F.array_distinct("findings")).alias("f"),
-            F.array_intersect("rules", asked).alias("_now"),
-        )
+        .select("blob", F.explode(F.array_distinct("findings")).alias("f"), F.array_intersect("rules", asked).alias("_now"))
         .where(F.array_contains(names, F.col("f.kind")) & F.exists("_now", lambda k: F.substring_index(k, "@", 1) == F.col("f.kind")))
         .select("blob", F.struct(F.col("f.start").alias("start"), order[F.col("f.kind")].alias("order"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end")).alias("f"))
         .groupBy("blob").agg(F.sort_array(F.collect_set("f")).alias("_f"))
     )
-    return address(versions, path, text).join(known, "blob", "left").select(
+
+
+def _joined(addressed: DataFrame, known: DataFrame) -> DataFrame:
+    return addressed.join(known, "blob", "left").select(
         "_row", "blob",
         F.coalesce(F.transform("_f", lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))), F.array().cast(FINDING)).alias("findings"),
     )
 
 
+def findings(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(_row, blob, findings) for every row of ``versions``, after bringing the ledger (a new
+    one if not given) up to date; ``_row`` is the row without its text, which need not travel.
+    Findings of rules that are not asked for, or of other versions of a rule, are left out."""
+    known = _known(versions, ledger, path, text, rules)
+    return _joined(address(versions, path, text, [c for c in versions.columns if c != text]), known)
+
+
 def _redacted(text: str | None, starts, ends) -> str | None:
     if text is None:
         return None
@@ -177,7 +183,7 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([_redacted(*x) for x in zip(texts, starts, ends, strict=True)], dtype=object)
 
-    found = findings(docs, ledger, rules=rules).withColumn(
+    found = _joined(address(docs), _known(docs, ledger, "doc_id", "text", rules)).withColumn(
         "_text",
         F.when(F.size("findings") > 0, cut("_row.text", "findings.start", "findings.end")).otherwise(F.col("_row.text")),
     )
