@@ -4,19 +4,45 @@ Each stage takes all rows that the one before kept. All but the last return the
 ``documents``; the last returns token ids. ``ORACLE_SQL`` is None because SQL can't express the
 SimHash classes and the byte-pair merges; tests hold the run against brute force.
 
+A stage's intermediate tables are removed when the next stage starts, as its result has been
+written by then; tables that the next stage's input still reads are kept.
+
 Odd input is treated as each operator's module says: rows with NULL or short texts fall to the
 quality rules, repeated rows to the near-duplicate stage; empty tables go through as empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.llm import byte_bpe, decontaminate, quality_rules, secrets, simhash
-from kpiloom.llm.common import materialise
+from kpiloom.llm.common import SCRATCH, materialise, remove_scratch
 from kpiloom.llm.queries import tokenizer
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Intermediate tables of the stage that ran last.
+_LEFT: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _LEFT:
+            read = docs.inputFiles()
+            done = [p for p in _LEFT if not any(p.split(":")[-1].lstrip("/") in f for f in read)]
+            remove_scratch(spark, done)
+            _LEFT[:] = [p for p in _LEFT if p not in done]
+        before = set(SCRATCH)
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(p for p in SCRATCH if p not in before)
+        return out
+
+    run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
+    return run_stage
+
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality rules keep."""
@@ -51,18 +77,24 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality_rules", keep_good),
-    ("simhash_near_dedup", keep_one_of_near_copies),
-    ("benchmark_decontamination", drop_benchmark_leaks),
-    ("secret_scans", redact_secrets),
-    ("byte_bpe", tokenize),
+    (name, _tidy(stage))
+    for name, stage in (
+        ("quality_rules", keep_good),
+        ("simhash_near_dedup", keep_one_of_near_copies),
+        ("benchmark_decontamination", drop_benchmark_leaks),
+        ("secret_scans", redact_secrets),
+        ("byte_bpe", tokenize),
+    )
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written before the next one reads it."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = written, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        written = SCRATCH[-1]
+        if before:
+            remove_scratch(spark, [before])
     return docs

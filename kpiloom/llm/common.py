@@ -15,15 +15,29 @@ NON_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders given out by ``scratch_path`` in this process, in order.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the cluster's checkpoint folder, removed when the driver ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    SCRATCH.append(path)
     return path
 
 
+def remove_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of ``scratch_path`` that nothing needs any more."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in SCRATCH:
+            SCRATCH.remove(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the checkpoint folder and read it back: the lineage is cut,
     the rows are fixed, and a lost executor costs a reread instead of a recomputation."""
