@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.llm.features import labelled, remainder
 
-BITS = 20
+BITS = 18
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1.0
 SHARDS, ROUNDS, EPOCHS = 4, 2, 4
 MOST_LABELLED = 40_000  #: labelled rows that are learnt from
@@ -81,15 +81,15 @@ def train_shard(texts: list[np.ndarray], ys: np.ndarray, z: np.ndarray, n: np.nd
 def train(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, epochs: int = EPOCHS, bits: int = BITS) -> dict[int, float]:
     """Slot to weight, zeros left out; ``rows`` has text and y."""
     size = (1 << bits) + 1
-    state: pd.DataFrame | None = None
+    state: dict[str, np.ndarray] = {}
     dealt = rows.select((F.pmod(F.xxhash64("text"), F.lit(shards))).alias("shard"), "text", "y")
     for _ in range(rounds):
         before = state
 
-        def learn(shard: pd.DataFrame, before: pd.DataFrame | None = before) -> pd.DataFrame:
+        def learn(shard: pd.DataFrame, before: dict[str, np.ndarray] = before) -> pd.DataFrame:
             shard = shard.sort_values(["text", "y"], na_position="first")
             z, n = np.zeros(size), np.zeros(size)
-            if before is not None:
+            if before:
                 z[before["slot"]], n[before["slot"]] = before["z"], before["n"]
             words: dict[str, int] = {}
             train_shard([slots(t, bits, words) for t in shard["text"]], shard["y"].to_numpy(), z, n, epochs, bits)
@@ -98,10 +98,9 @@ def train(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, epochs: i
 
         own = dealt.groupBy("shard").applyInPandas(lambda s: learn(s), "slot long, z double, n double")
         # A slot that a shard has not seen counts as zero there, so sums are divided by all shards.
-        state = own.groupBy("slot").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
-    if state is None or state.empty:
-        return {}
-    w = weight(state["z"].to_numpy(), state["n"].to_numpy())
+        table = own.groupBy("slot").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toArrow()
+        state = {c: table.column(c).to_numpy() for c in table.column_names}  # at most 2**bits + 1 rows
+    w = weight(state["z"], state["n"])
     return {int(s): float(x) for s, x in zip(state["slot"], w, strict=True) if x}
 
 
