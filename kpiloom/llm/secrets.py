@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import scratch_path
+from kpiloom.llm.common import materialise, scratch_path
 
 FINDING = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob string, rules array<string>, findings {FINDING}"
@@ -134,19 +134,21 @@ def _read(spark, ledger: str) -> DataFrame:
 
 
 def _known(versions: DataFrame, ledger: str | None, path: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """(blob, _f) of the blobs with findings of ``rules``, after bringing the ledger up to date."""
+    """(blob, _f) of the blobs with findings of ``rules``, after bringing the ledger up to date.
+    Written, so that the join back to the paths has plain sides and Spark can split a hot blob."""
     ledger = ledger or scratch_path(versions.sparkSession, "secrets-ledger")
     update_ledger(versions, ledger, path, text, rules)
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     asked = F.array(*[F.lit(r.key) for r in rules])
     names = F.array(*[F.lit(r.name) for r in rules])
-    return (
+    known = (
         _read(versions.sparkSession, ledger).where(F.size("findings") > 0)
         .select("blob", F.explode(F.array_distinct("findings")).alias("f"), F.array_intersect("rules", asked).alias("_now"))
         .where(F.array_contains(names, F.col("f.kind")) & F.exists("_now", lambda k: F.substring_index(k, "@", 1) == F.col("f.kind")))
         .select("blob", F.struct(F.col("f.start").alias("start"), order[F.col("f.kind")].alias("order"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end")).alias("f"))
         .groupBy("blob").agg(F.sort_array(F.collect_set("f")).alias("_f"))
     )
+    return materialise(known, "secrets-known")
 
 
 def _joined(addressed: DataFrame, known: DataFrame) -> DataFrame:
