@@ -58,9 +58,19 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 18, hint=("akia",)),
     Rule("hex", r"[0-9a-f]{16,}"),  # runs are maximal, so the length test can be the pattern's
 )
+#: What may stand between the lines of a key: white space, escaped in strings, or a quote or comment mark.
+_BETWEEN = r"""(?:\s|\\[nrt]|["',>\#*|])"""
 #: Formats published by the services that issue these keys.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hint=("private key-----",)),
+    # To the END line if that is the next line of dashes, else to the last base64 line.
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:"
+        r"[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|"
+        rf"(?:{_BETWEEN}++(?:Proc-Type|DEK-Info|Key-Info|Version|Comment|Hash|Charset|MessageID):[^\n\r\\]*+)*+"
+        rf"(?:(?:{_BETWEEN}++[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_BETWEEN}++=?[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=\x20*+(?:[\r\n\\]|\Z)))?+)?+)",
+        hint=("private key",), version=2,
+    ),
     Rule("code_host", r"(?<![A-Za-z0-9_])gh[oprsu]_[A-Za-z0-9]{36,}", hint=("gho_", "ghp_", "ghr_", "ghs_", "ghu_")),
     Rule("chat", r"(?<![A-Za-z0-9-])xox[abeprs]-[A-Za-z0-9-]{10,}", hint=("xox",)),
     Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint=("eyj",)),

@@ -336,6 +336,22 @@ def test_secrets_redacted(spark):
     assert got == {0: ("a [SECRET] b", "mine"), 1: (None, "mine"), 2: ("é [SECRET] é", "mine"), 3: ("clean", "mine")}
 
 
+def test_private_keys_are_redacted_whole(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3/" * 12] * 6)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x\n\n" + body + "\n=aB3x\n-----END PGP PRIVATE KEY BLOCK-----"
+    rows = [
+        (f"a {begin}\n{body}\nQk0=\n{end} b", "a [SECRET] b"), (f"a {begin}\r\n{head}{body}\n{end} b", "a [SECRET] b"),
+        (f"a {begin}\n{body}\nQk0=\nplain prose goes on", "a [SECRET]\nplain prose goes on"), (f"a {begin}\n{head}{body}", "a [SECRET]"),
+        (f"'{begin}" + "\\n" + body.replace("\n", "\\n") + "\\n" + end + "' b", "'[SECRET]' b"), (f"a {pgp} b", "a [SECRET] b"),
+        (f"{begin}\n{body}\n{begin}\n{body}\n{end}\nb", "[SECRET]\n[SECRET]\nb"), (f"the line {begin} opens a file", "the line [SECRET] opens a file"),
+        (f"{begin} " * 20_000 + "x", "[SECRET] " * 20_000 + "x"),
+    ]
+    got = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, [t for t, _ in rows])).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(rows)}
+
+
 # byte-level BPE
 
 def test_bpe_is_the_library(spark, texts):
