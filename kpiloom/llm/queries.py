@@ -20,7 +20,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every place of a 20-word paragraph that occurs in several documents, with its class."""
+    """Every place of a paragraph or snippet that occurs in several documents, with its class."""
     found = substring_dedup.duplicated(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("at").alias("first_word"), "n_words", "class_id", "n_docs", "removed")
 

@@ -87,6 +87,30 @@ def test_substring_near_paragraphs_are_linked():
     assert substring_dedup._similar([0, 1, 2, 3], [*base, shifted]) == [(0, 3)]
 
 
+def test_substring_paragraphs_with_interior_edits(spark):
+    own = lambda k, n: " ".join(f"only{k}x{i}" for i in range(n))
+    pairs = [[f"p{k}w{i}" for i in range(60 + 5 * k)] for k in range(12)]
+    docs = [(k, own(k, 30) + "\n" + " ".join(p) + "\n" + own(k + 100, 30)) for k, p in enumerate(pairs)]
+    docs += [(20 + k, own(k + 200, 30) + "\n" + " ".join([*p[: len(p) // 2], "changed", *p[len(p) // 2 + 1 :]])) for k, p in enumerate(pairs)]
+    frame = docs_of(spark, [t for _, t in docs], [i for i, _ in docs])
+    found = substring_dedup.duplicated(frame).where("n_words >= 60").toPandas()
+    assert sum({k, 20 + k} <= set(found[found.n_words == len(p)].doc_id) for k, p in enumerate(pairs)) >= 11  # each with probability 0.98 or more
+    cut = {r.doc_id: r.text for r in substring_dedup.remove(frame).collect()}
+    assert sum(cut[20 + k].strip() == own(k + 200, 30) for k in range(12)) >= 11
+
+
+def test_substring_blocks_and_long_lines():
+    block = b"one two three\nfour five\n\nsix\nseven eight\n \n"
+    assert substring_dedup._lines(block)[1] == [(0, 3), (3, 2), (5, 1), (6, 2), (0, 5), (5, 3)]
+    words = [f"w{i}" for i in range(3_000)]
+    cuts = lambda ws: {
+        tuple(ws[a : a + n]) for _, a, n in zip(*substring_dedup._paragraphs([" ".join(ws).encode()], substring_dedup._Words())[0][:3])
+    }
+    whole = cuts(words)
+    assert min(map(len, whole)) >= 100 and sum(map(len, whole)) == 3_000
+    assert len(whole & cuts(["new", "start", *words])) >= len(whole) - 1
+
+
 # licenses
 
 def test_licenses_base_against_brute_force(spark, texts):
