@@ -111,6 +111,21 @@ def test_substring_blocks_and_long_lines():
     assert len(whole & cuts(["new", "start", *words])) >= len(whole) - 1
 
 
+def test_substring_short_copies_and_passages_of_30_words(spark):
+    sizes = [1, 2, 4, 5, 8, 19, 20, 30, 35, 40, 45]
+    copies = {k: " ".join(f"s{k}w{i}" for i in range(n)) for k, n in enumerate(sizes)}
+    frame = docs_of(spark, [t for t in copies.values() for _ in range(3)] + ["alone"])
+    found = substring_dedup.duplicated(frame).toPandas()
+    assert set(found.doc_id) == set(range(3 * len(sizes))) and set(found[~found.removed].doc_id) == {3 * k for k in copies}
+    cut = {r.doc_id: r.text for r in substring_dedup.remove(frame).collect()}
+    assert all(cut[i] == (copies[i // 3] if i % 3 == 0 else "") for i in range(3 * len(sizes)))
+    for k in range(200):
+        passage = " ".join(f"p{k}w{i}" for i in range(30))
+        texts = [" ".join(f"x{k}y{j}z{i}" for i in range(60)) + f" {passage} " + " ".join(f"x{k}y{j}q{i}" for i in range(40)) for j in range(2)]
+        text, _, name = substring_dedup._paragraphs([t.encode() for t in texts], substring_dedup._Words())[1]
+        assert set(name[text == 0].tolist()) & set(name[text == 1].tolist())
+
+
 # licenses
 
 def test_licenses_base_against_brute_force(spark, texts):
