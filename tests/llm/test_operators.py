@@ -126,6 +126,35 @@ def test_substring_short_copies_and_passages_of_30_words(spark):
         assert set(name[text == 0].tolist()) & set(name[text == 1].tolist())
 
 
+def test_substring_large_keys_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    template = [f"t{i}" for i in range(40)]
+    rows = [" ".join([*template[:20], f"name{k // 2}", f"b{k // 2}", *template[20:], *(["end"] if k % 2 else [])]) for k in range(300)]
+    rows += [" ".join([*template, f"tail{k}"]) for k in range(300)]  # similarity 36/38 with one another
+    frame = docs_of(spark, [rows[i] for i in rng.permutation(len(rows))])
+    whole = lambda: {(r.doc_id, r.n_docs) for r in substring_dedup.duplicated(frame).where("n_words > 40").collect()}
+    want = whole()
+    assert len(want) >= 590
+    monkeypatch.setattr(substring_dedup, "LARGE", 20)
+    assert whole() == want
+    groups = spark.range(3_000).selectExpr("1L as key", "id as name")
+    contents = spark.range(3_000).selectExpr("id as name", "transform(sequence(1, 16), i -> if(i > 11, xxhash64(i, id), xxhash64(i))) as shingles")
+    _, split = substring_dedup.spread(spark.createDataFrame([], "a long, b long"), groups, contents)
+    assert split.groupBy("key").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_substring_key_over_many_batches(spark, monkeypatch):
+    rows = spark.range(5_000).selectExpr("8L as key", "id div 2 as name", "1 as n").union(spark.sql("select 16L, 1L, 2")).union(spark.sql("select 24L, explode(array(5L, 6L)), 1"))
+    monkeypatch.setattr(substring_dedup, "banded", lambda docs: rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = collections.Counter((r.key, r.a, r.b) for r in substring_dedup.candidates(None).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(8, k, None) for k in range(2_500)] + [(None, k, None) for k in range(2_500)] + [(None, 1, None), (None, 5, 6)]
+    assert got == collections.Counter(want)
+
+
 # licenses
 
 def test_licenses_base_against_brute_force(spark, texts):
