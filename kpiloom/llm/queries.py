@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import byte_bpe, decontaminate, licenses, pii, quality_classifier, quality_rules, secrets, simhash, substring_dedup, toxicity
+from kpiloom.llm import (
+    byte_bpe, decontaminate, licenses, pii, quality_classifier, quality_rules, secrets, simhash, substring_dedup, toxicity, whitening,
+)
 from kpiloom.llm.common import materialise
 
 
@@ -146,6 +148,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every usable embedding, one row each."""
+    found = whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16)
+    return found.select(
+        "vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("_at", "_c")
+    ).select(
+        "vec_id", (F.col("_at") + 1).cast("int").alias("component"), "n", "deviation", F.col("_c.whitened").alias("whitened"),
+        F.col("_c.explained").alias("explained"), "identity_error",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scans": op2_license_scans,
@@ -157,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
