@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.llm import (
-    byte_bpe, decontaminate, licenses, pii, quality_classifier, quality_rules, secrets, simhash, substring_dedup, toxicity, whitening,
+    byte_bpe, decontaminate, licenses, pii, quality_classifier, quality_rules, secrets, simhash, spelling, substring_dedup, toxicity,
+    whitening,
 )
 from kpiloom.llm.common import materialise
 
@@ -148,6 +149,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 7 letters or more with their more frequent near spelling, one row per word. Every
+    31st (id, run) by its hash has lost a letter."""
+    return spelling.variants(_read(spark, sf_dir, "documents"), min_length=7, min_count=2, ratio=10, delete_every=31).select(
+        "word", "form", "root", "n", "n_near", "form_n"
+    )
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 16 whitened components of every usable embedding, one row each."""
     found = whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16)
@@ -170,9 +179,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_embedding_whitening": op12_embedding_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
     "op4_benchmark_decontamination": decontaminate.oracle(),
+    "op11_spelling_variants": spelling.oracle(),
 }
