@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.llm import (
-    byte_bpe, decontaminate, licenses, pii, quality_classifier, quality_rules, secrets, simhash, spelling, substring_dedup, toxicity,
-    whitening,
+    byte_bpe, decontaminate, jaccard_join, licenses, pii, quality_classifier, quality_rules, secrets, simhash, spelling,
+    substring_dedup, toxicity, whitening,
 )
 from kpiloom.llm.common import materialise
 
@@ -168,6 +168,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.near_duplicates(docs, shingle=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scans": op2_license_scans,
@@ -181,9 +187,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
     "op4_benchmark_decontamination": decontaminate.oracle(),
     "op11_spelling_variants": spelling.oracle(),
+    "op13_ngram_jaccard_join": jaccard_join.oracle(),
 }
