@@ -22,16 +22,19 @@ table); any fixed order is exact, so slots shared by chance cost time only.
 
 1. Equal sets are one point; within a task a set is dealt once.
 2. A bucket's lone sets are dropped in a streaming pass. Rows of shingles in hot slots are salted.
-3. *Proposals*: in every bucket each set meets the bucket's pivot; per set the pivot that it meets
+3. A linked pair shares not one but at least o - ceil(percent * larger / 100) + 1 buckets, o being
+   the least overlap for its sizes; pairs that meet less often are not compared.
+4. *Proposals*: in every bucket each set meets the bucket's pivot; per set the pivot that it meets
    most often is verified. This joins most of a cluster by one comparison a set. Twice, with other
    pivots.
-4. *Trees*: buckets that still hold several components are split by set size (the root level of the
+5. *Trees*: buckets that still hold several components are split by set size (the root level of the
    tree: counts sum to the size) and, above ``CELL`` sets, into cells of pairs of tiles. The R-trees
-   of the cells give every pair of different components that passes the bound; all are verified.
-   A pair inside one component needs no comparison, as no component would change.
+   of the cells give every pair of different components that passes the bound; those that meet often
+   enough are verified. A pair inside one component needs no comparison, as no component would change.
 
-Sets of verified points come from a second reading of the texts, limited by a Bloom filter of
-at most ``FILTER_BLOCKS`` blocks (32 MB) and an exact join, so sets of unique texts are never shuffled.
+The sets of a pair are read from the texts again, one text a set: a Bloom filter of the ids in
+question (at most ``FILTER_BLOCKS`` blocks, 32 MB) picks the rows to read and an exact join the
+sets to keep, so sets of unique texts are never shuffled.
 
 Rules for odd input: NULL, empty and wordless texts have the empty set and link with nothing (their
 component is their own id); texts of fewer words than a shingle have their whole sequence as one
@@ -41,7 +44,8 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -58,27 +62,61 @@ GROUPS = 32
 SLOTS, SLOT_BLOCK = 1 << 20, 1 << 10
 #: Children of an R-tree node, points of a leaf.
 FANOUT = 32
+#: Rows of a bucket that are one leaf.
+SMALL = 16
 #: Sets of a tile; a cell compares two tiles.
 CELL = 2048
 FILTER_BLOCKS = 1 << 20
 #: A shingle is hot if its slot counts this often and eight times the mean.
 HOT = 4096
+_WORDS = 1 << 18
 
 
-def shingles(text: bytes | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``size``-word shingles of a UTF-8 text; A-Z lower-cased,
-    words between ASCII white space."""
+def _odd(n: int) -> np.ndarray:
+    """Odd factors of the positions in a shingle, from a mixing rule."""
+    return bloom.mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    own = np.sort(hashes)
+    return own[np.r_[True, own[1:] != own[:-1]]]
+
+
+def shingle_sets(texts: Iterable[bytes | None], size: int) -> Iterator[np.ndarray]:
+    """Per UTF-8 text the sorted distinct hashes of its ``size``-word shingles; A-Z lower-cased,
+    words between ASCII white space. Texts are hashed ``_WORDS`` words at a time."""
     import xxhash
 
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    k = min(size, len(words))
-    total = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):  # an ordered combination: the position's odd factor, then mixing
-        total = bloom.mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - k + 1 + i])
-    return np.unique(total)
+    odd = _odd(size)
+
+    def sets(parts: list[list[bytes]], held: int) -> Iterator[np.ndarray]:
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(parts)), np.uint64, held)
+        whole = np.zeros(0, np.uint64)
+        if held >= size:
+            whole = bloom.mixed(sum(hashes[i : held - size + 1 + i] * odd[i] for i in range(size)) + np.uint64(size))
+        at = 0
+        for words in parts:
+            n = len(words)
+            if n >= size:
+                yield _distinct(whole[at : at + n - size + 1])
+            elif n:
+                yield bloom.mixed((hashes[at : at + n] * odd[:n]).sum(keepdims=True) + np.uint64(n))
+            else:
+                yield hashes[:0]
+            at += n
+
+    parts, held = [], 0
+    for text in texts:
+        parts.append(text.lower().split() if text else [])
+        held += len(parts[-1])
+        if held >= _WORDS:
+            yield from sets(parts, held)
+            parts, held = [], 0
+    yield from sets(parts, held)
+
+
+def shingles(text: bytes | None, size: int) -> np.ndarray:
+    return next(shingle_sets([text], size))
 
 
 def _name(own: np.ndarray) -> tuple[int, int]:
@@ -93,46 +131,40 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def _texts(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    for i, raw in enumerate(batch.column(0)):
-        yield i, shingles(raw.as_py(), size)
+def _point(own: np.ndarray) -> bytes:
+    return np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
 
 
 def keys(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written: one row per text (id, n, k1, k2), and per task its slot counts (block, counts)."""
+    """Written: one row per text (id, n, k1, k2, its point in counts), and one per task and block of
+    slots that it uses (block, counts)."""
+
+    def schema(kind: pa.DataType) -> pa.Schema:
+        return pa.schema([("id", kind), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary()), ("block", pa.int32())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
+        slots, kind = np.zeros(SLOTS, np.uint32), None
         for batch in batches:
-            n, k1, k2 = [], [], []
-            for _, own in _texts(batch, size):
+            kind, n, names, points, used = batch.column(1).type, [], [], [], []
+            for own in shingle_sets(batch.column(0).to_pylist(), size):
                 n.append(len(own))
-                a, b = _name(own) if len(own) else (None, None)
-                k1.append(a)
-                k2.append(b)
-                np.add.at(counts, _slot(own), 1)
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                    pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
-                ],
-                schema=schema(batch.column(1).type),
-            )
-            kind = batch.column(1).type
-        if counts.any():
-            used = np.nonzero(counts.reshape(-1, SLOT_BLOCK).any(1))[0]
-            rows = len(used)
-            none = [pa.nulls(rows, t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
-            bodies = [counts[b * SLOT_BLOCK : (b + 1) * SLOT_BLOCK].tobytes() for b in used.tolist()]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array(bodies, pa.binary())], schema=schema(kind))
-
-    def schema(kind: pa.DataType) -> pa.Schema:
-        return pa.schema([("id", kind), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+                names.append(_name(own) if len(own) else (None, None))
+                points.append(_point(own) if len(own) else None)
+                used.append(_slot(own))
+            n, names, points = n[: batch.num_rows], names[: batch.num_rows], points[: batch.num_rows]
+            slots += np.bincount(np.concatenate(used), minlength=SLOTS).astype(np.uint32)
+            k1, k2 = zip(*names, strict=True) if names else ((), ())
+            columns = [batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, pa.int32())], schema=schema(kind))
+        used = np.nonzero(slots.reshape(-1, SLOT_BLOCK).any(1))[0]
+        if len(used):
+            none = [pa.nulls(len(used), t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
+            bodies = [slots[b * SLOT_BLOCK : (b + 1) * SLOT_BLOCK].tobytes() for b in used.tolist()]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(bodies, pa.binary()), pa.array(used.astype(np.int32))], schema=schema(kind))
 
     texts = docs.select(F.col(text_col).cast("binary").alias("text"), F.col(id_col).alias("id"))
     kind = texts.schema["id"].dataType.simpleString()
-    return materialise(texts.mapInArrow(read, f"id {kind}, n long, k1 long, k2 long, block int, counts binary"), "jaccard-keys")
+    return materialise(texts.mapInArrow(read, f"id {kind}, n long, k1 long, k2 long, counts binary, block int"), "jaccard-keys")
 
 
 def slot_counts(written: DataFrame) -> np.ndarray:
@@ -164,11 +196,9 @@ def prefix_rows(docs: DataFrame, weights: np.ndarray, size: int, percent: int, t
         weights, seen = shared.value, set()  # names of the task's own sets
         for batch in batches:
             tokens, salts, names, sizes = [], [], [], []
-            for _, own in _texts(batch, size):
-                if not len(own):
-                    continue
+            for own in shingle_sets(batch.column(0).to_pylist(), size):
                 name = _name(own)
-                if name in seen:
+                if not len(own) or name in seen:
                     continue
                 seen.add(name)
                 need = len(own) - -(-percent * len(own) // 100) + 1
@@ -218,9 +248,18 @@ def shared_buckets(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.select("token", "salt", "n", "k1").mapInArrow(kept, "token long, k1 long, n int")
 
 
-def points(docs: DataFrame, wanted: DataFrame, size: int, text_col: str = "text") -> DataFrame:
-    """Written: (node, k1, k2, n, counts, shingles) of every distinct set whose k1 is ``wanted``
-    (k1, distinct, written)."""
+def classes(named: DataFrame) -> DataFrame:
+    """Written: (node, k1, k2, first, n, counts) of every distinct set that is not empty; first is
+    its smallest id. The node ids are fixed by writing them."""
+    rows = named.where("block IS NULL AND n > 0").groupBy("k1", "k2").agg(
+        F.min("id").alias("first"), F.min("n").cast("int").alias("n"), F.min("counts").alias("counts")
+    )
+    return materialise(rows.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-classes")
+
+
+def fetched(docs: DataFrame, wanted: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Written: (node, shingles) of the classes ``wanted`` (node, k1, k2, first)."""
+    wanted = materialise(wanted.select("node", "k1", "k2", F.xxhash64("first").alias("h")), "jaccard-wanted")
     blocks = min(FILTER_BLOCKS, max(16, wanted.count() // 16))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,54 +267,58 @@ def points(docs: DataFrame, wanted: DataFrame, size: int, text_col: str = "text"
             z = bloom.mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             yield pa.RecordBatch.from_pydict(bloom.rows(bloom.block_of(z, blocks), z))
 
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.collect(wanted.mapInArrow(put, bloom.SCHEMA), blocks))
+    filled = bloom.collect(wanted.select("h").mapInArrow(put, bloom.SCHEMA), blocks)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
+            z = bloom.mixed(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            chosen = bloom.held(shared.value, bloom.block_of(z, blocks), z)
             found: list[tuple] = []
-            for _, own in _texts(batch, size):
-                if not len(own):
-                    continue
+            for own in shingle_sets(batch.column(0).take(pa.array(chosen)).to_pylist(), size):
                 name = _name(own)
-                z = bloom.mixed(np.array([name[0]], np.int64).view(np.uint64))
-                if name in seen or not len(bloom.held(shared.value, bloom.block_of(z, blocks), z)):
-                    continue
-                seen.add(name)
-                counts = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
-                found.append((*name, len(own), counts.tobytes(), own.view(np.int64)))
+                if len(own) and name not in seen:
+                    seen.add(name)
+                    found.append((*name, own.view(np.int64)))
             if found:
-                k1, k2, n, counts, own = zip(*found, strict=True)
+                k1, k2, own = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(counts, pa.binary()), pa.array(own, pa.list_(pa.int64()))],
-                    names=["k1", "k2", "n", "counts", "shingles"],
+                    [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["k1", "k2", "shingles"]
                 )
 
-    sets = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(read, "k1 long, k2 long, n int, counts binary, shingles array<long>")
-    once = sets.join(wanted, "k1", "left_semi").dropDuplicates(["k1", "k2"])
-    # The ids are fixed by writing them.
-    return materialise(once.select(F.monotonically_increasing_id().alias("node"), "*"), "jaccard-points")
+    texts = docs.select(F.col(text_col).cast("binary").alias("text"), F.xxhash64(id_col).alias("h"))
+    sets = texts.mapInArrow(read, "k1 long, k2 long, shingles array<long>").dropDuplicates(["k1", "k2"])
+    return materialise(sets.join(wanted.select("node", "k1", "k2"), ["k1", "k2"]).select("node", "shingles"), "jaccard-sets")
+
+
+def least_shared(a: str, b: str, percent: int) -> str:
+    """SQL: the buckets that two linked sets of sizes ``a`` and ``b`` share at least. Of their o or
+    more common shingles, the first o - ceil(percent * larger / 100) + 1 are in both prefixes."""
+    ceil = lambda x, y: f"(({x}) + {y - 1}) DIV {y}"
+    overlap = ceil(f"{percent} * (CAST({a} AS BIGINT) + {b})", 100 + percent)
+    return f"({overlap} - {ceil(f'{percent} * CAST(greatest({a}, {b}) AS BIGINT)', 100)} + 1)"
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
-    left = nodes.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("_sa", "_sb")).cast("long")
     return both.where((100 + percent) * common >= percent * (F.size("_sa") + F.size("_sb"))).select("a", "b")
 
 
 def proposals(members: DataFrame, percent: int, seed: int) -> DataFrame:
-    """(a, b): for each set b the pivot a, of another component, that it meets most often. The
-    pivot of a bucket is its smallest hash, so the buckets of a cluster agree on few."""
+    """(a, b): for each set b the pivot a, of another component, that it meets most often, if that
+    is often enough for a link. The pivot of a bucket is its smallest hash, so the buckets of a
+    cluster agree on few."""
     pivot = members.groupBy("token").agg(
         F.min(F.struct(F.xxhash64(F.lit(seed), "root", "node").alias("h"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))).alias("p")
     )
-    met = members.join(pivot, "token").where(
-        f"p.ra <> root AND 100 * least(p.na, n) >= {percent} * greatest(p.na, n)"
-    ).groupBy("node", F.col("p.a").alias("a")).count()
-    return met.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("count", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    met = members.join(pivot, "token").where("p.ra <> root").groupBy("node", "n", "p.a", "p.na").agg(F.count("*").alias("shared"))
+    met = met.where(f"shared >= {least_shared('n', 'na', percent)} AND 100 * least(n, na) >= {percent} * greatest(n, na)")
+    return met.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
 # --- R-tree -----------------------------------------------------------------------------
@@ -366,20 +409,44 @@ def cells(members: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     )
 
 
+def _small_pairs(starts: np.ndarray, rows: int, counts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that pass the bound in groups of at most ``SMALL`` rows (one leaf each), for
+    all groups at once: row i against row i + step."""
+    length = np.diff(np.r_[starts, rows])
+    left = np.repeat(np.where(length <= SMALL, length, 0), length) - (np.arange(rows) - np.repeat(starts, length)) - 1
+    out_a, out_b = [], []
+    for step in range(1, SMALL):
+        a = np.nonzero(left >= step)[0]
+        if not len(a):
+            break
+        b = a + step
+        fits = _reach(counts[a], sizes[a], counts[b], sizes[b], percent)
+        fits &= (100 * sizes[a] >= percent * sizes[b]) & (100 * sizes[b] >= percent * sizes[a])
+        out_a.append(a[fits])
+        out_b.append(b[fits])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+
+
 def candidates(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of different components that pass the bound, from each cell's tree."""
+    """(a, b), a < b: pairs of different components that pass the bound in a cell's tree and share
+    as many buckets as a link needs."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(part: dict[str, np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            across = part["ci"][0] != part["cj"][0]
-            for i, j in tree_pairs(counts, part["n"], percent):
-                ok = (part["root"][i] != part["root"][j]) & ((part["own"][i] | part["own"][j]) != 0)
-                if across:
-                    ok &= part["tile"][i] != part["tile"][j]
-                a, b = part["node"][i[ok]], part["node"][j[ok]]
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+        def found(part: dict[str, np.ndarray], counts: np.ndarray, starts: list[int]) -> pa.RecordBatch:
+            rows = len(counts)
+            pairs = [_small_pairs(np.array(starts), rows, counts, part["n"], percent)]
+            for lo, hi in zip(starts, [*starts[1:], rows], strict=True):
+                if hi - lo > SMALL:
+                    pairs += [(i + lo, j + lo) for i, j in tree_pairs(counts[lo:hi], part["n"][lo:hi], percent)]
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            ok = (part["root"][i] != part["root"][j]) & ((part["own"][i] | part["own"][j]) != 0)
+            ok &= (part["ci"][i] == part["cj"][i]) | (part["tile"][i] != part["tile"][j])
+            i, j = i[ok], j[ok]
+            i, j = np.where(part["node"][i] < part["node"][j], i, j), np.where(part["node"][i] < part["node"][j], j, i)
+            both = np.stack([part["node"][i], part["node"][j], part["n"][i], part["n"][j]], 1)
+            met, shared = np.unique(both, axis=0, return_counts=True) if len(both) else (both, np.zeros(0, np.int64))
+            return pa.RecordBatch.from_pydict({"a": met[:, 0], "b": met[:, 1], "na": met[:, 2], "nb": met[:, 3], "shared": shared.astype(np.int64)})
 
         names = ("token", "band", "ci", "cj", "tile", "own", "node", "root", "n")
         held, held_counts = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, GROUPS), np.uint32)
@@ -390,50 +457,52 @@ def candidates(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             counts = np.concatenate([held_counts, np.frombuffer(b"".join(batch.column(len(names)).to_pylist()), np.uint32).reshape(-1, GROUPS)])
             new = np.any([cols[c][1:] != cols[c][:-1] for c in names[:4]], axis=0)
             starts = [0, *(np.nonzero(new)[0] + 1).tolist()]
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                yield from found({c: v[lo:hi] for c, v in cols.items()}, counts[lo:hi])
-            held, held_counts = {c: v[starts[-1] :] for c, v in cols.items()}, counts[starts[-1] :]
+            last = starts.pop()  # its group may go on in the next batch
+            if starts:
+                yield found({c: v[:last] for c, v in cols.items()}, counts[:last], starts)
+            held, held_counts = {c: v[last:] for c, v in cols.items()}, counts[last:]
         if len(held_counts):
-            yield from found(held, held_counts)
+            yield found(held, held_counts, [0])
 
     group = ["token", "band", "ci", "cj"]
     rows = dealt.join(nodes.select("node", "counts"), "node").select(*group, "tile", "own", "node", "root", "n", "counts")
-    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(join, "a long, b long").distinct()
+    met = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(join, "a long, b long, na long, nb long, shared long")
+    often = met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    return often.where(f"shared >= {least_shared('na', 'nb', percent)}").select("a", "b")
 
 
 # --- the whole join ---------------------------------------------------------------------
 
-def links(members: DataFrame, nodes: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
-    """Written: links (a, b) between nodes whose components are those of all links."""
-    found, rooted = None, members.withColumn("root", F.col("node"))
-    for seed in (1, 2):
-        new = materialise(verified(proposals(rooted, percent, seed), nodes, percent), "jaccard-links")
-        found = new if found is None else found.union(new)
-        stars = components(found, "jaccard-stars")
-        rooted = members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = materialise(candidates(cells(rooted, percent, cell), nodes, percent), "jaccard-pairs")
-    return found.union(materialise(verified(pairs, nodes, percent), "jaccard-links"))
-
-
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL
 ) -> DataFrame:
     """(id_col, n_shingles, component_id), one row per row of ``docs``."""
     named = keys(docs, shingle, id_col, text_col)
     buckets = materialise(shared_buckets(prefix_rows(docs, slot_counts(named), shingle, percent, text_col), percent), "jaccard-buckets")
-    wanted = materialise(buckets.select("k1").distinct(), "jaccard-wanted")
-    nodes = points(docs, wanted, shingle, text_col)
+    nodes = classes(named)
     members = materialise(buckets.join(nodes.select("k1", "node"), "k1").select("token", "node", "n"), "jaccard-members")
-    stars = components(links(members, nodes, percent, cell), "jaccard-stars")
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "jaccard-pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = fetched(docs, nodes.join(wanted, "node", "left_semi"), shingle, id_col, text_col)
+        return materialise(verified(pairs, sets, percent), "jaccard-links")
+
+    found, rooted = None, members.withColumn("root", F.col("node"))
+    for seed in (1, 2):
+        new = linked(proposals(rooted, percent, seed))
+        found = new if found is None else found.union(new)
+        stars = components(found, "jaccard-stars")
+        rooted = materialise(members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-members")
+    found = found.union(linked(candidates(cells(rooted, percent, cell), nodes, percent)))
+    stars = components(found, "jaccard-stars")
+
+    placed = nodes.join(stars, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    whole = placed.join(least, "root").select("k1", "k2", "component_id")
     rows = named.where("block IS NULL").select("id", "n", "k1", "k2")
-    sets = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("first"))
-    placed = sets.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").join(stars, "node", "left")
-    placed = materialise(placed.select("k1", "k2", "first", F.coalesce("root", "node").alias("root")), "jaccard-sets")
-    least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    classes = placed.join(least, "root", "left").select("k1", "k2", F.coalesce("least", "first").alias("component_id"))
-    whole = rows.where("n > 0").join(classes, ["k1", "k2"]).select("id", "n", "component_id")
-    return whole.union(rows.where("n = 0").select("id", "n", "id")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    many = rows.where("n > 0").join(whole, ["k1", "k2"]).select("id", "n", "component_id")
+    return many.union(rows.where("n = 0").select("id", "n", "id")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def oracle(shingle: int = 4, percent: int = 85) -> str:
