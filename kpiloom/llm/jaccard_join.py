@@ -57,7 +57,7 @@ from kpiloom.llm import bloom
 from kpiloom.llm.common import components, materialise
 
 #: Coordinates of a point.
-GROUPS = 32
+GROUPS = 128
 #: Slots of the rarity table (8 bytes each), counted in blocks of ``SLOT_BLOCK``.
 SLOTS, SLOT_BLOCK = 1 << 20, 1 << 10
 #: Children of an R-tree node, points of a leaf.
@@ -70,6 +70,8 @@ FILTER_BLOCKS = 1 << 20
 #: A shingle is hot if its slot counts this often and eight times the mean.
 HOT = 4096
 _WORDS = 1 << 18
+#: Pairs that a task holds while it counts their buckets.
+_PAIRS = 1 << 20
 
 
 def _odd(n: int) -> np.ndarray:
@@ -132,7 +134,10 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
 
 
 def _point(own: np.ndarray) -> bytes:
-    return np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
+    """Group counts in 16 bits. A set with a larger count gets the largest in every group: then
+    the bound says nothing about it, and its pairs are verified."""
+    counts = np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max() < 1 << 16 else np.full(GROUPS, (1 << 16) - 1)).astype(np.uint16).tobytes()
 
 
 def keys(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -391,21 +396,30 @@ def tree_pairs(counts: np.ndarray, sizes: np.ndarray, percent: int, fanout: int
 
 def cells(members: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     """Members dealt to (token, band, cell): bands of sizes (a set is also a guest of the next
-    band), and above ``cell`` sets pairs of tiles. Buckets with one component are left out."""
+    band), and above ``cell`` sets pairs of tiles. Buckets with one component are left out.
+
+    ``place`` deals cells to tasks by the bucket's pivot, its smallest hash: a cluster's buckets
+    agree on few, so most of a pair's buckets are in one task, which counts them there. A place
+    holds the sets of two tiles, however large the cluster."""
     # Sets that link are under one band apart: the ratio is a little wider than percent / 100.
     width = -log((percent - 1) / 100) if percent > 1 else 700.0
     band = F.floor(F.log("n") / F.lit(width)).cast("int")
     roles = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))
     dealt = members.select("*", F.inline(roles))
     several = (
-        dealt.groupBy("token", "band").agg(F.count("*").alias("sets"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("any"))
-        .where("lo < hi AND any").select("token", "band", F.ceil(F.col("sets") / cell).cast("int").alias("tiles"))
+        dealt.groupBy("token", "band").agg(
+            F.count("*").alias("sets"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("any"),
+            F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("least"),
+        )
+        .where("lo < hi AND any")
+        .select("token", "band", F.col("least.node").alias("pivot"), F.expr(f"CAST(shiftleft(1, CAST(ceil(log2(greatest(sets / {cell}, 1))) AS INT)) AS INT)").alias("tiles"))
     )
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     return (
         dealt.join(several, ["token", "band"]).withColumn("tile", tile)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("token", "band", F.least("tile", "other").alias("ci"), F.greatest("tile", "other").alias("cj"), "tile", "own", "node", "root", "n")
+        .select("token", "band", F.least("tile", "other").alias("ci"), F.greatest("tile", "other").alias("cj"), "tile", "own", "node", "root", "n", "pivot")
+        .withColumn("place", F.xxhash64("pivot", "ci", "cj")).drop("pivot")
     )
 
 
@@ -428,12 +442,23 @@ def _small_pairs(starts: np.ndarray, rows: int, counts: np.ndarray, sizes: np.nd
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
+def _summed(pairs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One row per pair (a, b), its shared buckets added."""
+    order = np.lexsort((pairs["b"], pairs["a"]))
+    pairs = {c: v[order] for c, v in pairs.items()}
+    new = np.ones(len(order), bool)
+    new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
+    starts = np.nonzero(new)[0]
+    return {c: np.add.reduceat(v, starts) if c == "shared" and len(v) else v[starts] for c, v in pairs.items()}
+
+
 def candidates(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: pairs of different components that pass the bound in a cell's tree and share
     as many buckets as a link needs."""
+    names = ("place", "token", "band", "ci", "cj", "tile", "own", "node", "root", "n")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(part: dict[str, np.ndarray], counts: np.ndarray, starts: list[int]) -> pa.RecordBatch:
+        def found(part: dict[str, np.ndarray], counts: np.ndarray, starts: list[int]) -> dict[str, np.ndarray]:
             rows = len(counts)
             pairs = [_small_pairs(np.array(starts), rows, counts, part["n"], percent)]
             for lo, hi in zip(starts, [*starts[1:], rows], strict=True):
@@ -444,29 +469,32 @@ def candidates(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ok &= (part["ci"][i] == part["cj"][i]) | (part["tile"][i] != part["tile"][j])
             i, j = i[ok], j[ok]
             i, j = np.where(part["node"][i] < part["node"][j], i, j), np.where(part["node"][i] < part["node"][j], j, i)
-            both = np.stack([part["node"][i], part["node"][j], part["n"][i], part["n"][j]], 1)
-            met, shared = np.unique(both, axis=0, return_counts=True) if len(both) else (both, np.zeros(0, np.int64))
-            return pa.RecordBatch.from_pydict({"a": met[:, 0], "b": met[:, 1], "na": met[:, 2], "nb": met[:, 3], "shared": shared.astype(np.int64)})
+            return {"a": part["node"][i], "b": part["node"][j], "na": part["n"][i], "nb": part["n"][j], "shared": np.ones(len(i), np.int64)}
 
-        names = ("token", "band", "ci", "cj", "tile", "own", "node", "root", "n")
-        held, held_counts = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, GROUPS), np.uint32)
+        kept = {c: np.zeros(0, np.int64) for c in ("a", "b", "na", "nb", "shared")}
+        held, held_counts = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, GROUPS), np.uint16)
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = {c: np.concatenate([held[c], batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in enumerate(names)}
-            counts = np.concatenate([held_counts, np.frombuffer(b"".join(batch.column(len(names)).to_pylist()), np.uint32).reshape(-1, GROUPS)])
-            new = np.any([cols[c][1:] != cols[c][:-1] for c in names[:4]], axis=0)
+            counts = np.concatenate([held_counts, np.frombuffer(b"".join(batch.column(len(names)).to_pylist()), np.uint16).reshape(-1, GROUPS)])
+            new = np.any([cols[c][1:] != cols[c][:-1] for c in names[:5]], axis=0)
             starts = [0, *(np.nonzero(new)[0] + 1).tolist()]
             last = starts.pop()  # its group may go on in the next batch
             if starts:
-                yield found({c: v[:last] for c, v in cols.items()}, counts[:last], starts)
+                more = found({c: v[:last] for c, v in cols.items()}, counts[:last], starts)
+                kept = _summed({c: np.concatenate([v, more[c]]) for c, v in kept.items()})
+            if len(kept["a"]) > _PAIRS:
+                yield pa.RecordBatch.from_pydict(kept)
+                kept = {c: v[:0] for c, v in kept.items()}
             held, held_counts = {c: v[last:] for c, v in cols.items()}, counts[last:]
         if len(held_counts):
-            yield found(held, held_counts, [0])
+            more = found(held, held_counts, [0])
+            kept = _summed({c: np.concatenate([v, more[c]]) for c, v in kept.items()})
+        yield pa.RecordBatch.from_pydict(kept)
 
-    group = ["token", "band", "ci", "cj"]
-    rows = dealt.join(nodes.select("node", "counts"), "node").select(*group, "tile", "own", "node", "root", "n", "counts")
-    met = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(join, "a long, b long, na long, nb long, shared long")
+    rows = dealt.join(nodes.select("node", "counts"), "node").select(*names, "counts")
+    met = rows.repartition("place").sortWithinPartitions(*names[:5]).mapInArrow(join, "a long, b long, na long, nb long, shared long")
     often = met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     return often.where(f"shared >= {least_shared('na', 'nb', percent)}").select("a", "b")
 
