@@ -18,7 +18,7 @@ from kpiloom.functions.formatting import (
     sql_str,
     title_label_sql,
 )
-from kpiloom.functions.ordering import with_position
+from kpiloom.functions.ordering import By, with_position
 
 # --- U1 metric cards ----------------------------------------------------------------
 
@@ -238,8 +238,8 @@ SEO_MONTHLY_SERIES = [
 
 def ads_series(daily: DataFrame, by_campaign: DataFrame) -> DataFrame:
     """Chart series of the ads page (R6, R7). Campaign names are not bounded, so they are
-    numbered by a distributed sort (``with_position``, which runs a job)."""
-    campaigns = with_position(by_campaign, [F.col("campaign").asc_nulls_last()])
+    numbered in ordered buckets (``with_position``)."""
+    campaigns = with_position(by_campaign, [F.col("campaign")])
     return chart_points(by_day(daily, "day"), "ads", day_label_sql("day"), ADS_DAILY_SERIES).unionByName(
         chart_points(campaigns, "ads", "campaign", CAMPAIGN_SERIES)
     )
@@ -308,7 +308,7 @@ def sort_report(
         primary = [F.lower(F.col(column)), F.col(column)]
     else:
         primary = [F.col(column)]
-    order = [c.asc_nulls_last() if ascending else c.desc_nulls_last() for c in primary]
+    order = [By(c, ascending) for c in primary]
     if key != column:
-        order.append(F.col(key).asc_nulls_last())
+        order.append(By(F.col(key)))
     return with_position(df, order)
