@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from kpiloom.functions.measures import (
+    MEASURE_SUMS,
     PRODUCT_SUMS,
     SUM_CONVERSIONS,
     SUM_MICROS,
@@ -28,8 +29,9 @@ from kpiloom.functions.measures import (
     resum,
     stat_sums,
 )
-from kpiloom.operators.dims import campaign_ids, latest_campaign, version_names
+from kpiloom.operators.dims import campaign_ids, history_of, latest_campaign, version_names
 from kpiloom.period import Period, trailing_year
+from kpiloom.sources.tables import KeyedProducts
 
 
 def in_period(period: Period, col: str = "date") -> Column:
@@ -53,9 +55,11 @@ def account_rows(stats: DataFrame, period: Period, customer_id: str) -> DataFram
     return stats.where(is_account(stats, customer_id) & in_period(period))
 
 
-def stats_by_id(stats: DataFrame, period: Period, customer_id: str) -> DataFrame:
-    """Per campaign id sums for one account and period (hash-partitioned by id)."""
-    return account_rows(stats, period, customer_id).groupBy("id").agg(*stat_sums())
+def stats_by_id(stats: DataFrame, period: Period, customer_id: str, measures=MEASURE_SUMS) -> DataFrame:
+    """Per campaign id sums for one account and period (hash-partitioned by id). Rows without an
+    id belong to no campaign: every use joins on it."""
+    rows = account_rows(stats, period, customer_id).where(F.col("id").isNotNull())
+    return rows.groupBy("id").agg(*stat_sums(measures=measures))
 
 
 def name_like(pattern: str) -> Column:
@@ -104,9 +108,10 @@ def account_totals(stats: DataFrame, period: Period, customer_id: str) -> DataFr
     )
 
 
-def _latest(history: DataFrame, latest: DataFrame | None) -> DataFrame:
-    """The latest-version dimension: precomputed by a page plan, or derived here."""
-    return latest if latest is not None else latest_campaign(history)
+def _latest(history: DataFrame, latest: DataFrame | None, ids: DataFrame) -> DataFrame:
+    """The latest-version dimension: precomputed by a page plan, or derived here from the
+    history of ``ids``, the campaigns of the period."""
+    return latest if latest is not None else latest_campaign(history, ids)
 
 
 def _named_totals(
@@ -114,7 +119,7 @@ def _named_totals(
     latest: DataFrame | None = None,
 ) -> DataFrame:
     per_id = stats_by_id(stats, period, customer_id)
-    named = _latest(history, latest).where(name_filter).select("id")
+    named = _latest(history, latest, per_id).where(name_filter).select("id")
     return (
         per_id.join(named, "id")
         .agg(*resum())
@@ -189,16 +194,12 @@ def conversions_by_campaign_version(
     (id, name) instead of joining row by row: the same sums, and neither join side
     grows with the versions of a hot id. ``dedup=True`` uses the latest name only.
     """
-    per_id = (
-        account_rows(stats, period, customer_id)
-        .groupBy("id")
-        .agg(F.sum("conversions").alias(SUM_CONVERSIONS))
-    )
+    per_id = stats_by_id(stats, period, customer_id, [m for m in MEASURE_SUMS if m[1] == SUM_CONVERSIONS])
     if dedup:
-        joined = per_id.join(_latest(history, latest), "id")
+        joined = per_id.join(_latest(history, latest, per_id), "id")
         conv = F.col(SUM_CONVERSIONS)
     else:
-        joined = per_id.join(versions if versions is not None else version_names(history), "id")
+        joined = per_id.join(versions if versions is not None else version_names(history_of(history, per_id)), "id")
         conv = F.col(SUM_CONVERSIONS) * F.col("n_versions")
     out = joined.groupBy(F.col("name").alias("campaign")).agg(
         as_double(F.sum(conv)).alias("conversions")
@@ -214,37 +215,46 @@ def campaign_performance(
 ) -> DataFrame:
     """Per latest campaign name (ids sharing a name merge), by cost descending
     (``ordered=False``: unsorted, for callers that sort differently)."""
-    per_id = stats_by_id(stats, period, customer_id)
+    per_id = stats_by_id(stats, period, customer_id, PRODUCT_SUMS)
     by_name = (
-        per_id.join(_latest(history, latest), "id")
+        per_id.join(_latest(history, latest, per_id), "id")
         .groupBy(F.col("name").alias("campaign_name"))
-        .agg(*resum())
+        .agg(*resum([out for _, out in PRODUCT_SUMS]))
     )
     out = by_name.select(
         "campaign_name",
         *performance_columns("conversion_value", "conversion_value_cost_ratio"),
     )
-    if not ordered:
-        return out
-    return out.orderBy(F.col("cost").desc_nulls_first(), F.col("campaign_name").asc_nulls_last())
+    return by_cost(out) if ordered else out
 
 
 # --- R9 ---------------------------------------------------------------------------
 
 def product_performance(
-    products: DataFrame, period: Period, customer_id: str, ordered: bool = True
+    products: DataFrame | KeyedProducts, period: Period, customer_id: str, ordered: bool = True
 ) -> DataFrame:
     """Per product title (NULL titles form one group), by cost descending
-    (``ordered=False``: unsorted)."""
-    by_title = (
-        account_rows(products, period, customer_id)
-        .groupBy("product_title")
-        .agg(*stat_sums(measures=PRODUCT_SUMS))
-    )
+    (``ordered=False``: unsorted).
+
+    Products in two tables are summed per product id before the join, which then has one row per
+    id: the value of n rows is n times that of one. Ids that share a title merge after it.
+    """
+    if isinstance(products, KeyedProducts):
+        own = [m for m in PRODUCT_SUMS if m[1] != SUM_VALUE]
+        rows = account_rows(products.facts, period, customer_id).where(F.col("product_id").isNotNull())
+        per_id = rows.groupBy("product_id").agg(*stat_sums(measures=own), F.count(F.lit(1)).alias("_rows"))
+        value = F.col("conversions_value") * F.col("_rows").cast("decimal(18,0)")
+        summed = per_id.join(products.products, "product_id").withColumn(SUM_VALUE, value).groupBy("product_title")
+        by_title = summed.agg(*resum([out for _, out in PRODUCT_SUMS]))
+    else:
+        by_title = account_rows(products, period, customer_id).groupBy("product_title").agg(*stat_sums(measures=PRODUCT_SUMS))
     out = by_title.select(
         "product_title",
         *performance_columns("conversions_value", "conversion_value_cost"),
     )
-    if not ordered:
-        return out
-    return out.orderBy(F.col("cost").desc_nulls_first(), F.col("product_title").asc_nulls_last())
+    return by_cost(out) if ordered else out
+
+
+def by_cost(report: DataFrame) -> DataFrame:
+    """A campaign or product report by cost descending, then by its first column."""
+    return report.orderBy(F.col("cost").desc_nulls_first(), F.col(report.columns[0]).asc_nulls_last())

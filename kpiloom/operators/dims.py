@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kpiloom.functions.reduction import keep_among
+
 
 def version_order(history: DataFrame) -> list:
     """Newest first: a NULL ``start_date`` ranks first (PostgreSQL ``DESC`` puts NULLs
@@ -17,13 +19,22 @@ def version_order(history: DataFrame) -> list:
     return order
 
 
-def latest_campaign(history: DataFrame) -> DataFrame:
-    """``id, name``: one row per campaign id, its newest version.
+def history_of(history: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The history of ``ids`` (of any columns, with ``id``): a report over one month of one
+    account needs few of all campaigns ever run. Other ids are dropped in the scan's stage; the
+    few that pass by chance fall to the report's own join with the ids. None keeps all."""
+    return history if ids is None else keep_among(history, ids, "id")
+
+
+def latest_campaign(history: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``id, name``: one row per campaign id, its newest version. With ``ids``, for those at
+    least (``history_of``).
 
     ``row_number() = 1`` per id is planned as a partial ``WindowGroupLimit`` before
     the shuffle, so even an id holding a large share of all versions leaves each map
     task as a single row; the output stays hash-partitioned by ``id`` for the joins.
     """
+    history = history_of(history, ids)
     w = Window.partitionBy("id").orderBy(*version_order(history))
     return (
         history.withColumn("_rn", F.row_number().over(w))

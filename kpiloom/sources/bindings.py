@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.sources.tables import MONEY
+from kpiloom.sources.tables import MONEY, KeyedProducts
 
 # Channel group assigned by ``key % 4`` in the test bindings.
 CHANNEL_BY_REMAINDER = ("Organic Search", "Organic Shopping", "Direct", "Paid Search")
@@ -75,19 +75,17 @@ def campaign_history(orders: DataFrame) -> DataFrame:
     )
 
 
-def product_stats(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    p = part.select("p_partkey", "p_name", "p_retailprice")
-    joined = lineitem.join(p, lineitem["l_partkey"] == p["p_partkey"])
+def keyed_products(lineitem: DataFrame, part: DataFrame) -> KeyedProducts:
+    """A line's product is its part; a line's conversion value is the part's price."""
     c = _stats_columns()
-    return joined.select(
-        c["customer_id"],
-        F.col("p_name").alias("product_title"),
-        c["date"],
-        c["clicks"],
-        c["cost_micros"],
-        c["conversions"],
+    facts = lineitem.select(
+        c["customer_id"], F.col("l_partkey").alias("product_id"), c["date"], c["clicks"], c["cost_micros"], c["conversions"]
+    )
+    products = part.select(
+        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_title"),
         F.col("p_retailprice").cast(MONEY).alias("conversions_value"),
     )
+    return KeyedProducts(facts, products)
 
 
 def channel_event_report(events: DataFrame) -> DataFrame:
@@ -157,9 +155,13 @@ class BoundTables:
     def campaign_history(self) -> DataFrame:
         return campaign_history(self.raw("orders"))
 
+    @cached_property
+    def products(self) -> KeyedProducts:
+        return keyed_products(self.raw("lineitem"), self.raw("part"))
+
     @cached_property
     def product_stats(self) -> DataFrame:
-        return product_stats(self.raw("lineitem"), self.raw("part"))
+        return self.products.rows()
 
     @cached_property
     def channel_session_report(self) -> DataFrame:

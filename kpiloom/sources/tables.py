@@ -92,8 +92,8 @@ def _keeps_integral_account(name: str, source: T.DataType) -> bool:
     return name == "customer_id" and isinstance(source, T.IntegralType)
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Project ``df`` onto the contract schema of ``table``.
+def conform(df: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Project ``df`` onto the contract schema of ``table``; ``keep``: further columns to keep.
 
     Columns are cast to the contract type, except money measures already stored as
     DOUBLE or DECIMAL and integral account ids, which keep their type. A missing
@@ -118,7 +118,24 @@ def conform(df: DataFrame, table: str) -> DataFrame:
             cols.append(F.col(src).cast(field.dataType).alias(field.name))
     if missing:
         raise SchemaError(f"{table}: missing columns {missing}")
-    return df.select(*cols)
+    return df.select(*cols, *keep)
+
+
+@dataclass(frozen=True)
+class KeyedProducts:
+    """``product_stats`` in two tables: ``facts`` by product id and a product dimension.
+
+    ``facts`` has the columns of ``PRODUCT_STATS`` with ``product_id`` in place of the title and
+    without ``conversions_value``, ``products`` has ``product_id``, ``product_title`` and the
+    ``conversions_value`` of one fact row. Reports sum the facts per id and join one row per id.
+    """
+
+    facts: DataFrame
+    products: DataFrame
+
+    def rows(self) -> DataFrame:
+        """The logical ``product_stats``: one joined row per fact."""
+        return self.facts.join(self.products, "product_id").select(*[f.name for f in PRODUCT_STATS.fields])
 
 
 @dataclass(frozen=True)
@@ -131,6 +148,11 @@ class Tables:
     channel_session_report: DataFrame | None = None
     channel_event_report: DataFrame | None = None
 
+    @property
+    def products(self) -> DataFrame | KeyedProducts | None:
+        """What the product reports read."""
+        return self.product_stats
+
 
 def read_parquet(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Parquet (optionally partitioned by ``date``) conformed to ``table``'s schema."""

@@ -106,7 +106,9 @@ def test_no_cross_or_nested_loop_joins(spark, no_broadcast):
 def test_positions_use_no_global_window_over_rows(spark):
     p = plan(spark, "sort_report")
     windows = re.findall(r"Window \[[^\n]*", p)
-    assert windows and all("_pos_pid" in w for w in windows), windows
+    assert any("_pos_pid" in w for w in windows)
+    # The plan is one lazy plan: besides the positions it holds the dedup, partitioned by id.
+    assert all("_pos_pid" in w or re.search(r"\], \[id#\d+L\], \[", w) for w in windows), windows
 
 
 def test_fan_out_join_uses_version_counts(spark, no_broadcast):
@@ -155,3 +157,48 @@ def test_cards_scan_each_table_once(spark, no_broadcast):
     p = plan(spark, "metric_cards")
     assert scans(p, "lineitem") == 1 and scans(p, "orders") == 1
     assert scans(p, "events") == 2  # the session report and the event report
+
+
+def test_products_are_summed_below_the_join(spark, no_broadcast):
+    """Only partial sums per product reach the exchange on the join key, and the join has one row
+    a product."""
+    for name in ("product_performance", "product_search", "product_table", "sort_products", "sort_products_by_title"):
+        p = plan(spark, name)
+        exchange = re.search(r"Exchange hashpartitioning\(product_id#\d+L?, \d+\)[^\n]*\n[^\n]*", p[p.index("SortMergeJoin [product_id"):]).group(0)
+        below = exchange.split("\n")[1]
+        assert "HashAggregate(keys=[product_id" in below and "partial_sum" in below, name
+
+
+def ancestors(p: str, marker: str) -> list[str]:
+    """Plan lines above the first line that holds ``marker``, nearest first."""
+    lines = p.split("\n")
+    at = next(i for i, line in enumerate(lines) if marker in line)
+    depth = lambda line: len(re.match(r"[\s:]*(?:[+:]- )?", line).group(0))
+    out, own = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < own:
+            out.append(line)
+            own = depth(line)
+    return out
+
+
+@pytest.mark.parametrize("name", ["shopping_totals", "search_totals", "trailing_year_totals", "campaign_performance", "conversions_by_campaign_version"])
+def test_history_is_reduced_before_its_shuffle(spark, no_broadcast, name):
+    """The ids' filter sits below the exchange of the history, and below the partial dedup."""
+    p = plan(spark, name)
+    above = ancestors(p, "FileScan parquet [o_")
+    exchange = next(i for i, line in enumerate(above) if "Exchange hashpartitioning(id#" in line)
+    assert any("Filter" in line and "Subquery" in line for line in above[:exchange]), above[: exchange + 1]
+    # The filter is not copied to the facts: their per-id sums are the same in both branches.
+    assert not any("Subquery" in line for line in p.split("\n") if "FileScan parquet [l_" in line or ("Filter" in line and "l_shipdate" in line))
+
+
+def test_reduced_reports_scan_the_facts_once(spark, no_broadcast):
+    """The ids below the bitmap and the sums below the join are one exchange."""
+    from __spark_entry__ import queries
+
+    for name in ("shopping_totals", "campaign_performance", "conversions_by_campaign_version"):
+        df = queries()[name](spark, SF01)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final and final.count("FileScan parquet [l_") == 1, name

@@ -83,3 +83,30 @@ def test_hot_id_versions_are_limited_before_the_shuffle(spark):
     assert written and max(written) <= (ROWS - ROWS // 3) + MAPS
     (hot,) = latest.where("id = 1").collect()
     assert hot.name.startswith("v")
+
+
+def test_history_rows_that_reach_the_shuffle_are_bounded_by_the_period(spark):
+    """20 000 campaigns with versions, 30 of them in the period: nothing else is shuffled but the
+    few that pass the bitmap by chance."""
+    from kpiloom.functions.reduction import BITS
+
+    stats = spark.range(3_000).select(
+        F.lit("C").alias("customer_id"), (F.col("id") % 30 * 600).alias("id"), F.lit(date(2024, 3, 10)).alias("date"),
+        *[F.lit(1).cast("long").alias(c) for c in ("impressions", "clicks", "cost_micros")],
+        *[F.lit(1).cast("decimal(18,2)").alias(c) for c in ("conversions", "conversions_value")],
+    )
+    history = spark.range(60_000).repartition(MAPS).select(
+        (F.col("id") % 20_000).alias("id"), F.concat(F.lit("n"), F.col("id") % 7).alias("name"),
+        F.lit(date(2024, 1, 1)).alias("start_date"), F.col("id").alias("version_id"),
+    )
+    for report in (ads.campaign_performance, ads.conversions_by_campaign_version):
+        df = report(stats, history, P, "C")
+        keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            found = [n for n in _records_written(df, "id") if n]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+        by_chance = 60_000 * 30 / BITS * 3 + 50
+        assert found and max(found) <= 30 * 3 * MAPS + by_chance, report.__name__
+        assert df.count() == 7
