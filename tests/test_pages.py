@@ -3,13 +3,15 @@
 import tempfile
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from conftest import SF01
 from kpiloom.operators import ads, organic
 from kpiloom.plans import dashboards
 from kpiloom.plans.rollup import daily_rollup, read_rollup, write_rollup
 from kpiloom.registry import ADS_PERIOD, ADS_TODAY, CONFIG, ORGANIC_PERIOD
 from kpiloom.sources.bindings import bind_tables
-from kpiloom.sources.sinks import write_reports
+from kpiloom.sources.sinks import page_manifest, read_page, write_page, write_reports
 
 
 def rows(df):
@@ -78,8 +80,10 @@ def test_page_tables_are_removed_and_hold_only_the_periods(spark, tmp_path):
     t = bind_tables(spark, SF01)
     far = Period(date(1995, 2, 1), date(1995, 2, 28))
     with dashboards.ads_page(t, far, CONFIG, date(2001, 6, 1)) as page:
+        assert page.scratch == []  # nothing is computed before a report is asked for
+        page["segment_totals"], page["product_table"], page["product_performance"]
         folders = [p.replace("file:", "") for p in page.scratch]
-        assert len(folders) == 3 and all(os.path.isdir(f) for f in folders)
+        assert len(folders) == 4 and all(os.path.isdir(f) for f in folders)
         kept = spark.read.parquet(page.scratch[0]).agg({"date": "max"}).first()[0], spark.read.parquet(page.scratch[0]).where(
             "date between '1995-03-01' and '2000-05-30'").count()
         assert kept[1] == 0 and kept[0] > date(2000, 6, 1)
@@ -99,3 +103,39 @@ def test_names_from_one_history_aggregate(spark, make):
     both = dims.name_versions(history)
     assert rows(dims.latest_of(both)) == rows(dims.latest_campaign(history))
     assert rows(both.select("id", "name", "n_versions")) == rows(dims.version_names(history))
+
+
+def test_a_failing_report_leaves_the_former_page(spark, tmp_path):
+    import os
+
+    import pytest
+
+    root = f"{tmp_path}/page"
+    one = spark.range(3).selectExpr("id", "'old' AS v")
+    bad = spark.range(3).selectExpr("id", "assert_true(id < 2, 'lost') AS v")
+    with pytest.raises(FileNotFoundError):
+        read_page(spark, root)
+    first = write_page(spark, {"a": one, "b": one}, root)
+    with pytest.raises(Exception, match="lost"):
+        write_page(spark, {"a": one.withColumn("v", F.lit("new")), "b": bad}, root)
+    page = read_page(spark, root)
+    assert page_manifest(spark, root)["version"] == first and sorted(page) == ["a", "b"]
+    assert rows(page["a"]) == rows(page["b"]) == rows(one)
+    assert os.listdir(f"{root}/versions") == [first]  # what was written of the new version is gone
+
+
+def test_a_new_page_replaces_the_old_as_a_whole(spark, tmp_path):
+    import os
+
+    root = f"{tmp_path}/page"
+    version = lambda v: spark.range(2).selectExpr("id", f"'{v}' AS v")
+    first = write_page(spark, {"a": version("1"), "gone": version("1")}, root)
+    held = read_page(spark, root)
+    second = write_page(spark, {"a": version("2")}, root)
+    assert rows(held["gone"]) == rows(version("1"))  # a reader of the former version is not cut off
+    assert sorted(read_page(spark, root)) == ["a"] and rows(read_page(spark, root)["a"]) == rows(version("2"))
+    assert sorted(os.listdir(f"{root}/versions")) == sorted([first, second])
+    third = write_page(spark, {"a": version("3")}, root)
+    assert sorted(os.listdir(f"{root}/versions")) == sorted([second, third])
+    assert page_manifest(spark, root)["before"] == [second]
+    assert not [f for f in os.listdir(root) if f.startswith("._manifest") and "crc" not in f]
