@@ -12,6 +12,7 @@ from kpiloom.config import ReportConfig
 from kpiloom.operators import ads
 from kpiloom.registry import ADS_PERIOD
 from kpiloom.sources.bindings import bind_tables
+from kpiloom.sources.sinks import read_page
 
 ADS_TABLES = ("campaign_stats", "campaign_history", "product_stats")
 
@@ -40,12 +41,13 @@ def test_ads_page_job_writes_reports(spark, inputs):
     for name in ADS_TABLES:
         args += ["--" + name.replace("_", "-"), paths[name]]
     jobs.main(args)
-    assert sorted(os.listdir(out)) == sorted([
+    written = read_page(spark, out)
+    assert sorted(written) == sorted([
         "segment_totals", "account_daily", "conversions_by_campaign_version",
         "campaign_performance", "product_performance", "cards", "series", "campaign_table", "product_table"])
-    assert spark.read.parquet(os.path.join(out, "campaign_table")).where("cost_text like '£%'").count() == 5
+    assert written["campaign_table"].where("cost_text like '£%'").count() == 5
     stats = bind_tables(spark, SF01).campaign_stats
-    assert _daily_rows(spark.read.parquet(os.path.join(out, "account_daily"))) == _daily_rows(
+    assert _daily_rows(written["account_daily"]) == _daily_rows(
         ads.account_daily(stats, ADS_PERIOD, "O"))
 
 
