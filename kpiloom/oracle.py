@@ -528,6 +528,12 @@ def statements() -> dict[str, Stmt]:
         "product_table": _table(product_performance(), PRODUCT_MEASURES),
         "sort_products": sort_products(),
         "sort_products_by_title": sort_products_by_title(),
+        # Reports from maintained tables equal the reports themselves.
+        "latest_campaign_maintained": latest_campaign(),
+        "account_daily_restated": account_daily(),
+        "trailing_year_by_months": named_totals(year, _not_like(CONFIG.excluded_patterns)),
+        "segment_totals_by_months": segment_totals(),
+        "organic_monthly_by_months": organic_monthly(),
     }
 
 
