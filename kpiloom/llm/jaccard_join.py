@@ -30,7 +30,8 @@ table); any fixed order is exact, so slots shared by chance cost time only.
 5. *Trees*: buckets that still hold several components are split by set size (the root level of the
    tree: counts sum to the size) and, above ``CELL`` sets, into cells of pairs of tiles. The R-trees
    of the cells give every pair of different components that passes the bound; those that meet often
-   enough are verified. A pair inside one component needs no comparison, as no component would change.
+   enough are verified, for each set first the pair that meets most often. A pair inside one component
+   needs no comparison, as no component would change.
 
 The sets of a pair are read from the texts again, one text a set: a Bloom filter of the ids in
 question (at most ``FILTER_BLOCKS`` blocks, 32 MB) picks the rows to read and an exact join the
@@ -453,8 +454,8 @@ def _summed(pairs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def candidates(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of different components that pass the bound in a cell's tree and share
-    as many buckets as a link needs."""
+    """(a, b, shared), a < b: pairs of different components that pass the bound in a cell's tree and
+    share as many buckets as a link needs."""
     names = ("place", "token", "band", "ci", "cj", "tile", "own", "node", "root", "n")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,7 +497,20 @@ def candidates(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     rows = dealt.join(nodes.select("node", "counts"), "node").select(*names, "counts")
     met = rows.repartition("place").sortWithinPartitions(*names[:5]).mapInArrow(join, "a long, b long, na long, nb long, shared long")
     often = met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    return often.where(f"shared >= {least_shared('na', 'nb', percent)}").select("a", "b")
+    return often.where(f"shared >= {least_shared('na', 'nb', percent)}").select("a", "b", "shared")
+
+
+def foremost(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each set the pair (a, b, shared) that shares most buckets."""
+    ends = pairs.select(F.col("a").alias("x"), "a", "b", "shared").union(pairs.select("b", "a", "b", "shared"))
+    return ends.groupBy("x").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+
+
+def across(pairs: DataFrame, stars: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components (node, root)."""
+    ra, rb = (stars.select(F.col("node").alias(c), F.col("root").alias(f"_r{c}")) for c in "ab")
+    both = pairs.join(ra, "a", "left").join(rb, "b", "left")
+    return both.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select(*pairs.columns)
 
 
 # --- the whole join ---------------------------------------------------------------------
@@ -510,11 +524,13 @@ def near_duplicates(
     nodes = classes(named)
     members = materialise(buckets.join(nodes.select("k1", "node"), "k1").select("token", "node", "n"), "jaccard-members")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return fetched(docs, nodes.join(ends, "node", "left_semi"), shingle, id_col, text_col)
+
+    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         pairs = materialise(pairs, "jaccard-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = fetched(docs, nodes.join(wanted, "node", "left_semi"), shingle, id_col, text_col)
-        return materialise(verified(pairs, sets, percent), "jaccard-links")
+        return materialise(verified(pairs, sets or sets_of(pairs), percent), "jaccard-links")
 
     found, rooted = None, members.withColumn("root", F.col("node"))
     for seed in (1, 2):
@@ -522,7 +538,12 @@ def near_duplicates(
         found = new if found is None else found.union(new)
         stars = components(found, "jaccard-stars")
         rooted = materialise(members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-members")
-    found = found.union(linked(candidates(cells(rooted, percent, cell), nodes, percent)))
+    pairs = materialise(candidates(cells(rooted, percent, cell), nodes, percent), "jaccard-pairs")
+    sets = sets_of(pairs)
+    for _ in range(2):  # a pair a set first: what they join needs no more comparison
+        found = found.union(linked(foremost(pairs), sets))
+        pairs = materialise(across(pairs, components(found, "jaccard-stars")), "jaccard-pairs")
+    found = found.union(linked(pairs, sets))
     stars = components(found, "jaccard-stars")
 
     placed = nodes.join(stars, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root"))
