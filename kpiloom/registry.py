@@ -19,6 +19,7 @@ from kpiloom.plans import cards, latest_state, months, segments
 from kpiloom.plans.rollup import daily_rollup
 from kpiloom.sources.bindings import bind_tables
 from kpiloom.sources.files import scratch_folder
+from kpiloom.sources.tables import MONEY
 from kpiloom.streaming import rollup_stream
 
 # Test parameters (FIXTURES.md, "Fixed parameters for the oracle queries").
@@ -243,7 +244,7 @@ def q_account_daily_restated(spark, sf_dir):
     """The daily report from statements that replace each other: preliminary days, then the final
     ones, then a preliminary statement that arrives late."""
     stats = _t(spark, sf_dir).campaign_stats
-    first = stats.withColumns({"clicks": F.col("clicks") + 1, "conversions": F.col("conversions") * 2})
+    first = stats.withColumns({"clicks": F.col("clicks") + 1, "conversions": (F.col("conversions") * 2).cast(MONEY)})
     root = scratch_folder(spark, "restated")
     write = rollup_stream.batch_writer(root, restated=True, stamp="stated")
     write(first.withColumn("stated", F.lit(1).cast("bigint")), 0)
