@@ -11,10 +11,8 @@ removes the false ones.
 * **No strings for misses.** A word's hash is the sum over positions of letter value x position
   value modulo 2**64, so the hash of an edit follows from prefix sums. Edits are built as text
   only when the filter says yes.
-* **Blocked filters, sharded by length.** A key sets eight bits in one block of 256 bits, two in
-  each of four words; a length's shard has ``ceil(words / 16)`` blocks. Deletions probe the shard
-  of length - 1, replacements their own. The filters are built by Spark: one row per (block,
-  four words), OR-ed by ``bit_or`` with a partial aggregate.
+* **Blocked filters, sharded by length** (``bloom``). A length's shard has ``ceil(words / 16)``
+  blocks of 256 bits. Deletions probe the shard of length - 1, replacements their own.
 * **Bounded broadcast.** A pass broadcasts at most ``PASS_BLOCKS`` blocks (32 MB). A larger
   vocabulary takes several passes, each over a range of blocks and over those words only whose
   edits can fall there, so the result is the same at every size.
@@ -43,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kpiloom.llm import bloom
 from kpiloom.llm.common import materialise
 
 #: Letters of a run after A-Z are lower-cased, as code points: a-z and U+00C0 to U+00FF.
@@ -102,34 +101,16 @@ def vocabulary(docs: DataFrame, min_length: int, min_count: int, delete_every: i
     return counts.where(F.col("n") >= min_count).withColumn("length", F.length("word"))
 
 
-# Hashes. Letter and position values come from a mixing rule, so driver and tasks agree.
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
+# Letter and position values come from a mixing rule, so driver and tasks agree.
 
 def _values(n: int, seed: int) -> np.ndarray:
     golden = np.uint64(0x9E3779B97F4A7C15)
-    return mixed((np.arange(n, dtype=np.uint64) + np.uint64(seed)) * golden + golden) | np.uint64(1)
+    return bloom.mixed((np.arange(n, dtype=np.uint64) + np.uint64(seed)) * golden + golden) | np.uint64(1)
 
 
 _LETTER = _values(256, 1 << 40)
 
 
-def _bits(z: np.ndarray, lane: int) -> np.ndarray:
-    """The two bits that key ``z`` sets in word ``lane`` of its block."""
-    z = mixed(z ^ np.uint64(0x5851F42D4C957F2D))
-    a, b = ((z >> np.uint64(12 * lane + 6 * k)) & np.uint64(63) for k in (0, 1))
-    return (np.uint64(1) << a) | (np.uint64(1) << b)
-
-
-def _block(z: np.ndarray, blocks: int) -> np.ndarray:
-    return ((z >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-
-
 class Shards:
     """Ranges of blocks of one pass: ``{length: (blocks of the shard, from, to, place in the pass)}``."""
 
@@ -144,7 +125,7 @@ class Shards:
     def places(self, length: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the keys that fall into this pass, their place)."""
         blocks, lo, hi, start = self.of[length]
-        at = _block(z, blocks)
+        at = bloom.block_of(z, blocks)
         inside = np.nonzero((at >= lo) & (at < hi))[0] if (lo, hi) != (0, blocks) else np.arange(len(z))
         return inside, at[inside] - lo + start
 
@@ -176,7 +157,7 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndar
 
 
 def _filter(words: DataFrame, shards: Shards) -> np.ndarray:
-    """The pass's blocks (rows of four 64-bit words)."""
+    """The pass's blocks."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,24 +165,14 @@ def _filter(words: DataFrame, shards: Shards) -> np.ndarray:
                 continue
             place, z = [], []
             for length, _, letters in _by_length(batch):
-                key = mixed((_LETTER[letters] * _values(length, 0)).sum(1, dtype=np.uint64))
+                key = bloom.mixed((_LETTER[letters] * _values(length, 0)).sum(1, dtype=np.uint64))
                 inside, at = shards.places(length, key)
                 place.append(at)
                 z.append(key[inside])
-            z = np.concatenate(z)
-            yield pa.RecordBatch.from_pydict(
-                {"place": np.concatenate(place).astype(np.int32)} | {f"w{k}": _bits(z, k).view(np.int64) for k in range(4)}
-            )
+            yield pa.RecordBatch.from_pydict(bloom.rows(np.concatenate(place), np.concatenate(z)))
 
-    columns = [f"w{k}" for k in range(4)]
     chosen = words.where(F.col("length").isin(*shards.of)).select("word")
-    rows = chosen.mapInArrow(keys, "place int, " + ", ".join(f"{c} long" for c in columns))
-    found = rows.groupBy("place").agg(*[F.expr(f"bit_or({c})").alias(c) for c in columns]).toArrow()
-    blocks = np.zeros((shards.size, 4), np.uint64)
-    at = found["place"].to_numpy()
-    for k, c in enumerate(columns):
-        blocks[at, k] = found[c].to_numpy().view(np.uint64)
-    return blocks
+    return bloom.collect(chosen.mapInArrow(keys, bloom.SCHEMA), shards.size)
 
 
 def _positives(words: DataFrame, shards: Shards, blocks: np.ndarray, alphabet: list[int], min_length: int) -> DataFrame:
@@ -213,13 +184,9 @@ def _positives(words: DataFrame, shards: Shards, blocks: np.ndarray, alphabet: l
         blocks = shared.value
 
         def held(length: int, h: np.ndarray) -> np.ndarray:
-            z = mixed(h)
-            index, at = shards.places(length, z)
-            for lane in range(4):
-                bits = _bits(z[index], lane)
-                yes = blocks[at, lane] & bits == bits
-                index, at = index[yes], at[yes]
-            return index
+            z = bloom.mixed(h)
+            inside, at = shards.places(length, z)
+            return inside[bloom.held(blocks, at, z[inside])]
 
         for batch in batches:
             if not batch.num_rows:
