@@ -22,35 +22,14 @@ FORMATS = {
 }
 
 
-def _plain(col: Column, digits: int) -> Column:
-    return F.regexp_replace(F.format_number(col, digits), ",", "")
-
-
-def display(value: Column, kind: str) -> Column:
-    """Format a numeric column as one of ``FORMATS`` (percent multiplies by 100)."""
-    v = value.cast("double")
-    if kind == "currency":
-        out = F.concat(F.lit(CURRENCY), F.format_number(v, 2))
-    elif kind == "decimal":
-        out = F.format_number(v, 2)
-    elif kind == "count":
-        out = F.format_number(v, 0)
-    elif kind == "multiple":
-        out = F.concat(_plain(v, 2), F.lit("x"))
-    elif kind == "percent":
-        out = F.concat(_plain(v * F.lit(100.0), 2), F.lit("%"))
-    else:
-        raise ValueError(f"unknown format kind {kind!r}")
-    return F.coalesce(out, F.lit(""))
-
-
 def sql_str(text: str) -> str:
     """A Spark SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def display_sql(value: str, kind: str) -> str:
-    """SQL text of ``display`` (same functions, one parsed expression)."""
+    """SQL of the text of a numeric column in one of ``FORMATS`` (percent multiplies by 100). SQL
+    text because a table has dozens of cells: one parsed expression each."""
     v = f"CAST({value} AS DOUBLE)"
     forms = {
         "currency": f"concat({sql_str(CURRENCY)}, format_number({v}, 2))",
@@ -65,30 +44,17 @@ def display_sql(value: str, kind: str) -> str:
 
 
 def title_label_sql(key: str) -> str:
+    """``replace('_', ' ') | title``: words capitalised, the rest lower-cased."""
     return f"initcap(replace({sql_str(key)}, '_', ' '))"
 
 
-def title_label(key: str | Column, drop: str = "_", sep: str = " ") -> Column:
-    """``replace(drop, sep) | title``: words capitalised, the rest lower-cased."""
-    k = F.lit(key) if isinstance(key, str) else key
-    return F.initcap(F.replace(k, F.lit(drop), F.lit(sep)))
-
-
-def day_label(d: Column) -> Column:
-    """Daily axis label, e.g. ``05 Jan``."""
-    return F.date_format(d, "dd MMM")
-
-
-def month_label(d: Column) -> Column:
-    """Monthly axis label, e.g. ``Jan 24``."""
-    return F.date_format(d, "MMM yy")
-
-
 def day_label_sql(col: str) -> str:
+    """Daily axis label, e.g. ``05 Jan``."""
     return f"date_format({col}, 'dd MMM')"
 
 
 def month_label_sql(col: str) -> str:
+    """Monthly axis label, e.g. ``Jan 24``."""
     return f"date_format({col}, 'MMM yy')"
 
 
