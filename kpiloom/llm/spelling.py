@@ -224,7 +224,10 @@ def _positives(words: DataFrame, shards: Shards, blocks: np.ndarray, alphabet: l
             )
 
     reach = sorted({*shards.of, *(length + 1 for length in shards.of)})
-    return words.where(F.col("length").isin(*reach)).select("word", "n").mapInArrow(probe, "near string, word string, n long")
+    chosen = words.where(F.col("length").isin(*reach)).select("word", "n")
+    # Few bytes, much work: a fixed number of tasks, as the bytes alone would be gathered in a few.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chosen.repartition(tasks, "word").mapInArrow(probe, "near string, word string, n long")
 
 
 def near_pairs(words: DataFrame, min_length: int, most_blocks: int = PASS_BLOCKS) -> DataFrame:
