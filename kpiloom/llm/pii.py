@@ -1,16 +1,16 @@
 """Personal data: patterns, and terms that give the protected entities away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; each distinct value is a
-protected entity. A term next to an entity discloses it as far as the two occur together in the
-corpus: with df as document counts, the entity's information is IC(e) = ln(N / df(e)) and the
-term gives PMI(t, e) = ln(N df(t, e) / (df(t) df(e))) of it. A term with PMI >= THRESHOLD IC is a
-finding in the documents where it stands by that entity: it is generalised there, or removed if
-it gives REMOVE or more of the information. Pairs seen in fewer than SUPPORT documents are no
-evidence.
+protected entity. A term discloses an entity as far as the two occur together in the corpus,
+wherever in a document they stand: with df as document counts, the entity's information is
+IC(e) = ln(N / df(e)) and the term gives PMI(t, e) = ln(N df(t, e) / (df(t) df(e))) of it. A term
+with PMI >= THRESHOLD IC is a finding in the documents that hold both: it is generalised there, or
+removed if it gives REMOVE or more of the information. Terms are the words outside the matches of
+a document. Pairs seen in fewer than SUPPORT documents are no evidence.
 
-Only DataFrame and SQL functions are used. A mention yields at most 2 * NEAR term rows, counts
-are combined before the shuffle, and only documents with an entity keep their text for the
-second pass; no pair of documents is ever formed.
+Only DataFrame and SQL functions are used. Documents are counted per term and per pair before
+anything is joined, each document giving one row per distinct word, and only documents with an
+entity of SUPPORT documents or more are paired with words; no pair of documents is ever formed.
 
 The regular expressions are the plain ones with possessive quantifiers and run starts, so that
 they match the same places without backtracking or recursion on very long runs. Places come
@@ -30,10 +30,8 @@ from pyspark.sql import functions as F
 from kpiloom.llm.common import materialise, row_key
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 5  #: words on either side of a mention that are looked at
 SUPPORT = 3  #: documents that a term and an entity must share
 THRESHOLD, REMOVE = 0.8, 0.95  #: shares of an entity's information
-BROADCAST_TERMS = 500_000  #: candidate terms that may be broadcast (some 40 MB)
 SPAN = "array<struct<s:int,e:int>>"
 
 #: Word of a text before lower-casing: letters, digits and everything beyond ASCII.
@@ -88,19 +86,6 @@ def places(gaps: str, matches: str) -> str:
     )
 
 
-def _side(gap: str, side: str) -> str:
-    """SQL: up to NEAR lower-cased words of the gap next to a match. A word that the 40 * NEAR
-    characters looked at may have cut is left out."""
-    reach = 40 * NEAR
-    if side == "before":
-        words = f"regexp_extract_all(right({gap}, {reach}), '{_SQL_WORD}', 0)"
-        words = f"if(length({gap}) > {reach}, slice({words}, 2, {reach}), {words})"
-        return f"transform(slice(reverse({words}), 1, {NEAR}), w -> lower(w))"
-    words = f"regexp_extract_all(left({gap}, {reach}), '{_SQL_WORD}', 0)"
-    words = f"if(length({gap}) > {reach}, slice({words}, 1, greatest(size({words}) - 1, 0)), {words})"
-    return f"transform(slice({words}, 1, {NEAR}), w -> lower(w))"
-
-
 def _sql(pattern: str) -> str:
     """The pattern inside an SQL string literal."""
     return pattern.replace("\\", "\\\\")
@@ -109,9 +94,22 @@ def _sql(pattern: str) -> str:
 _SQL_WORD = _sql(WORD)
 
 
+def _terms(text: str) -> Column:
+    """The distinct lower-cased words of a text."""
+    return F.expr(f"array_distinct(transform(regexp_extract_all({text}, '{_SQL_WORD}', 0), w -> lower(w)))")
+
+
+#: SQL: ``_text`` without the matches in ``found``.
+_OUTSIDE = (
+    "aggregate(array_sort(found, (a, b) -> a.start - b.start), struct(cast(array() as array<string>) as out, 0 as at), (a, f) -> struct("
+    "if(f.start > a.at, concat(a.out, array(substring(_text, a.at + 1, f.start - a.at))), a.out) as out, greatest(a.at, f.end) as at), "
+    "a -> array_join(concat(a.out, array(substring(_text, a.at + 1))), ' '))"
+)
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, rk1, rk2, _text, found): ``found`` holds kind, start, end, value and the words
-    near each valid match, by kind as listed, then start. ``_text`` is NULL without a match."""
+    """(doc_id, rk1, rk2, _text, found): ``found`` holds kind, start, end and value of each valid
+    match, by kind as listed, then start. ``_text`` is NULL without a match."""
     work = docs.select("doc_id", *row_key(), F.coalesce("text", F.lit("")).alias("_text"))
     for kind, pattern in PATTERNS.items():
         work = work.withColumn(
@@ -126,9 +124,8 @@ def mentions(docs: DataFrame) -> DataFrame:
         work = work.withColumn(f"_p_{kind}", F.expr(places(f"_g_{kind}", f"_m_{kind}")))
     found = [
         F.expr(
-            f"transform(filter(arrays_zip(_p_{k}, _m_{k}, slice(_g_{k}, 1, size(_m_{k})), slice(_g_{k}, 2, greatest(size(_m_{k}), 1))), "
-            f"x -> {_valid(k, f'x._m_{k}')}), x -> struct('{k}' as kind, x._p_{k}.s as start, x._p_{k}.e as end, x._m_{k} as value, "
-            f"array_union({_side('x.`2`', 'before')}, {_side('x.`3`', 'after')}) as near))"
+            f"transform(filter(arrays_zip(_p_{k}, _m_{k}), x -> {_valid(k, f'x._m_{k}')}), "
+            f"x -> struct('{k}' as kind, x._p_{k}.s as start, x._p_{k}.e as end, x._m_{k} as value))"
         )
         for k in PATTERNS
     ]
@@ -137,20 +134,22 @@ def mentions(docs: DataFrame) -> DataFrame:
     )
 
 
+def held_entities(base: DataFrame) -> DataFrame:
+    """(rk1, rk2, _text, found, kind, value): every document under each of its entities."""
+    return base.where("size(found) > 0").select(
+        "rk1", "rk2", "_text", "found", F.inline(F.expr("array_distinct(transform(found, f -> struct(f.kind as kind, f.value as value)))"))
+    )
+
+
 def disclosing(base: DataFrame, docs: DataFrame) -> DataFrame:
     """(kind, value, term, remove): terms that give an entity away, ``base`` being mentions."""
-    near = base.where("size(found) > 0").select(
-        F.explode(F.expr("array_distinct(flatten(transform(found, f -> transform(f.near, t -> struct(f.kind as kind, f.value as value, t as term)))))")).alias("n")
-    ).select("n.*")
-    together = materialise(near.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT), "pii-near")
-    entities = base.where("size(found) > 0").select(
-        F.explode(F.expr("array_distinct(transform(found, f -> struct(f.kind as kind, f.value as value)))")).alias("n")
-    ).select("n.*").groupBy("kind", "value").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    terms = together.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
-    alone = docs.select(F.explode(words).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    held = held_entities(base)
+    entities = materialise(held.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "pii-entities")
+    words = held.join(entities.select("kind", "value"), ["kind", "value"]).select("kind", "value", F.explode(_terms(_OUTSIDE)).alias("term"))
+    together = materialise(words.groupBy("kind", "value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT), "pii-together")
+    # Counted before the join, which then has one row a term.
+    counted = docs.select(F.explode(_terms("coalesce(text, '')")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    alone = counted.where(F.col("n_term") >= SUPPORT).join(together.select("term").distinct(), "term")
     total = base.count()
     pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_both") / F.col("n_term") / F.col("n_entity"))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
@@ -166,12 +165,10 @@ def findings(docs: DataFrame) -> DataFrame:
     of the patterns' matches by kind, then of terms (kind ``term``, or ``remove``) by start."""
     base = materialise(mentions(docs), "pii-mentions")
     giving = materialise(disclosing(base, docs.select("text")), "pii-terms")
-    near = base.where("size(found) > 0").select(
-        "rk1", "rk2",
-        F.explode(F.expr("array_distinct(flatten(transform(found, f -> transform(f.near, t -> struct(f.kind as kind, f.value as value, t as term)))))")).alias("n"),
-    ).select("rk1", "rk2", "n.*")
+    told = held_entities(base).join(giving.select("kind", "value").distinct(), ["kind", "value"])
     own = (
-        near.join(giving, ["kind", "value", "term"]).groupBy("rk1", "rk2", "term").agg(F.max("remove").alias("remove"))
+        told.select("rk1", "rk2", "kind", "value", F.explode(_terms(_OUTSIDE)).alias("term"))
+        .join(giving, ["kind", "value", "term"]).groupBy("rk1", "rk2", "term").agg(F.max("remove").alias("remove"))
         .groupBy("rk1", "rk2").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("_terms"))
     )
     texts = base.where("_text is not null").dropDuplicates(["rk1", "rk2"]).select("rk1", "rk2", "_text", "found")
@@ -184,7 +181,8 @@ def findings(docs: DataFrame) -> DataFrame:
         .select(
             "rk1", "rk2",
             F.expr(
-                "transform(filter(arrays_zip(_p, _m), x -> map_contains_key(_terms, lower(x._m))), "
+                "transform(filter(arrays_zip(_p, _m), x -> map_contains_key(_terms, lower(x._m)) "
+                "AND NOT exists(found, f -> x._p.s < f.end AND x._p.e > f.start)), "
                 "x -> struct(if(_terms[lower(x._m)], 'remove', 'term') as kind, x._p.s as start, x._p.e as end))"
             ).alias("_more"),
         )

@@ -487,3 +487,50 @@ def test_pii_disclosing_terms(spark):
     assert all(got[i] == [] for i in range(6, 206)) and got[207] == [] and got[206] == got[0]
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "zanzibarfish" not in clean[3] and "[EMAIL]" in clean[3] and clean[50] == other[44] and len(clean) == 208
+
+
+def test_pii_terms_far_from_the_mention(spark):
+    """A term that goes with an entity counts wherever it stands, but not inside a match."""
+    told = [f"zanzibarfish one two three four five six seven eight jo@mail.example text{i} " + "filler " * 300 + "Quokkaland" for i in range(8)]
+    other = [f"one two three four five six seven eight filler text{i}" for i in range(300)]
+    got = {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in pii.findings(docs_of(spark, told + other)).collect()}
+    for i in range(8):
+        mail, far = told[i].index("jo@"), told[i].index("Quokkaland")
+        assert got[i] == [("email", mail, mail + 15), ("remove", 0, 12), ("remove", far, far + 10)]
+    assert all(got[i] == [] for i in range(8, 308))
+
+
+def test_pii_disclosing_against_brute_force(spark):
+    import math
+    import random
+
+    rnd = random.Random(8)
+    mails = [f"p{i}@mail.example" for i in range(6)]
+    texts = []
+    for i in range(400):
+        words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(rnd.randint(0, 30))]
+        for k, m in enumerate(mails):
+            if rnd.random() < 0.02 * (k + 1):
+                words += [m, f"Of{k}"] + [f"half{k}"] * (rnd.random() < 0.6)
+        rnd.shuffle(words)
+        texts.append(" ".join(words) or None)
+    docs = docs_of(spark, texts)
+    n, df, df_e, both = len(texts), collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        found = {x.split(":")[0]: 0 for x in base_pii(t)} and {t[int(x.split(":")[1]) : int(x.split(":")[2])] for x in base_pii(t)}
+        outside = t or ""
+        for m in found:
+            outside = outside.replace(m, " ")
+        df.update(set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())))
+        for m in found:
+            df_e[m] += 1
+            both.update((m, w) for w in set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", outside.lower())))
+    want = {}
+    for (m, w), k in both.items():
+        if k >= 3 and df_e[m] >= 3:
+            pmi, ic = math.log(n * k / df[w] / df_e[m]), math.log(n / df_e[m])
+            if ic > 0 and pmi >= 0.8 * ic:
+                want[m, w] = pmi >= 0.95 * ic
+    base = pii.mentions(docs)
+    got = {(r.value, r.term): r.remove for r in pii.disclosing(base, docs.select("text")).collect()}
+    assert got == want and len(want) >= 6
