@@ -24,8 +24,8 @@ table); any fixed order is exact, so slots shared by chance cost time only.
 2. A bucket's lone sets are dropped in a streaming pass. Rows of shingles in hot slots are salted.
 3. A linked pair shares not one but at least o - ceil(percent * larger / 100) + 1 buckets, o being
    the least overlap for its sizes; pairs that meet less often are not compared.
-4. *Proposals*: in every bucket each set meets the bucket's pivot; per set the pivot that it meets
-   most often is verified. This joins most of a cluster by one comparison a set. Twice, with other
+4. *Proposals*: in every bucket each set meets the bucket's pivots, and the pairs that meet often
+   enough are verified. This joins most of a cluster by a few comparisons a set. Twice, with other
    pivots.
 5. *Trees*: buckets that still hold several components are split by set size (the root level of the
    tree: counts sum to the size) and, above ``CELL`` sets, into cells of pairs of tiles. The R-trees
@@ -70,6 +70,8 @@ CELL = 2048
 FILTER_BLOCKS = 1 << 20
 #: A shingle is hot if its slot counts this often and eight times the mean.
 HOT = 4096
+#: Pivots of a bucket in the two rounds of proposals.
+SEEDS = ((1, 2, 3, 4, 5, 6), (7, 8, 9, 10, 11, 12))
 _WORDS = 1 << 18
 #: Pairs that a task holds while it counts their buckets.
 _PAIRS = 1 << 20
@@ -315,16 +317,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where((100 + percent) * common >= percent * (F.size("_sa") + F.size("_sb"))).select("a", "b")
 
 
-def proposals(members: DataFrame, percent: int, seed: int) -> DataFrame:
-    """(a, b): for each set b the pivot a, of another component, that it meets most often, if that
-    is often enough for a link. The pivot of a bucket is its smallest hash, so the buckets of a
-    cluster agree on few."""
-    pivot = members.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64(F.lit(seed), "root", "node").alias("h"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))).alias("p")
-    )
-    met = members.join(pivot, "token").where("p.ra <> root").groupBy("node", "n", "p.a", "p.na").agg(F.count("*").alias("shared"))
+def proposals(members: DataFrame, percent: int, seeds: tuple[int, ...]) -> DataFrame:
+    """(a, b): each set b with the pivots a, of other components, that it meets often enough for a
+    link. A bucket has one pivot a seed, its set of the smallest hash, so the buckets of a cluster
+    agree on few and a set gets at most some ``len(seeds)`` pairs."""
+    least = [
+        F.min(F.struct(F.xxhash64(F.lit(seed), "root", "node").alias("h"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))).alias(f"p{seed}")
+        for seed in seeds
+    ]
+    pivots = F.array_distinct(F.array(*[F.struct(f"p{seed}.a", f"p{seed}.ra", f"p{seed}.na") for seed in seeds]))
+    pivot = members.groupBy("token").agg(*least).select("token", pivots.alias("p")).where("size(p) > 0")
+    met = members.join(pivot, "token").select("node", "n", "root", F.inline("p")).where("ra <> root").groupBy("node", "n", "a", "na").agg(F.count("*").alias("shared"))
     met = met.where(f"shared >= {least_shared('n', 'na', percent)} AND 100 * least(n, na) >= {percent} * greatest(n, na)")
-    return met.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
 # --- R-tree -----------------------------------------------------------------------------
@@ -533,8 +538,8 @@ def near_duplicates(
         return materialise(verified(pairs, sets or sets_of(pairs), percent), "jaccard-links")
 
     found, rooted = None, members.withColumn("root", F.col("node"))
-    for seed in (1, 2):
-        new = linked(proposals(rooted, percent, seed))
+    for seeds in SEEDS:
+        new = linked(proposals(rooted, percent, seeds))
         found = new if found is None else found.union(new)
         stars = components(found, "jaccard-stars")
         rooted = materialise(members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-members")

@@ -72,7 +72,7 @@ def test_components_against_all_pairs(spark, percent, size):
 def test_every_component_from_trees_alone(spark, monkeypatch):
     """Without proposals, with cells of three sets and salted buckets, the trees find all links."""
     monkeypatch.setattr(jj, "HOT", 2)
-    monkeypatch.setattr(jj, "proposals", lambda members, percent, seed: members.selectExpr("node AS a", "node AS b").limit(0))
+    monkeypatch.setattr(jj, "proposals", lambda members, percent, seeds: members.selectExpr("node AS a", "node AS b").limit(0))
     rows = corpus(3, 60)
     assert found(spark, rows, cell=3) == expected(rows)
 
@@ -92,8 +92,8 @@ def test_large_cluster_is_joined_by_proposals(spark):
     buckets = jj.shared_buckets(jj.prefix_rows(docs, jj.slot_counts(named), 4, 85), 85)
     nodes = jj.classes(named)
     members = buckets.join(nodes.select("k1", "node"), "k1").select("token", "node", "n", F.col("node").alias("root"))
-    pairs = jj.proposals(members, 85, 1)
-    assert nodes.count() == 400 and 300 <= pairs.count() <= 400
+    pairs = jj.proposals(members, 85, (1,))
+    assert nodes.count() == 400 and 300 <= pairs.count() <= 400 and jj.proposals(members, 85, (1, 2, 3)).count() <= 1200
     assert jj.verified(pairs, jj.fetched(docs, nodes, 4), 85).count() >= 300
     assert {r.component_id for r in jj.near_duplicates(docs).collect()} == {0}
 
