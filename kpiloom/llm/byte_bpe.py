@@ -204,6 +204,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         .write.bucketBy(parts, "block").format("parquet").option("path", path).option("compression", "zstd").saveAsTable(table)
     )
     cut = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files belong to the folder, and the plan is resolved
 
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}

@@ -6,8 +6,10 @@ A scan looks up what is missing, reads one copy of each unseen blob, applies the
 only, appends to the ledger and joins all findings back to all paths that hold the blob.
 
 The copy of a blob is chosen by the smallest hash of its path and fetched by (blob, hash), so a
-blob held by a third of all paths stays spread out; what returns to the paths is a blob's
-findings, joined by Spark's skew-aware sort-merge join.
+blob held by a third of all paths stays spread out. Repeated rows share both; they are combined
+before the shuffle, so that each blob is scanned once and no key holds more than a row a map
+task. What returns to the paths is a blob's findings, joined by Spark's skew-aware sort-merge
+join.
 
 Rules for odd input: NULL texts are the empty blob, which has no findings; repeated rows are
 one path with one blob and keep their rows; a NULL path is a path; matches that fail their
@@ -124,7 +126,10 @@ def update_ledger(versions: DataFrame, ledger: str, path: str = "doc_id", text:
     todo = blobs.join(seen, "blob", "left").where(
         F.col("_seen").isNull() | (F.size(F.array_except(wanted, "_seen")) > 0)
     )
-    texts = addressed.select("blob", "_path", F.coalesce(F.col(f"_row.{text}"), F.lit("")).alias("_text"))
+    texts = (
+        addressed.select("blob", "_path", F.coalesce(F.col(f"_row.{text}"), F.lit("")).alias("_text"))
+        .groupBy("blob", "_path").agg(F.first("_text").alias("_text"))
+    )
     scanned = texts.join(todo, ["blob", "_path"]).select(
         "blob",
         F.when(F.col("_seen").isNull(), wanted).otherwise(F.array_except(wanted, "_seen")).alias("rules"),
