@@ -12,7 +12,8 @@ Pre-tokens ("words" here) repeat, so each is encoded once and its ids are joined
 
 A literal explode of every pre-token would shuffle some 30 bytes for about 5 bytes of text,
 three times; combined by block a word travels once a block. Decoding joins ids with the
-token-byte table, which has a fixed size and is shipped with the function.
+token-byte table (all tokens' bytes, an id's start and length), which has a fixed size and is
+shipped with the function; the join is by array index.
 
 Rules for odd input: NULL and empty texts have no ids and decode to nothing; repeated rows keep
 their rows; an empty table gives no rows; columns other than the id and the text are not
@@ -223,7 +224,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     words = cut.select("block", F.explode("parts").alias("p")).select("block", "p.at", "p.words", "p.part")
     known = (
-        words.repartition(parts, "part").select("block", "at", "words")
+        words.repartitionById(parts, "part").select("block", "at", "words")
         .mapInArrow(encode_parts, "block string, at binary, lens binary, ids binary")
     )
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType()))])
@@ -250,9 +251,32 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     )
 
 
+def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all tokens' bytes in order of their ids, and every id's start and
+    length there; -1 is the length of an id without a token."""
+    starts = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+    lengths, at, spelled = np.full(len(starts), -1, np.int64), 0, []
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        starts[rank], lengths[rank] = at, len(token)
+        spelled.append(token)
+        at += len(token)
+    return np.frombuffer(b"".join(spelled), np.uint8), starts, lengths
+
+
+def spell(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], chunk: int = 1 << 20) -> bytes:
+    """The bytes of ``ids``, joined with the token-byte table in pieces of ``chunk`` ids, so
+    that the index arrays of a very long text stay small. Unknown ids are an error."""
+    data, starts, lengths = table
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or lengths[ids].min() < 0):
+        raise ValueError("ids without a token")
+    parts = (ids[at : at + chunk] for at in range(0, len(ids), chunk))
+    return b"".join(data[_spans(starts[own], lengths[own])].tobytes() for own in parts)
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """``encoded`` plus ``column`` (BINARY): the bytes of its ids. Unknown ids are an error."""
-    table = {r: t for t, r in ranks.items()}
+    """``encoded`` plus ``column`` (BINARY): the bytes of its ids; NULL ids decode to NULL.
+    Unknown ids are an error."""
+    table = token_table(ranks)
     schema = StructType([*encoded.schema.fields, StructField(column, BinaryType())])
     place = encoded.columns.index(ids)
 
@@ -260,7 +284,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", column
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [b"".join(map(table.__getitem__, x.values.to_pylist())) if x.is_valid else None for x in part.column(place)]
+                found = [
+                    spell(x.values.to_numpy(zero_copy_only=False), table) if x.is_valid else None for x in part.column(place)
+                ]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, column])
 
     return encoded.mapInArrow(join, schema)

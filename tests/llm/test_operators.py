@@ -447,6 +447,25 @@ def test_bpe_odd_rows(spark):
     assert got == want
 
 
+def test_bpe_leaves_no_table(spark):
+    ranks, pattern = queries.tokenizer()
+    before = {t.name for t in spark.catalog.listTables()}
+    encoded = byte_bpe.encode(docs_of(spark, ["one two", "two"]), ranks, pattern)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(encoded, ranks).collect()} == {0: b"one two", 1: b"two"}
+
+
+def test_token_bytes_by_index():
+    ranks = {b"a": 3, b"": 1, b"bcd": 0}
+    table = byte_bpe.token_table(ranks)
+    ids = np.array([3, 0, 1, 0, 3] * 7, np.int32)
+    assert byte_bpe.spell(ids, table, chunk=4) == b"abcdbcda" * 7
+    assert byte_bpe.spell(ids[:0], table) == b""
+    for unknown in (2, 4, -1):
+        with pytest.raises(ValueError):
+            byte_bpe.spell(np.array([0, unknown], np.int32), table)
+
+
 # personal data
 
 def luhn(digits):
