@@ -19,13 +19,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCRATCH: list[str] = []
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the cluster's checkpoint folder, removed when the driver ends."""
+def scratch_path(spark: SparkSession, name: str, made: list[str] | None = None) -> str:
+    """A new folder name below the cluster's checkpoint folder, removed when the driver ends;
+    also added to ``made``, by which a caller removes its own folders sooner."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     SCRATCH.append(path)
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -38,10 +41,10 @@ def remove_scratch(spark: SparkSession, paths: list[str]) -> None:
             SCRATCH.remove(path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the checkpoint folder and read it back: the lineage is cut,
     the rows are fixed, and a lost executor costs a reread instead of a recomputation."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, made)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -80,7 +83,7 @@ def rolling(hashes: str, k: int) -> str:
     )
 
 
-def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str, most: int = 60, made: list[str] | None = None) -> DataFrame:
     """Connected components of ``links`` (a, b: BIGINT): one row (node, root) per linked node
     other than the root, the smallest node of the component.
 
@@ -96,6 +99,7 @@ def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
         name,
+        made,
     )
     before = state(edges)
     for _ in range(most):
@@ -118,7 +122,7 @@ def components(links: DataFrame, name: str, most: int = 60) -> DataFrame:
         ).select("e.*").where("a <> b").select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         ).distinct()
-        edges = materialise(small, name)
+        edges = materialise(small, name, made)
         now = state(edges)
         if now == before:
             break
