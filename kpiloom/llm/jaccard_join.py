@@ -29,8 +29,9 @@ table); any fixed order is exact, so slots shared by chance cost time only.
    pivots.
 5. *Trees*: buckets that still hold several components are split by set size (the root level of the
    tree: counts sum to the size) and, above ``CELL`` sets, into cells of pairs of tiles. The R-trees
-   of the cells give every pair of different components that passes the bound; those that meet often
-   enough are verified, for each set first the pair that meets most often. A pair inside one component
+   of the cells give every pair of different components that passes the bound and meets often enough,
+   once, in the first bucket of both; they are verified, if they are many for each set first the pair that meets
+   most. A pair inside one component
    needs no comparison, as no component would change.
 
 The sets of a pair are read from the texts again, one text a set: a Bloom filter of the ids in
@@ -45,12 +46,13 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +72,12 @@ CELL = 2048
 FILTER_BLOCKS = 1 << 20
 #: A shingle is hot if its slot counts this often and eight times the mean.
 HOT = 4096
+#: Pairs a set beyond which the trees' pairs are verified in rounds.
+MANY = 2
 #: Pivots of a bucket in the two rounds of proposals.
 SEEDS = ((1, 2, 3, 4, 5, 6), (7, 8, 9, 10, 11, 12))
 _WORDS = 1 << 18
-#: Pairs that a task holds while it counts their buckets.
+#: Tokens of pairs that are looked up at once.
 _PAIRS = 1 << 20
 
 
@@ -405,8 +409,7 @@ def cells(members: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
     band), and above ``cell`` sets pairs of tiles. Buckets with one component are left out.
 
     ``place`` deals cells to tasks by the bucket's pivot, its smallest hash: a cluster's buckets
-    agree on few, so most of a pair's buckets are in one task, which counts them there. A place
-    holds the sets of two tiles, however large the cluster."""
+    agree on few, so most of a set's buckets are in one task, where the set stands once."""
     # Sets that link are under one band apart: the ratio is a little wider than percent / 100.
     width = -log((percent - 1) / 100) if percent > 1 else 700.0
     band = F.floor(F.log("n") / F.lit(width)).cast("int")
@@ -448,61 +451,110 @@ def _small_pairs(starts: np.ndarray, rows: int, counts: np.ndarray, sizes: np.nd
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def _summed(pairs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """One row per pair (a, b), its shared buckets added."""
-    order = np.lexsort((pairs["b"], pairs["a"]))
-    pairs = {c: v[order] for c, v in pairs.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])
-    starts = np.nonzero(new)[0]
-    return {c: np.add.reduceat(v, starts) if c == "shared" and len(v) else v[starts] for c, v in pairs.items()}
+def _shared(flat: np.ndarray, offsets: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows: how many tokens both hold, and the smallest of them (else -1). Row k
+    holds the ascending token numbers flat[offsets[k]:offsets[k + 1]]."""
+    length = np.diff(offsets)
+    width = int(flat.max()) + 1 if len(flat) else 1
+    held = np.repeat(np.arange(len(length)), length) * width + flat  # ascending
+    count, first = np.zeros(len(i), np.int64), np.full(len(i), -1, np.int64)
+    ends = np.cumsum(length[i])
+    at = 0
+    while at < len(i):  # parts of some _PAIRS tokens
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+        n = length[i[at:to]]
+        pair = np.repeat(np.arange(to - at), n)
+        token = flat[np.repeat(offsets[i[at:to]], n) + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
+        want = j[at:to][pair] * width + token
+        where = np.minimum(np.searchsorted(held, want), max(len(held) - 1, 0))
+        hit = np.nonzero(held[where] == want)[0] if len(held) else np.zeros(0, np.int64)
+        count[at:to] = np.bincount(pair[hit], minlength=to - at)
+        own, lead = np.unique(pair[hit], return_index=True)
+        first[at + own] = token[hit[lead]]
+        at = to
+    return count, first
 
 
 def candidates(dealt: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared), a < b: pairs of different components that pass the bound in a cell's tree and
-    share as many buckets as a link needs."""
-    names = ("place", "token", "band", "ci", "cj", "tile", "own", "node", "root", "n")
+    share as many buckets as a link needs, each once.
+
+    A set stands once in a place, with its buckets there and all its buckets. So the task itself
+    counts what a pair shares, and only the first of its buckets gives the pair. A pair of different
+    components has all its buckets in ``dealt``."""
+    names = ("place", "band", "ci", "cj", "tile", "own", "node", "root", "n")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(part: dict[str, np.ndarray], counts: np.ndarray, starts: list[int]) -> dict[str, np.ndarray]:
-            rows = len(counts)
-            pairs = [_small_pairs(np.array(starts), rows, counts, part["n"], percent)]
-            for lo, hi in zip(starts, [*starts[1:], rows], strict=True):
-                if hi - lo > SMALL:
-                    pairs += [(i + lo, j + lo) for i, j in tree_pairs(counts[lo:hi], part["n"][lo:hi], percent)]
-            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            ok = (part["root"][i] != part["root"][j]) & ((part["own"][i] | part["own"][j]) != 0)
-            ok &= (part["ci"][i] == part["cj"][i]) | (part["tile"][i] != part["tile"][j])
-            i, j = i[ok], j[ok]
-            i, j = np.where(part["node"][i] < part["node"][j], i, j), np.where(part["node"][i] < part["node"][j], j, i)
-            return {"a": part["node"][i], "b": part["node"][j], "na": part["n"][i], "nb": part["n"][j], "shared": np.ones(len(i), np.int64)}
-
-        kept = {c: np.zeros(0, np.int64) for c in ("a", "b", "na", "nb", "shared")}
-        held, held_counts = {c: np.zeros(0, np.int64) for c in names}, np.zeros((0, GROUPS), np.uint16)
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            part = {c: rows.column(c).to_numpy().astype(np.int64) for c in names}
+            counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint16).reshape(-1, GROUPS)
+            here, tokens = (rows.column(c).combine_chunks() for c in ("here", "tokens"))
+            flat = tokens.flatten().to_numpy().view(np.uint64)
+            known, number = np.unique(flat, return_inverse=True)
+            length = pa.compute.list_value_length(tokens).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(length)), length)
+            number = number[np.lexsort((number, row))]
+            offsets = np.r_[0, np.cumsum(length)]
+
+            # The buckets: rows of one group and token.
+            group = np.r_[0, np.cumsum(np.any([part[c][1:] != part[c][:-1] for c in names[:4]], axis=0))]
+            owner = np.repeat(np.arange(len(group)), pa.compute.list_value_length(here).to_numpy().astype(np.int64))
+            token = np.searchsorted(known, here.flatten().to_numpy().view(np.uint64))
+            order = np.lexsort((token, group[owner]))
+            owner, token = owner[order], token[order]
+            new = (token[1:] != token[:-1]) | (group[owner][1:] != group[owner][:-1])
+            starts = np.r_[0, np.nonzero(new)[0] + 1]
+
+            def often(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+                """Rows a and b, and the buckets they share, of the entries i and j."""
+                a, b, bucket = owner[i], owner[j], token[i]
+                ok = (part["root"][a] != part["root"][b]) & ((part["own"][a] | part["own"][b]) != 0)
+                ok &= (part["ci"][a] == part["cj"][a]) | (part["tile"][a] != part["tile"][b])
+                a, b, bucket = a[ok], b[ok], bucket[ok]
+                shared, first = _shared(number, offsets, a, b)
+                least = (percent * (part["n"][a] + part["n"][b]) + 99 + percent) // (100 + percent)
+                least -= (percent * np.maximum(part["n"][a], part["n"][b]) + 99) // 100 - 1
+                ok = (shared >= least) & (first == bucket)
+                return [a[ok], b[ok], shared[ok]]
+
+            sizes = part["n"][owner]
+            parts = []
+            small = np.diff(np.r_[starts, len(owner)]) <= SMALL
+            inside = np.repeat(small, np.diff(np.r_[starts, len(owner)]))
+            index = np.nonzero(inside)[0]
+            if len(index):
+                heads = np.searchsorted(index, starts[small])
+                i, j = _small_pairs(heads, len(index), counts[owner[index]], sizes[index], percent)
+                parts.append(often(index[i], index[j]))
+            for lo, hi in zip(starts[~small].tolist(), np.r_[starts[1:], len(owner)][~small].tolist(), strict=True):
+                for i, j in tree_pairs(counts[owner[lo:hi]], sizes[lo:hi], percent):
+                    parts.append(often(i + lo, j + lo))
+            a, b, shared = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+            a, b = part["node"][a], part["node"][b]
+            return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "shared": shared})
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {c: np.concatenate([held[c], batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in enumerate(names)}
-            counts = np.concatenate([held_counts, np.frombuffer(b"".join(batch.column(len(names)).to_pylist()), np.uint16).reshape(-1, GROUPS)])
-            new = np.any([cols[c][1:] != cols[c][:-1] for c in names[:5]], axis=0)
-            starts = [0, *(np.nonzero(new)[0] + 1).tolist()]
-            last = starts.pop()  # its group may go on in the next batch
-            if starts:
-                more = found({c: v[:last] for c, v in cols.items()}, counts[:last], starts)
-                kept = _summed({c: np.concatenate([v, more[c]]) for c, v in kept.items()})
-            if len(kept["a"]) > _PAIRS:
-                yield pa.RecordBatch.from_pydict(kept)
-                kept = {c: v[:0] for c, v in kept.items()}
-            held, held_counts = {c: v[last:] for c, v in cols.items()}, counts[last:]
-        if len(held_counts):
-            more = found(held, held_counts, [0])
-            kept = _summed({c: np.concatenate([v, more[c]]) for c, v in kept.items()})
-        yield pa.RecordBatch.from_pydict(kept)
-
-    rows = dealt.join(nodes.select("node", "counts"), "node").select(*names, "counts")
-    met = rows.repartition("place").sortWithinPartitions(*names[:5]).mapInArrow(join, "a long, b long, na long, nb long, shared long")
-    often = met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    return often.where(f"shared >= {least_shared('na', 'nb', percent)}").select("a", "b", "shared")
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            new = np.nonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))[0] + 1
+            begun = held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(4))
+            last = int(new[-1]) if len(new) else 0  # its group may go on in the next batch
+            if held and (begun or last):
+                yield found(pa.Table.from_batches([*held, batch.slice(0, last)] if last else held))
+                held = []
+            elif last:
+                yield found(pa.Table.from_batches([batch.slice(0, last)]))
+            held.append(batch.slice(last))
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    tokens = dealt.groupBy("node").agg(F.collect_set("token").alias("tokens"))
+    placed = dealt.groupBy(*names).agg(F.collect_list("token").alias("here"))
+    rows = placed.join(tokens, "node").join(nodes.select("node", "counts"), "node").select(*names, "here", "tokens", "counts")
+    return rows.repartition("place").sortWithinPartitions(*names[:4]).mapInArrow(join, "a long, b long, shared long")
 
 
 def foremost(pairs: DataFrame) -> DataFrame:
@@ -520,6 +572,40 @@ def across(pairs: DataFrame, stars: DataFrame) -> DataFrame:
 
 # --- the whole join ---------------------------------------------------------------------
 
+def joined(
+    members: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, stars: DataFrame | None = None,
+    seeds: tuple[tuple[int, ...], ...] | None = None, cell: int = CELL, made: list[str] | None = None,
+) -> DataFrame:
+    """(node, root) of all links. ``members`` (token, node, n): the sets under the shingles that a
+    link needs; ``nodes`` (node, counts): their points; ``sets_of``: (node, shingles) of the sets of
+    pairs (a, b); ``stars``: the components of links known before; ``seeds``: the pivots of each
+    round of proposals (without ``stars`` one at least)."""
+
+    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        pairs = materialise(pairs, "jaccard-pairs", made)
+        new = materialise(verified(pairs, sets or sets_of(pairs), percent), "jaccard-links", made)
+        return components(new if stars is None else new.union(stars.toDF("a", "b")), "jaccard-stars", made=made)
+
+    def rooted() -> DataFrame:
+        return materialise(members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-members", made)
+
+    rows = members.withColumn("root", F.col("node")) if stars is None else rooted()
+    for some in SEEDS if seeds is None else seeds:
+        stars = linked(proposals(rows, percent, some))
+        rows = rooted()
+    dealt = materialise(cells(rows, percent, cell), "jaccard-cells", made)
+    pairs = materialise(candidates(dealt, nodes, percent), "jaccard-pairs", made)
+    several = pairs.count()
+    if not several:
+        return stars
+    sets = sets_of(pairs)
+    if several > MANY * nodes.count():
+        for _ in range(2):  # a pair a set first: what they join needs no more comparison
+            stars = linked(foremost(pairs), sets)
+            pairs = materialise(across(pairs, stars), "jaccard-pairs", made)
+    return linked(pairs, sets)
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL
 ) -> DataFrame:
@@ -533,24 +619,7 @@ def near_duplicates(
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         return fetched(docs, nodes.join(ends, "node", "left_semi"), shingle, id_col, text_col)
 
-    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-        pairs = materialise(pairs, "jaccard-pairs")
-        return materialise(verified(pairs, sets or sets_of(pairs), percent), "jaccard-links")
-
-    found, rooted = None, members.withColumn("root", F.col("node"))
-    for seeds in SEEDS:
-        new = linked(proposals(rooted, percent, seeds))
-        found = new if found is None else found.union(new)
-        stars = components(found, "jaccard-stars")
-        rooted = materialise(members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-members")
-    pairs = materialise(candidates(cells(rooted, percent, cell), nodes, percent), "jaccard-pairs")
-    sets = sets_of(pairs)
-    for _ in range(2):  # a pair a set first: what they join needs no more comparison
-        found = found.union(linked(foremost(pairs), sets))
-        pairs = materialise(across(pairs, components(found, "jaccard-stars")), "jaccard-pairs")
-    found = found.union(linked(pairs, sets))
-    stars = components(found, "jaccard-stars")
-
+    stars = joined(members, nodes, sets_of, percent, cell=cell)
     placed = nodes.join(stars, "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     whole = placed.join(least, "root").select("k1", "k2", "component_id")

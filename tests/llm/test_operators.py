@@ -143,6 +143,21 @@ def test_substring_large_keys_are_split(spark, monkeypatch):
     assert split.groupBy("key").count().agg(F.max("count")).first()[0] <= 40
 
 
+def test_substring_large_keys_lose_no_link(spark, monkeypatch):
+    """Pairs of near lines that share their keys with far more lines than one task compares."""
+    monkeypatch.setattr(substring_dedup, "LARGE", 20)
+    monkeypatch.setattr(substring_dedup, "FINER", ())
+    rng = np.random.default_rng(6)
+    template = " ".join(f"t{i}" for i in range(80))
+    tails = [" ".join(f"own{k // 2}x{i}" for i in range(13)) + f" end{k}" for k in range(200)]
+    order = rng.permutation(200).tolist()
+    found = substring_dedup.duplicated(docs_of(spark, [f"{template} {tails[k]}" for k in order], order)).where("n_words = 94").collect()
+    pairs = collections.defaultdict(set)
+    for r in found:
+        pairs[r.class_id].add(r.doc_id)
+    assert sorted(map(sorted, pairs.values())) == [[k, k + 1] for k in range(0, 200, 2)]
+
+
 def test_substring_key_over_many_batches(spark, monkeypatch):
     rows = spark.range(5_000).selectExpr("8L as key", "id div 2 as name", "1 as n").union(spark.sql("select 16L, 1L, 2")).union(spark.sql("select 24L, explode(array(5L, 6L)), 1"))
     monkeypatch.setattr(substring_dedup, "banded", lambda docs: rows)
