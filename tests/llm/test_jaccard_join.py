@@ -111,6 +111,30 @@ def test_linked_pairs_share_enough_buckets(spark):
     assert linked and all(1 <= n[0] <= len(buckets[a] & buckets[b]) for n, (a, b) in zip(need, linked))
 
 
+def test_trees_give_a_pair_once_and_only_if_it_meets_often(spark):
+    """The tasks' own rows are the pairs to verify: none of a pair that meets too seldom, none twice."""
+    docs = spark.createDataFrame(corpus(5, 60), "doc_id long, text string")
+    named = jj.keys(docs, 4)
+    buckets = jj.shared_buckets(jj.prefix_rows(docs, jj.slot_counts(named), 4, 85), 85)
+    nodes = jj.classes(named)
+    members = jj.materialise(buckets.join(nodes.select("k1", "node"), "k1").select("token", "node", "n", F.col("node").alias("root")), "members")
+    pairs = jj.candidates(jj.cells(members, 85, 3), nodes, 85)
+    assert pairs._jdf.queryExecution().analyzed().toString().startswith("MapInArrow")
+    held = collections.defaultdict(set)
+    for r in members.collect():
+        held[r.node].add(r.token)
+    point = {r.node: np.frombuffer(bytes(r.counts), np.uint16).astype(int) for r in nodes.collect()}
+    want = []
+    for a in held:
+        for b in held:
+            small, large = sorted((int(point[a].sum()), int(point[b].sum())))
+            least = -(-85 * (small + large) // 185) - -(-85 * large // 100) + 1
+            shared = len(held[a] & held[b])
+            if a < b and shared >= max(least, 1) and 100 * small >= 85 * large and 185 * np.minimum(point[a], point[b]).sum() >= 85 * (small + large):
+                want.append((a, b, shared))
+    assert want and sorted(map(tuple, pairs.collect())) == sorted(want)
+
+
 def test_slot_counts_cover_all_texts(spark):
     docs = spark.createDataFrame([(i, f"a b c d e{i % 7} f") for i in range(50)] + [(99, None)], "doc_id long, text string").repartition(4)
     got = jj.slot_counts(jj.keys(docs, 4))
