@@ -7,6 +7,11 @@ SimHash classes and the byte-pair merges; tests hold the run against brute force
 A stage's intermediate tables are removed when the next stage starts, as its result has been
 written by then; tables that the next stage's input still reads are kept.
 
+Texts go to Python in batches of some ``BATCH_BYTES`` rather than of 10,000 rows, so that what an
+executor and its workers hold does not grow with the length of the texts. A stage sets this for the
+session, as its rows are only read later, unless the session has a limit of its own; ``run`` takes
+it back.
+
 Odd input is treated as each operator's module says: rows with NULL or short texts fall to the
 quality rules, repeated rows to the near-duplicate stage; empty tables go through as empty.
 """
@@ -23,6 +28,8 @@ from kpiloom.llm.common import SCRATCH, materialise, remove_scratch
 from kpiloom.llm.queries import tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Bytes of a batch of rows sent to Python, and the setting.
+BATCH_BYTES, BATCH_LIMIT = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Intermediate tables of the stage that ran last.
 _LEFT: list[str] = []
 
@@ -34,6 +41,8 @@ def _tidy(stage: Stage) -> Stage:
             done = [p for p in _LEFT if not any(p.split(":")[-1].lstrip("/") in f for f in read)]
             remove_scratch(spark, done)
             _LEFT[:] = [p for p in _LEFT if p not in done]
+        if spark.conf.get(BATCH_LIMIT, None) is None:
+            spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
         before = set(SCRATCH)
         out = stage(spark, docs, sf_dir)
         _LEFT.extend(p for p in SCRATCH if p not in before)
@@ -92,9 +101,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written before the next one reads it."""
     docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES:
-        before, docs = written, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        written = SCRATCH[-1]
-        if before:
-            remove_scratch(spark, [before])
+    own = spark.conf.get(BATCH_LIMIT, None)
+    try:
+        for name, stage in STAGES:
+            before, docs = written, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            written = SCRATCH[-1]
+            if before:
+                remove_scratch(spark, [before])
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_LIMIT)
     return docs

@@ -92,6 +92,20 @@ def test_odd_rows_go_through(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids)
 
 
+def test_stages_send_texts_in_batches_of_few_bytes(spark):
+    """A batch is bounded by its bytes, not only by its rows."""
+    import pyarrow as pa
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat('long text ', 20000) AS text", "200000L AS n_chars").coalesce(1)
+    try:
+        assert dict(corpus_pipeline.STAGES)["secret_scans"](spark, docs, "").count() == 60
+        rows = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+        sent = [r.n for r in docs.select("text").mapInArrow(rows, "n long").collect()]
+        assert sum(sent) == 60 and max(sent) * 200_000 <= 2 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
