@@ -15,6 +15,9 @@ three times; combined by block a word travels once a block. Decoding joins ids w
 token-byte table (all tokens' bytes, an id's start and length), which has a fixed size and is
 shipped with the function; the join is by array index.
 
+A block's numbers are held as 32-bit arrays and replaced in pieces, in cutting as in
+reassembly, so that a Python worker holds little beside its block, and keeps little after it.
+
 Rules for odd input: NULL and empty texts have no ids and decode to nothing; repeated rows keep
 their rows; an empty table gives no rows; columns other than the id and the text are not
 carried. A text of any length is one row of one block; a word of any length is encoded by a
@@ -29,6 +32,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,13 +61,14 @@ class _Index(dict):
 
 def pack(numbers: np.ndarray) -> bytes:
     """Compressed non-negative integers below 2**31, bytes of equal weight together."""
-    planes = np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(planes.tobytes(), 1)
+    planes = np.ascontiguousarray(numbers, np.int32).view(np.uint8).reshape(-1, 4).T
+    deflate = zlib.compressobj(1)
+    return b"".join([*(deflate.compress(plane.tobytes()) for plane in planes), deflate.flush()])
 
 
 def unpack(packed: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -124,6 +129,24 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _replaced(
+    flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, source: np.ndarray, ends: np.ndarray, chunk: int = 1 << 16
+) -> tuple[np.ndarray, np.ndarray]:
+    """Every number i of ``flat`` replaced by the ``counts[i]`` elements of ``source`` from
+    ``starts[i]``, and where the (ascending) ``ends`` of stretches of ``flat`` are then. In
+    pieces of ``chunk`` numbers, so that the index arrays stay small beside a block."""
+    out, at, moved = [], 0, np.zeros(len(ends), np.int64)
+    for lo in range(0, len(flat), chunk):
+        own = flat[lo : lo + chunk]
+        many = counts[own]
+        upto = np.cumsum(many, dtype=np.int64)
+        i, j = np.searchsorted(ends, [lo + 1, lo + len(own) + 1])
+        moved[i:j] = at + upto[ends[i:j] - lo - 1]
+        out.append(source[_spans(starts[own], many)])
+        at += int(upto[-1])
+    return (np.concatenate(out) if out else source[:0]), moved
+
+
 def blocks(docs: DataFrame, pattern: str, parts: int, id_col: str, text: str, size: int = BLOCK) -> DataFrame:
     """One row per block: its ids, pre-tokens a text, word numbers in order, and the words by
     part with their (ascending) numbers. Frequent words have small numbers."""
@@ -144,31 +167,39 @@ def blocks(docs: DataFrame, pattern: str, parts: int, id_col: str, text: str, si
 
         find, cut_pieces, arrow = regex.compile(pattern).findall, _PIECE.findall, to_arrow_schema(schema)
         ids: list = []
-        texts: list[np.ndarray] = []
-        pieces, total = _Index(), 0
+        flat, ends, pieces = array("i"), array("q"), _Index()  # pieces of all texts, where each text ends
 
         def close() -> pa.RecordBatch:
             words = _Index()
-            number = words.__getitem__
-            own = [[number(w) for w in find(piece)] for piece in pieces]
-            many = np.fromiter(map(len, own), np.int64, len(own))
-            inner = np.fromiter((n for ws in own for n in ws), np.int64, int(many.sum()))
-            flat = np.concatenate(texts) if texts else np.zeros(0, np.int32)
-            counts = many[flat]
-            flat = inner[_spans((np.cumsum(many) - many)[flat], counts)]
-            upto = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum([len(x) for x in texts])].astype(np.int64)]
-            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
+            inner, many = array("i"), array("i")
+            for piece in pieces:
+                found = find(piece)
+                inner.extend(map(words.__getitem__, found))
+                many.append(len(found))
+            pieces.clear()
+            many = np.frombuffer(many, np.int32) if many else np.zeros(0, np.int32)
+            inner = np.frombuffer(inner, np.int32) if inner else np.zeros(0, np.int32)
+            old = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+            numbers, upto = _replaced(old, np.cumsum(many, dtype=np.int64) - many, many, inner, np.frombuffer(ends, np.int64))
+            chunk = 1 << 16
+            often = np.zeros(len(words), np.int64)
+            for lo in range(0, len(numbers), chunk):
+                which, times = np.unique(numbers[lo : lo + chunk], return_counts=True)
+                often[which] += times
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            for lo in range(0, len(numbers), chunk):
+                numbers[lo : lo + chunk] = rank[numbers[lo : lo + chunk]]
             spelled = list(words)
             by_part: dict[int, list[int]] = {}
-            for new, old in enumerate(order.tolist()):
-                by_part.setdefault(zlib.crc32(spelled[old].encode()) % parts, []).append(new)
+            for new, at in enumerate(order.tolist()):
+                by_part.setdefault(zlib.crc32(spelled[at].encode()) % parts, []).append(new)
             row = {
                 "block": uuid.uuid4().hex,
                 "ids": ids,
-                "lens": pack(np.diff(upto)),
-                "flat": pack(rank[flat]),
+                "lens": pack(np.diff(upto, prepend=0)),
+                "flat": pack(numbers),
                 "parts": [
                     {
                         "part": p,
@@ -182,13 +213,13 @@ def blocks(docs: DataFrame, pattern: str, parts: int, id_col: str, text: str, si
 
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = cut_pieces(value.as_py() or "")
                 ids.append(key)
-                texts.append(np.fromiter(map(pieces.__getitem__, found), np.int32, len(found)))
-                total += len(found)
-                if total >= size:
-                    yield close()
-                    ids, texts, pieces, total = [], [], _Index(), 0
+                flat.extend(map(pieces.__getitem__, cut_pieces(value.as_py() or "")))
+                ends.append(len(flat))
+                if len(flat) >= size:
+                    closed = close()
+                    ids, flat, ends, pieces = [], array("i"), array("q"), _Index()
+                    yield closed
         if ids:
             yield close()
 
@@ -231,19 +262,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         one = lambda name: unpack(left.column(name)[0].as_py())
-        every = lambda name, f: np.concatenate([f(unpack(x.as_py())) for x in right.column(name)] or [np.zeros(0, np.int64)])
+        every = lambda name, f: np.concatenate([f(unpack(x.as_py())) for x in right.column(name)] or [np.zeros(0, np.int32)])
         same = lambda x: x
         keys, lens, flat = left.column("ids").combine_chunks().flatten(), one("lens"), one("flat")
-        at, count, ids = every("at", np.cumsum), every("lens", same), every("ids", same).astype(np.int32)
+        at, count, ids = every("at", np.cumsum), every("lens", same), every("ids", same)
         starts, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        starts[at], counts[at] = np.cumsum(count) - count, count
-        upto = np.r_[0, np.cumsum(counts[flat])][np.r_[0, np.cumsum(lens)]]
-        out, chunk = [], 1 << 20  # in pieces, so that index arrays stay small
-        for lo in range(0, len(flat), chunk):
-            own = flat[lo : lo + chunk]
-            out.append(ids[_spans(starts[own], counts[own])])
-        values = np.concatenate(out) if out else ids[:0]
-        return pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values))})
+        starts[at], counts[at] = np.cumsum(count, dtype=np.int64) - count, count
+        values, upto = _replaced(flat, starts, counts, ids, np.cumsum(lens, dtype=np.int64))
+        upto = np.r_[0, upto].astype(np.int32)
+        return pa.table({id_col: keys, "ids": pa.ListArray.from_arrays(pa.array(upto), pa.array(values))})
 
     return (
         cut.select("block", "ids", "lens", "flat").groupBy("block")

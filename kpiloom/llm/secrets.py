@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kpiloom.llm.common import materialise, scratch_path
 
@@ -144,7 +145,8 @@ def _read(spark, ledger: str) -> DataFrame:
     """The ledger's rows; none before the first scan."""
     where = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], LEDGER)
+        # Not createDataFrame: its empty RDD would start Python workers of its own on every executor.
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(LEDGER)])
     return spark.read.schema(LEDGER).parquet(ledger)
 
 

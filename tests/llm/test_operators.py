@@ -400,6 +400,13 @@ def test_secrets_against_brute_force(spark, texts):
         assert [s for s in r.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex")] == want or not want
 
 
+def test_no_ledger_yet_starts_no_python(spark, tmp_path):
+    """An empty RDD of Python rows would start workers that stay beside those of the scan."""
+    none = secrets._read(spark, f"{tmp_path}/ledger")
+    assert none.count() == 0 and none.schema == spark.createDataFrame([], secrets.LEDGER).schema
+    assert "ExistingRDD" not in none._jdf.queryExecution().toString()
+
+
 def test_ledger_scans_only_what_is_unseen(spark, tmp_path):
     ledger = f"{tmp_path}/ledger"
     first = docs_of(spark, ["token = abcdefghijklmnop", "token = abcdefghijklmnop", None, "", "Token: secret: abcdefghijklmnop"], [1, 2, 3, 4, None])
@@ -470,6 +477,50 @@ def test_bpe_leaves_no_table(spark):
     assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(encoded, ranks).collect()} == {0: b"one two", 1: b"two"}
 
 
+def test_bpe_block_needs_few_bytes_a_piece(spark):
+    """What a block's index arrays take (as tracemalloc counts them) stays near the numbers of its pieces."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def traced(batches):
+        tracemalloc.start()
+        n = sum(len(b.column("ids")[0]) for b in cut(batches))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        yield pa.RecordBatch.from_pydict({"n": [n], "peak": [peak]})
+
+    class Taken:  # gives the function that ``blocks`` would run on each task's batches
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    pieces, text = 1_000_000, " a b c d e f g h" * 125
+    cut = byte_bpe.blocks(Taken(), queries.tokenizer()[1], 4, "doc_id", "text")
+    docs = spark.range(pieces // 1000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).coalesce(1)
+    (got,) = docs.mapInArrow(traced, "n long, peak long").collect()
+    assert got.n == pieces // 1000
+    assert got.peak < 30 * pieces
+
+
+def test_bpe_numbers_replaced_in_pieces():
+    rng = np.random.default_rng(7)
+    flat, counts = rng.integers(0, 9, 50).astype(np.int32), np.array([0, 1, 2, 0, 3, 1, 0, 4, 1], np.int32)
+    starts, source = np.cumsum(counts) - counts, np.arange(12, dtype=np.int32) * 10
+    ends = np.array([0, 0, 3, 3, 7, 8, 20, 49, 50, 50])
+    own = [source[starts[i] : starts[i] + counts[i]].tolist() for i in flat]
+    for chunk in (1, 3, 7, 50, 64):
+        values, moved = byte_bpe._replaced(flat, starts, counts, source, ends, chunk)
+        assert values.tolist() == [x for xs in own for x in xs] and values.dtype == np.int32
+        assert moved.tolist() == [sum(map(len, own[:e])) for e in ends]
+    values, moved = byte_bpe._replaced(flat[:0], starts, counts, source, np.zeros(2, np.int64))
+    assert values.tolist() == [] and moved.tolist() == [0, 0]
+
+
 def test_token_bytes_by_index():
     ranks = {b"a": 3, b"": 1, b"bcd": 0}
     table = byte_bpe.token_table(ranks)
